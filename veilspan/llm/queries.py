@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, jaccard, langid, mixing, urlblock, warc
+from . import chat, decontaminate, exact, jaccard, langid, mixing, suffixes, urlblock, warc
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -39,6 +39,11 @@ def op5_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(F.col("id").alias("doc_id"), "size", "source_size", F.col("target").cast("double"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    d = suffixes.dedup(_t(spark, sf, "documents"))
+    return d.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     g = jaccard.near_groups(_t(spark, sf, "documents"), k=4, num=85, den=100)
     return g.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -57,4 +62,4 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.ambiguous").alias("ambiguous"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc_derivatives, op3_exact_dedup, op4_url_filter, op5_source_mix, op7_ngram_jaccard, op8_chat_snapshots, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc_derivatives, op3_exact_dedup, op4_url_filter, op5_source_mix, op6_suffix_dedup, op7_ngram_jaccard, op8_chat_snapshots, op9_language_id)}
