@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, jaccard, langid, mixing, suffixes, urlblock, warc
+from . import chat, decontaminate, exact, jaccard, langid, mixing, suffixes, tokenfile, urlblock, warc
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -62,4 +62,11 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.ambiguous").alias("ambiguous"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc_derivatives, op3_exact_dedup, op4_url_filter, op5_source_mix, op6_suffix_dedup, op7_ngram_jaccard, op8_chat_snapshots, op9_language_id)}
+def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    table = tokenfile.write_tokens(_t(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read_tokens(table).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc_derivatives, op3_exact_dedup, op4_url_filter, op5_source_mix, op6_suffix_dedup, op7_ngram_jaccard, op8_chat_snapshots, op9_language_id, op10_token_file)}
