@@ -15,20 +15,32 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR1"
-NODES, S1, S2 = 1024, 1024, 4096
-STEP, LIMIT = 24, 2048
-G1 = np.array([0, 1, 2, 4, 6, 8, 10, 12], np.int32)
-G2 = np.array([0, 2, 4, 6, 8, 10, 12, 12], np.int32)
+MAGIC = b"CMR2"
+NODES, S1, S2 = 512, 1024, 4096
+BITS, RATE = 15, 4
+TOTAL = 1 << BITS
+FREE = TOTAL - 17  # each symbol keeps a frequency of one; the top value stays within 16 bits
+G1 = np.array([0, 40, 90, 140, 180, 205, 220, 230], np.int32)
+G2 = np.array([0, 90, 150, 190, 215, 230, 238, 244], np.int32)
 FULL, HALF = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(32)
-MASK = np.uint64(0xFFFFFFFF)
+MASK, SHIFT = np.uint64(0xFFFFFFFF), np.uint64(BITS)
+#: AIM[s]: the cumulative frequencies (upper ends, without the ones kept) of certainty about s.
+AIM = (np.arange(16)[None, :] >= np.arange(16)[:, None]).astype(np.int16) * np.int16(FREE)
+EVEN = ((np.arange(1, 17) * FREE) // 16).astype(np.int16)
+ONES = np.arange(1, 17, dtype=np.int16)
 
 
 class Model:
+    """Cumulative order-0 frequencies of each tree node and lane, and the order-1 and order-2 predictions."""
+
     def __init__(self, lanes: int, nibbles: int):
         self.nibbles = nibbles
         self.lane = np.arange(lanes)
-        self.counts = np.ones((lanes * NODES, 16), np.uint16)
+        self.cdf = np.tile(EVEN, (lanes * NODES, 1))
+        self.flat = self.cdf.reshape(-1)
+        self.packed = self.cdf.view("V32").reshape(-1)
+        self.f, self.g, self.h = (np.empty((lanes, 16), np.int16) for _ in range(3))
+        self.below = np.empty((lanes, 16), bool)
         self.pred = [np.full(lanes * s, -1, np.int32) for s in (S1, S2)]
         self.conf = [np.zeros(lanes * s, np.uint8) for s in (S1, S2)]
         self.last = np.zeros(lanes, np.int64)
@@ -42,36 +54,68 @@ class Model:
         self.guess = [p[s] for p, s in zip(self.pred, self.slot)]
         self.gain = [g[c[s]] for g, c, s in zip((G1, G2), self.conf, self.slot)]
         self.path = np.zeros(n, np.int64)
-
-    def nibble(self, j: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows of counts, cumulative mixed frequencies with a leading 0) of nibble j."""
-        n, shift = len(self.path), 4 * (self.nibbles - 1 - j)
-        node = self.path if j == 0 else 1 + self.path if j == 1 else 17 + self.path if j == 2 else 273 + self.path * 0x9E3779B1 % (NODES - 273)
-        row = self.lane[:n] * NODES + node
-        f = self.counts[row].astype(np.int32)
-        self.total = f.sum(1)
-        for guess, gain in zip(self.guess, self.gain):
-            on = np.flatnonzero((gain > 0) & (guess >> (shift + 4) == self.path))
-            f[on, (guess[on] >> shift) & 15] += gain[on] * self.total[on]
-        cum = np.zeros((n, 17), np.int64)
-        np.cumsum(f, axis=1, out=cum[:, 1:])
-        return row, cum
-
-    def learn(self, row: np.ndarray, sym: np.ndarray) -> None:
-        self.counts[row, sym] += STEP
-        over = row[self.total + STEP > LIMIT]
-        if len(over):
-            self.counts[over] = (self.counts[over] >> 1) | 1
+        self.base = lane * NODES
+
+    def rows(self, j: int) -> np.ndarray:
+        p = self.path
+        self.row = self.base + (p if j == 0 else p + 1 if j == 1 else p + 17 if j == 2 else p * 0x9E3779B1 % (NODES - 273) + 273)
+        shift = 4 * (self.nibbles - 1 - j)
+        self.nib = [(g >> shift) & 15 for g in self.guess]
+        self.weight = [w * (g >> (shift + 4) == p) for g, w in zip(self.guess, self.gain)]
+        return self.row
+
+    def bounds(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mixed cumulative frequencies below and up to sym."""
+        at = self.row * 16 + sym
+        hi = self.flat.take(at).astype(np.int32)
+        lo = self.flat.take(at - 1, mode="clip").astype(np.int32)
+        lo *= sym > 0
+        for g, w in zip(self.nib, self.weight):
+            on = np.flatnonzero(w)
+            if len(on):
+                g, w, s = g[on], w[on], sym[on]
+                lo[on] += ((s > g) * np.int32(FREE) - lo[on]) * w >> 8
+                hi[on] += ((s >= g) * np.int32(FREE) - hi[on]) * w >> 8
+        return lo + sym, hi + sym + 1
+
+    def find(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols whose mixed range holds want, with the same bounds as bounds()."""
+        n = len(want)
+        f = self.h[:n]
+        self.cdf.take(self.row, 0, out=f, mode="clip")
+        for g, w in zip(self.nib, self.weight):
+            on = np.flatnonzero(w)
+            if len(on):
+                x = f[on].astype(np.int32)
+                f[on] = x + ((AIM[g[on]] - x) * w[on, None] >> 8)
+        np.add(f, ONES, out=f)
+        below = self.below[:n]
+        np.less_equal(f, want[:, None], out=below)
+        seen = np.bitwise_count(below.view(np.uint64))
+        sym = (seen[:, 0] + seen[:, 1]).astype(np.int64)
+        at = self.lane[:n] * 16 + sym
+        flat = f.reshape(-1)
+        return sym, flat.take(at - 1, mode="clip").astype(np.int32) * (sym > 0), flat.take(at).astype(np.int32)
+
+    def learn(self, sym: np.ndarray) -> None:
+        f, g = self.f[: len(sym)], self.g[: len(sym)]
+        self.cdf.take(self.row, 0, out=f, mode="clip")
+        AIM.take(sym, 0, out=g, mode="clip")
+        np.subtract(g, f, out=g)
+        np.right_shift(g, RATE, out=g)
+        np.add(f, g, out=f)
+        self.packed[self.row] = f.view("V32").reshape(-1)
         self.path = self.path << 4 | sym
 
     def end(self) -> None:
         """Predictions move towards the id just coded (the path)."""
-        ids, n = self.path, len(self.path)
+        ids, n = self.path.astype(np.int32), len(self.path)
         for pred, conf, slot, guess in zip(self.pred, self.conf, self.slot, self.guess):
             ok, c = guess == ids, conf[slot]
-            pred[slot] = np.where(ok | (c > 1), guess, ids)
-            conf[slot] = np.where(ok, np.minimum(c + 1, 7), np.where(c > 1, c >> 1, 1))
-        self.before[:n], self.last[:n] = self.last[:n], ids
+            sure = c > 1
+            pred[slot] = np.where(sure, guess, ids)
+            conf[slot] = np.where(ok, np.minimum(c + 1, 7), np.where(sure, c >> 1, 1))
+        self.before[:n], self.last[:n] = self.last[:n].copy(), self.path
 
 
 def encode(ids: np.ndarray, block: int | None = None, nibbles: int = 4) -> bytes:
@@ -94,13 +138,12 @@ def encode(ids: np.ndarray, block: int | None = None, nibbles: int = 4) -> bytes
             break
         m.begin(n)
         for j in range(nibbles):
-            sym = grid[t, :n] >> (4 * (nibbles - 1 - j)) & 15
-            row, cum = m.nibble(j)
-            lane = m.lane[:n]
-            r = rng[:n] // cum[:, 16].astype(np.uint64)
-            lo = cum[lane, sym]
+            sym = (grid[t, :n] >> (4 * (nibbles - 1 - j))) & 15
+            m.rows(j)
+            lo, hi = m.bounds(sym)
+            r = rng[:n] >> SHIFT
             low[:n] += r * lo.astype(np.uint64)
-            rng[:n] = r * (cum[lane, sym + 1] - lo).astype(np.uint64)
+            rng[:n] = r * (hi - lo).astype(np.uint64)
             small = np.flatnonzero(rng[:n] <= MASK)
             if len(small):
                 a, w = low[small], rng[small]
@@ -108,7 +151,7 @@ def encode(ids: np.ndarray, block: int | None = None, nibbles: int = 4) -> bytes
                 out[small, np.minimum(at[small], cap - 3)] = (a >> HALF).astype(np.uint32)
                 at[small] += 1
                 low[small], rng[small] = a << HALF, w << HALF
-            m.learn(row, sym)
+            m.learn(sym)
         m.end()
     head, body = [], []
     for k in range(lanes):
@@ -150,14 +193,11 @@ def decode(seg: bytes) -> np.ndarray:
             n = lanes_ if t < sizes[-1] else lanes_ - 1
             m.begin(n)
             for j in range(nibbles):
-                row, cum = m.nibble(j)
-                lane = m.lane[:n]
-                r = rng[:n] // cum[:, 16].astype(np.uint64)
-                want = ((code[:n] - low[:n]) // r).astype(np.int64)
-                sym = (cum[:, 1:16] <= want[:, None]).sum(1)
-                lo = cum[lane, sym]
+                m.rows(j)
+                r = rng[:n] >> SHIFT
+                sym, lo, hi = m.find(((code[:n] - low[:n]) // r).astype(np.int16))
                 low[:n] += r * lo.astype(np.uint64)
-                rng[:n] = r * (cum[lane, sym + 1] - lo).astype(np.uint64)
+                rng[:n] = r * (hi - lo).astype(np.uint64)
                 small = np.flatnonzero(rng[:n] <= MASK)
                 if len(small):
                     a, w = low[small], rng[small]
@@ -165,7 +205,7 @@ def decode(seg: bytes) -> np.ndarray:
                     code[small] = code[small] << HALF | flat[nxt[small]]
                     nxt[small] += 1
                     low[small], rng[small] = a << HALF, w << HALF
-                m.learn(row, sym)
+                m.learn(sym)
             got[t, :n] = m.path
             m.end()
         for x, k in enumerate(coded):
