@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, jaccard, langid, mixing, suffixes, tokenfile, urlblock, warc
+from . import chat, decontaminate, exact, jaccard, langid, mixing, oracles, suffixes, tokenfile, urlblock, warc
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -70,3 +70,4 @@ def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc_derivatives, op3_exact_dedup, op4_url_filter, op5_source_mix, op6_suffix_dedup, op7_ngram_jaccard, op8_chat_snapshots, op9_language_id, op10_token_file)}
+ORACLES = {"op1_decontaminate": oracles.OP1, "op2_warc_derivatives": oracles.OP2, "op3_exact_dedup": oracles.OP3, "op4_url_filter": oracles.op4(RULES), "op8_chat_snapshots": oracles.OP8}
