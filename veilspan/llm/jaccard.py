@@ -8,6 +8,10 @@ prefix's lengthening) with the least estimated cost: posting entries scanned plu
 Components rather than pairs are wanted, so no group is expanded into all its pairs: first each class is verified
 against one hub, the least class of its shared prefix shingles; then only pairs from different components that share
 the required number of prefix shingles (and can still reach the overlap by position) are verified, exactly, on sets.
+Shingles in the prefixes of more than LIGHT classes would give pairs by the square: the classes they connect form
+families, which are compared tile by tile (two blocks of a family) inside a task, by parity bitmaps first and by whole
+sets for what passes; a tile returns only links that join components. A pair either meets in a family, or shares
+light shingles alone, whose count is then its whole count: no link is lost.
 
 Edge cases: null text and text without words have an empty set, linked with nothing (component: own id); fewer words
 than k make one shingle; rows repeated with the same id are copies; an empty table gives an empty result. Only id
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, components, discard, materialize, mix, pieces, run_hashes, sized, utf8, word_runs
 
 SKETCH, SLICES, MOST = 1 << 18, 16, 8
+LIGHT, TILE_ROWS, TILE_TOKENS, BITMAP = 32, 1024, 600_000, 2048
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 
@@ -132,6 +137,73 @@ def prefixes(rows: DataFrame, sketch: np.ndarray, k: int, num: int, den: int, se
     return rows.select("text").mapInArrow(work, "token bigint, cls bigint, n int, ell int, pos int")
 
 
+def sets_of(need: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(cls, tokens): whole shingle sets of the classes in need (cls, rep)."""
+
+    def work(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([s.view(np.int64) for s in shingle_sets(batch.column("text"), k)], pa.list_(pa.int64()))], ["cls", "tokens"])
+
+    texts = rows.join(sized(need.select("cls", "rep"), 2_000_000), F.col("id") == F.col("rep")).select("cls", "text")
+    return materialize(texts.mapInArrow(work, "cls bigint, tokens array<bigint>").dropDuplicates(["cls"]), "ngram-sets")
+
+
+def tile_links(cls: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between members left x right of different components that join components not yet joined in this tile."""
+    n = np.array([len(s) for s in sets])
+    bits = np.zeros((len(sets), BITMAP // 64), U64)
+    for i, s in enumerate(sets):
+        odd = np.bincount((s & (BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
+        bits[i] = np.packbits(odd.astype(np.uint8)).view(U64)
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    found = []
+    step = max(1, (1 << 21) // max(1, len(right) * bits.shape[1]))
+    for a in range(0, len(left), step):
+        rows = left[a : a + step]
+        # The parity bitmaps differ in no more bits than the sets differ in shingles.
+        apart = np.bitwise_count(bits[rows][:, None, :] ^ bits[right][None, :, :]).sum(2, dtype=np.int64)
+        near = (apart * (den + num) <= (n[rows][:, None] + n[right][None, :]) * (den - num)) & (comp[rows][:, None] != comp[right][None, :])
+        x, y = np.nonzero(near)
+        for k in np.argsort(apart[x, y], kind="stable").tolist():
+            i, j = int(rows[x[k]]), int(right[y[k]])
+            ci, cj = root(int(comp[i])), root(int(comp[j]))
+            if ci != cj:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if den * both >= num * (n[i] + n[j] - both):
+                    up[max(ci, cj)] = min(ci, cj)
+                    found.append((int(cls[i]), int(cls[j])))
+    return found
+
+
+def family_links(heavy: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) inside the families that the heavy postings (token, cls, n, comp) connect."""
+    hubs = heavy.groupBy("token").agg(F.min("cls").alias("hub"))
+    fam = components(heavy.join(hubs, "token").select(F.col("hub").alias("a"), F.col("cls").alias("b")), "ngram-fam")
+    who = heavy.select("cls", "n", "comp").distinct().join(fam.select(F.col("node").alias("cls"), F.col("comp").alias("fam")), "cls").join(reps.select("cls", "rep"), "cls")
+    who = materialize(who, "ngram-members")
+    size = who.groupBy("fam").agg(F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_TOKENS)).cast("int").alias("blocks"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    sets = sets_of(who, rows, k)
+    x = who.select("cls", "comp", "fam").join(size.select("fam", "blocks"), "fam").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
+
+    def tile(table: pa.Table) -> pa.Table:
+        blk, i, j = table.column("blk").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        tokens = table.column("tokens").combine_chunks()
+        flat, offs = tokens.flatten().to_numpy().view(U64), np.append(0, np.cumsum([len(t) for t in tokens]))
+        found = tile_links(table.column("cls").to_numpy(), table.column("comp").to_numpy(), np.flatnonzero(blk == i), np.flatnonzero(blk == j), [flat[p:q] for p, q in zip(offs[:-1], offs[1:])], num, den)
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    out = materialize(x.join(sets, "cls").select("cls", "comp", "fam", "blk", "i", "j", "tokens").groupBy("fam", "i", "j").applyInArrow(tile, "a bigint, b bigint"), "ngram-tiles")
+    discard(fam, who, sets)
+    return out
+
+
 def verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose Jaccard similarity is at least num / den, by whole sets."""
     need = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct().join(reps.select("cls", "rep"), "cls")
@@ -141,8 +213,7 @@ def verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num: in
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([s.view(np.int64) for s in shingle_sets(batch.column("text"), k)], pa.list_(pa.int64()))], ["cls", "tokens"])
 
-    texts = rows.join(sized(need, 2_000_000), F.col("id") == F.col("rep")).select("cls", "text")
-    sets = materialize(texts.mapInArrow(work, "cls bigint, tokens array<bigint>"), "ngram-sets")
+    sets = sets_of(need, rows, k)
     x = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     out = materialize(x.where(den * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b").distinct(), "ngram-links")
@@ -166,8 +237,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     comp = components(links, "ngram-cc")
     held = post.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", "ell", "pos", F.coalesce("comp", "cls").alias("comp"))
     held = materialize(held, "ngram-held")
-    mixed = held.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    cross = materialize(held.join(mixed, "token", "left_semi"), "ngram-cross")
+    mixed = held.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("token", (F.col("m") > LIGHT).alias("heavy"))
+    posted = materialize(held.join(mixed, "token"), "ngram-mixed")
+    cross = posted.where("not heavy")
+    tiles = family_links(posted.where("heavy"), rows, reps, k, num, den)
     other = cross.select("token", *[F.col(c).alias(c + "2") for c in ("cls", "n", "ell", "pos", "comp")])
     least = lambda a: F.ceil(F.col(a) * num / den)
     pairs = (
@@ -179,10 +252,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
         .where(F.col("c") + F.least(F.col("n") - F.col("p") - 1, F.col("n2") - F.col("p2") - 1) >= F.greatest(least("n"), least("n2")))
     )
     more = verified(materialize(pairs.select("a", "b"), "ngram-pairs"), rows, reps, k, num, den)
-    whole = components(links.unionAll(more), "ngram-cc")
+    whole = components(links.unionAll(more).unionAll(tiles), "ngram-cc")
     named = reps.join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     least_id = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(least_id, "comp").select("cls", "component_id"), "ngram-named")
-    discard(post, held, cross)
+    discard(post, held, posted)
     out = desc.where("slice is null").join(named, (F.col("n") > 0) & (desc["cls"] == named["cls"]), "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
