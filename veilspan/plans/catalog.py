@@ -1,2 +1,6 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""All queries of the de-identification operators, with their DuckDB equivalents."""
+
+from . import relations, scalars, spans  # noqa: F401  registration
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
