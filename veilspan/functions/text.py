@@ -114,13 +114,14 @@ def ssn_ok(c: Column) -> Column:
 
 
 def trim_url_tail(c: Column) -> Column:
-    """Closing brackets go only while unbalanced; three rounds cover nested tails."""
-    for _ in range(3):
-        c = F.regexp_replace(c, "[.,;:!?'\"]+$", "")
-        for a, b in (("(", ")"), ("[", "]")):
-            extra = F.length(F.replace(c, F.lit(a), F.lit(""))) > F.length(F.replace(c, F.lit(b), F.lit("")))
-            c = F.when(c.endswith(b) & extra, F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
-    return c
+    """Closing brackets go only while unbalanced. A fold, so the expression stays small; eight steps."""
+
+    def step(x: Column, _: Column) -> Column:
+        count = lambda ch: F.length(x) - F.length(F.replace(x, F.lit(ch), F.lit("")))
+        loose = (x.endswith(")") & (count(")") > count("("))) | (x.endswith("]") & (count("]") > count("[")))
+        return F.when(loose, F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(F.regexp_replace(x, "[.,;:!?'\"]+$", ""))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), c, step)
 
 
 def _keep(c: Column, head: Column | int, tail: Column | int) -> Column:
