@@ -30,5 +30,5 @@ def x01(spark, sf):
 
 @query("x04_counts_by_time", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def x04(spark, sf):
-    out = drain(counts_by_time(_files(spark, sf, "events")), "x04_out", "complete")
-    return out.select(F.col("w.start").alias("hour"), "event_type", "n")
+    out = drain(counts_by_time(_files(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))), "x04_out", "complete")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
