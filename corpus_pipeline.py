@@ -59,8 +59,8 @@ def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("source_mix", source_mix), ("token_file", token_file)]
-#: Language ID, near duplicates, Pareto sampling and range coding aren't expressible in SQL; tests hold each stage
-#: against a brute-force version.
+#: Language ID, near duplicates, Pareto sampling and range coding aren't expressible in SQL; tests/llm holds their
+#: operators against brute-force versions and the stages against small planted cases.
 ORACLE_SQL = None
 
 
