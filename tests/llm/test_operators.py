@@ -141,12 +141,12 @@ def test_language_id_on_held_out_rows(docs, spark):
     assert {r.p.lang for r in d.select(langid.predict(none, F.col("text")).alias("p")).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+@pytest.mark.parametrize("n", [0, 1, 5, 256, 257, 3000])
 def test_range_coder_round_trip(n):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.zipf(1.3, n), 50256).astype(np.uint32)
     raw = rng.integers(0, 50257, n).astype(np.uint32)
-    for x in (ids, raw):
+    for x in (ids, rng.integers(0, 200_000, n).astype(np.uint32), np.zeros(n, np.uint32), raw):
         seg = encode(x)
         assert (decode(seg) == x).all()
     if n == 3000:
@@ -160,7 +160,7 @@ def test_token_file(docs):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
-    texts = ["The end <|endoftext|> x", None, "", "a b  c\n\n d", "Ünï çödé!\x0b?", "hello " * 400]
+    texts = ["The end <|endoftext|> x", None, "", "a b  c\n\n d", "Ünï çödé!\x0b?", "hello " * 400, "it's\u3000x,y;  z", " \n"]
     tok, at = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0
     got = {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.read_tokens(tokenfile.write_tokens(docs(texts), P.path("byte_bpe_50k.json"))).collect()}
     for i, t in enumerate(texts):

@@ -1,11 +1,14 @@
 """Adaptive context-mixing range coder for token ids, many blocks in step.
 
-Every block starts from the same empty model and ends with its own checksum, so any block can be read alone. An id is
-four nibbles (five above 65,535). A nibble's frequencies are the order-0 counts of its place in the id's tree, to which the ids predicted
-by the order-1 and order-2 contexts add weight by their confidence while they agree with the nibbles so far. All
-blocks of a segment take the same step together in numpy, which is what makes a per-id model affordable.
-
-Segment: magic, ids, blocks, then for each block (ids, payload words or raw flag, CRC-32 of the ids), then payloads.
+Every block starts from the segment's opening model (empty contexts) and ends with its own checksum, so any block can be
+read alone with the segment's head. Three predictions share the range of each id: the id that last followed the same two
+ids (order 2), the one that last followed the same id (order 1), and the ids' frequencies (order 0). A prediction's share
+grows and shrinks with its confidence, a counter of each context that hits raise and misses halve. Orders 1 and 2 adapt
+in every block; the order-0 frequencies and the shares by confidence are fitted to the segment and stand in its head.
+All blocks of a segment take the same step together in numpy, which is what makes a per-id model affordable.
+
+Segment: magic, ids, blocks, bits of order 0, block size, head length, head (deflated), then for each block (ids, payload
+words or -1 for raw, CRC-32 of the ids), then payloads.
 """
 
 from __future__ import annotations
@@ -15,202 +18,209 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR2"
-NODES, S1, S2 = 512, 1024, 4096
-BITS, RATE = 15, 4
-TOTAL = 1 << BITS
-FREE = TOTAL - 17  # each symbol keeps a frequency of one; the top value stays within 16 bits
-G1 = np.array([0, 40, 90, 140, 180, 205, 220, 230], np.int32)
-G2 = np.array([0, 90, 150, 190, 215, 230, 238, 244], np.int32)
-FULL, HALF = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(32)
-MASK, SHIFT = np.uint64(0xFFFFFFFF), np.uint64(BITS)
-#: AIM[s]: the cumulative frequencies (upper ends, without the ones kept) of certainty about s.
-AIM = (np.arange(16)[None, :] >= np.arange(16)[:, None]).astype(np.int16) * np.int16(FREE)
-EVEN = ((np.arange(1, 17) * FREE) // 16).astype(np.int16)
-ONES = np.arange(1, 17, dtype=np.int16)
-
-
-class Model:
-    """Cumulative order-0 frequencies of each tree node and lane, and the order-1 and order-2 predictions."""
-
-    def __init__(self, lanes: int, nibbles: int):
-        self.nibbles = nibbles
-        self.lane = np.arange(lanes)
-        self.cdf = np.tile(EVEN, (lanes * NODES, 1))
-        self.flat = self.cdf.reshape(-1)
-        self.packed = self.cdf.view("V32").reshape(-1)
-        self.f, self.g, self.h = (np.empty((lanes, 16), np.int16) for _ in range(3))
-        self.below = np.empty((lanes, 16), bool)
-        self.pred = [np.full(lanes * s, -1, np.int32) for s in (S1, S2)]
-        self.conf = [np.zeros(lanes * s, np.uint8) for s in (S1, S2)]
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-
-    def begin(self, n: int) -> None:
-        """Contexts and predictions of the first n lanes for the next id."""
-        a, b = self.last[:n], self.before[:n]
-        lane = self.lane[:n]
-        self.slot = [lane * S1 + (a * 0x9E3779B1 >> 7) % S1, lane * S2 + ((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 9) % S2]
-        self.guess = [p[s] for p, s in zip(self.pred, self.slot)]
-        self.gain = [g[c[s]] for g, c, s in zip((G1, G2), self.conf, self.slot)]
-        self.path = np.zeros(n, np.int64)
-        self.base = lane * NODES
-
-    def rows(self, j: int) -> np.ndarray:
-        p = self.path
-        self.row = self.base + (p if j == 0 else p + 1 if j == 1 else p + 17 if j == 2 else p * 0x9E3779B1 % (NODES - 273) + 273)
-        shift = 4 * (self.nibbles - 1 - j)
-        self.nib = [(g >> shift) & 15 for g in self.guess]
-        self.weight = [w * (g >> (shift + 4) == p) for g, w in zip(self.guess, self.gain)]
-        return self.row
-
-    def bounds(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mixed cumulative frequencies below and up to sym."""
-        at = self.row * 16 + sym
-        hi = self.flat.take(at).astype(np.int32)
-        lo = self.flat.take(at - 1, mode="clip").astype(np.int32)
-        lo *= sym > 0
-        for g, w in zip(self.nib, self.weight):
-            on = np.flatnonzero(w)
-            if len(on):
-                g, w, s = g[on], w[on], sym[on]
-                lo[on] += ((s > g) * np.int32(FREE) - lo[on]) * w >> 8
-                hi[on] += ((s >= g) * np.int32(FREE) - hi[on]) * w >> 8
-        return lo + sym, hi + sym + 1
-
-    def find(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The symbols whose mixed range holds want, with the same bounds as bounds()."""
-        n = len(want)
-        f = self.h[:n]
-        self.cdf.take(self.row, 0, out=f, mode="clip")
-        for g, w in zip(self.nib, self.weight):
-            on = np.flatnonzero(w)
-            if len(on):
-                x = f[on].astype(np.int32)
-                f[on] = x + ((AIM[g[on]] - x) * w[on, None] >> 8)
-        np.add(f, ONES, out=f)
-        below = self.below[:n]
-        np.less_equal(f, want[:, None], out=below)
-        seen = np.bitwise_count(below.view(np.uint64))
-        sym = (seen[:, 0] + seen[:, 1]).astype(np.int64)
-        at = self.lane[:n] * 16 + sym
-        flat = f.reshape(-1)
-        return sym, flat.take(at - 1, mode="clip").astype(np.int32) * (sym > 0), flat.take(at).astype(np.int32)
-
-    def learn(self, sym: np.ndarray) -> None:
-        f, g = self.f[: len(sym)], self.g[: len(sym)]
-        self.cdf.take(self.row, 0, out=f, mode="clip")
-        AIM.take(sym, 0, out=g, mode="clip")
-        np.subtract(g, f, out=g)
-        np.right_shift(g, RATE, out=g)
-        np.add(f, g, out=f)
-        self.packed[self.row] = f.view("V32").reshape(-1)
-        self.path = self.path << 4 | sym
-
-    def end(self) -> None:
-        """Predictions move towards the id just coded (the path)."""
-        ids, n = self.path.astype(np.int32), len(self.path)
-        for pred, conf, slot, guess in zip(self.pred, self.conf, self.slot, self.guess):
-            ok, c = guess == ids, conf[slot]
-            sure = c > 1
-            pred[slot] = np.where(sure, guess, ids)
-            conf[slot] = np.where(ok, np.minimum(c + 1, 7), np.where(sure, c >> 1, 1))
-        self.before[:n], self.last[:n] = self.last[:n].copy(), self.path
-
-
-def encode(ids: np.ndarray, block: int | None = None, nibbles: int = 4) -> bytes:
+MAGIC = b"CMR3"
+HEAD = "<IIBII"
+BITS1, BITS2 = 10, 11  # contexts kept of each order
+GATE = np.uint64(8)
+FULL, HALF, MASK = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(32), np.uint64(0xFFFFFFFF)
+K1, K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+THREE, SEVEN = np.uint32(3), np.uint32(7)
+DROP = np.array([0, 0, 1, 2, 2, 3, 3, 4], np.uint32)  # a miss takes a counter c to c >> 1
+
+
+class Contexts:
+    """Order-1 and order-2 predictions of each lane; an entry is id << 3 | confidence."""
+
+    def __init__(self, lanes: int):
+        lane = np.arange(lanes)
+        self.base = [lane << BITS1, lane << BITS2]
+        self.table = [np.zeros(lanes << b, np.uint32) for b in (BITS1, BITS2)]
+        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+
+    def look(self, n: int) -> list[np.ndarray]:
+        """The entries of the first n lanes for the next id: order 1, order 2."""
+        one = self.one[:n]
+        self.slot = [self.base[0][:n] + (one >> np.uint32(32 - BITS1)), self.base[1][:n] + ((one + self.two[:n]) >> np.uint32(32 - BITS2))]
+        self.seen = [t.take(s) for t, s in zip(self.table, self.slot)]
+        return self.seen
+
+    def learn(self, ids: np.ndarray) -> None:
+        n, fresh = len(ids), ids << THREE | np.uint32(1)
+        for table, slot, x in zip(self.table, self.slot, self.seen):
+            c = x & SEVEN
+            miss = np.where(c > 1, x - DROP.take(c), fresh)
+            table[slot] = np.where(x >> THREE == ids, np.minimum(x + np.uint32(1), x | SEVEN), miss)
+        self.two[:n] = self.one[:n] * (K1 ^ K2)
+        self.one[:n] = ids * K1
+
+
+def shares(gates: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(w2, w1): the parts of 256 that the predictions of orders 2 and 1 get; the rest is order 0's."""
+    c2 = x2 & SEVEN
+    w1 = gates[1].take(c2 << THREE | (x1 & SEVEN))
+    return gates[0].take(c2), w1 * (x1 >> THREE != x2 >> THREE)
+
+
+def gates_of(g2: np.ndarray, g1: np.ndarray) -> list[np.ndarray]:
+    """Tables of w2 by its confidence, and of w1 by both (g1: parts of what order 2 leaves)."""
+    return [g2.astype(np.uint64), ((256 - g2.astype(int))[:, None] * g1.astype(int)[None, :] >> 8).ravel().astype(np.uint64)]
+
+
+def fitted(hit: np.ndarray, conf: np.ndarray) -> np.ndarray:
+    """Shares by confidence: the part of hits, kept off certainty; none without a prediction."""
+    seen, good = np.bincount(conf, minlength=8), np.bincount(conf[hit], minlength=8)
+    g = np.clip(256 * (good + 0.5) // (seen + 1), 1, 244).astype(np.uint8)
+    g[0] = 0
+    return g
+
+
+def cumulated(freq: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(freq)).astype(np.uint64)
+
+
+def encode(ids: np.ndarray, block: int | None = None) -> bytes:
     """One segment. block: ids in a block, by default so that a segment has many lanes."""
-    block = block or int(np.clip(len(ids) // 1024, 256, 4096))
+    ids = np.ascontiguousarray(ids, np.uint32)
+    block = block or int(np.clip(len(ids) // 2048, 256, 4096))
     lanes = -(-len(ids) // block)
     sizes = np.full(lanes, block)
     if lanes:
         sizes[-1] = len(ids) - block * (lanes - 1)
-    grid = np.zeros(lanes * block, np.int64)
+    high = int(ids.max()) + 1 if lanes else 0
+    if high > 1 << 24:
+        raise ValueError("ids must be below 2**24")
+    count = np.bincount(ids, minlength=high)
+    known = np.flatnonzero(count)
+    bits = 16 if len(known) <= 1 << 13 else 20
+    if len(known) > 1 << 19:
+        raise ValueError("more than 2**19 different ids in a segment")
+    freq = 1 + count[known] * ((1 << bits) - len(known)) // max(1, len(ids))
+    if lanes:
+        freq[np.argmax(freq)] += (1 << bits) - freq.sum()
+    cum = cumulated(freq)
+    place = np.zeros(high, np.uint32)
+    place[known] = np.arange(len(known))
+
+    grid = np.zeros(lanes * block, np.uint32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
+    steps = [lanes if t < sizes[-1] else lanes - 1 for t in range(block)] if lanes else []
+    seen1, seen2 = np.zeros_like(grid), np.zeros_like(grid)
+    ctx = Contexts(lanes)
+    for t, n in enumerate(steps):
+        seen1[t, :n], seen2[t, :n] = ctx.look(n)
+        ctx.learn(grid[t, :n])
+    hit2 = seen2 >> THREE == grid
+    g2 = fitted(hit2.ravel(), (seen2 & SEVEN).ravel())
+    left = ~hit2 | (seen2 & SEVEN == 0)
+    g1 = fitted((seen1 >> THREE == grid)[left], (seen1 & SEVEN)[left])
+    gates = gates_of(g2, g1)
+
     cap = block + 8
     out, at = np.zeros((lanes, cap), "<u4"), np.zeros(lanes, np.int64)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, FULL)
-    m = Model(lanes, nibbles)
-    for t in range(block if lanes else 0):
-        n = lanes if t < sizes[-1] else lanes - 1
-        if not n:
-            break
-        m.begin(n)
-        for j in range(nibbles):
-            sym = (grid[t, :n] >> (4 * (nibbles - 1 - j))) & 15
-            m.rows(j)
-            lo, hi = m.bounds(sym)
-            r = rng[:n] >> SHIFT
-            low[:n] += r * lo.astype(np.uint64)
-            rng[:n] = r * (hi - lo).astype(np.uint64)
-            small = np.flatnonzero(rng[:n] <= MASK)
-            if len(small):
-                a, w = low[small], rng[small]
-                w = np.where((a ^ (a + w)) >> HALF != 0, (~a + np.uint64(1)) & MASK, w)
-                out[small, np.minimum(at[small], cap - 3)] = (a >> HALF).astype(np.uint32)
-                at[small] += 1
-                low[small], rng[small] = a << HALF, w << HALF
-            m.learn(sym)
-        m.end()
+    b0 = np.uint64(bits)
+    for t, n in enumerate(steps):
+        x1, x2, want = seen1[t, :n], seen2[t, :n], grid[t, :n]
+        w2, w1 = shares(gates, x1, x2)
+        both = w2 + w1
+        is2 = (x2 >> THREE == want) & (w2 > 0)
+        is1 = (x1 >> THREE == want) & (w1 > 0) & ~is2
+        rest = ~(is1 | is2)
+        r = rng[:n] >> GATE
+        lo, wide = low[:n] + r * np.where(rest, both, is1 * w2), r * np.where(rest, np.uint64(256) - both, np.where(is2, w2, w1))
+        k = np.flatnonzero(rest)
+        s = place.take(want[k])
+        r = wide[k] >> b0
+        c = cum.take(s)
+        lo[k] += r * c
+        wide[k] = r * (cum.take(s + np.uint32(1)) - c)
+        low[:n], rng[:n] = lo, wide
+        small = np.flatnonzero(wide <= MASK)
+        if len(small):
+            a, w = lo[small], wide[small]
+            w = np.where((a ^ (a + w)) >> HALF != 0, (~a + np.uint64(1)) & MASK, w)
+            out[small, np.minimum(at[small], cap - 3)] = (a >> HALF).astype(np.uint32)
+            at[small] += 1
+            low[small], rng[small] = a << HALF, w << HALF
+    info = zlib.compress(g2.tobytes() + g1.tobytes() + np.diff(known, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 1)
     head, body = [], []
     for k in range(lanes):
-        own = np.ascontiguousarray(ids[k * block : k * block + sizes[k]]).astype("<u4")
+        own = ids[k * block : k * block + sizes[k]].astype("<u4")
         raw = at[k] + 2 > min(cap - 3, len(own))
         if not raw:
             out[k, at[k]], out[k, at[k] + 1] = low[k] >> HALF, low[k] & MASK
         body.append(own.tobytes() if raw else out[k, : at[k] + 2].tobytes())
         head.append(struct.pack("<IiI", len(own), -1 if raw else int(at[k] + 2), zlib.crc32(own)))
-    return b"".join([MAGIC, struct.pack("<IIBI", len(ids), lanes, nibbles, block), *head, *body])
+    return b"".join([MAGIC, struct.pack(HEAD, len(ids), lanes, bits, block, len(info)), info, *head, *body])
 
 
 def decode(seg: bytes) -> np.ndarray:
-    """The ids of a segment; ValueError if a block's checksum differs."""
+    """The ids of a segment; ValueError if a block's checksum differs or the head can't be read."""
     if seg[:4] != MAGIC:
         raise ValueError("not a segment of token ids")
-    total, lanes, nibbles, block = struct.unpack_from("<IIBI", seg, 4)
-    heads = [struct.unpack_from("<IiI", seg, 17 + 12 * k) for k in range(lanes)]
-    at, words = 17 + 12 * lanes, []
-    out = np.zeros((lanes, block), np.int64)
-    coded = []
+    total, lanes, bits, block, size = struct.unpack_from(HEAD, seg, 4)
+    at = 4 + struct.calcsize(HEAD)
+    try:
+        info = zlib.decompress(seg[at : at + size])
+    except zlib.error as e:
+        raise ValueError("damaged head") from e
+    d = (len(info) - 16) // 8
+    g2, g1 = np.frombuffer(info, np.uint8, 8), np.frombuffer(info, np.uint8, 8, 8)
+    known = np.cumsum(np.frombuffer(info, "<u4", d, 16)).astype(np.uint32)
+    freq = np.frombuffer(info, "<u4", d, 16 + 4 * d)
+    gates, cum = gates_of(g2, g1), cumulated(freq)
+    owner = np.repeat(np.arange(d, dtype=np.uint32), freq)
+    at += size
+    heads = [struct.unpack_from("<IiI", seg, at + 12 * k) for k in range(lanes)]
+    at += 12 * lanes
+    out, coded, words = np.zeros((lanes, block), np.uint32), [], []
     for k, (n, w, _) in enumerate(heads):
-        size = 4 * (n if w < 0 else w)
         if w < 0:
             out[k, :n] = np.frombuffer(seg, "<u4", n, at)
         else:
             coded.append(k)
             words.append(np.frombuffer(seg, "<u4", w, at))
-        at += size
+        at += 4 * (n if w < 0 else w)
     if coded:
         sizes = np.array([heads[k][0] for k in coded])
         base = np.cumsum([0, *[len(w) for w in words[:-1]]]).astype(np.int64)
         flat = np.concatenate([*words, np.zeros(8, "<u4")]).astype(np.uint64)
-        lanes_, nxt = len(coded), base + 2
-        low, rng, code = np.zeros(lanes_, np.uint64), np.full(lanes_, FULL), flat[base] << HALF | flat[base + 1]
-        got = np.zeros((int(sizes.max()), lanes_), np.int64)
-        m = Model(lanes_, nibbles)
+        m, nxt = len(coded), base + 2
+        low, rng, code = np.zeros(m, np.uint64), np.full(m, FULL), flat[base] << HALF | flat[base + 1]
+        got = np.zeros((int(sizes.max()), m), np.uint32)
+        ctx, b0 = Contexts(m), np.uint64(bits)
         for t in range(int(sizes.max())):
-            n = lanes_ if t < sizes[-1] else lanes_ - 1
-            m.begin(n)
-            for j in range(nibbles):
-                m.rows(j)
-                r = rng[:n] >> SHIFT
-                sym, lo, hi = m.find(((code[:n] - low[:n]) // r).astype(np.int16))
-                low[:n] += r * lo.astype(np.uint64)
-                rng[:n] = r * (hi - lo).astype(np.uint64)
-                small = np.flatnonzero(rng[:n] <= MASK)
-                if len(small):
-                    a, w = low[small], rng[small]
-                    w = np.where((a ^ (a + w)) >> HALF != 0, (~a + np.uint64(1)) & MASK, w)
-                    code[small] = code[small] << HALF | flat[nxt[small]]
-                    nxt[small] += 1
-                    low[small], rng[small] = a << HALF, w << HALF
-                m.learn(sym)
-            got[t, :n] = m.path
-            m.end()
+            n = m if t < sizes[-1] else m - 1
+            x1, x2 = ctx.look(n)
+            w2, w1 = shares(gates, x1, x2)
+            both = w2 + w1
+            lo, r = low[:n], rng[:n] >> GATE
+            v = (code[:n] - lo) // r
+            is2, rest = v < w2, v >= both
+            lo = lo + r * np.where(rest, both, np.where(is2, np.uint64(0), w2))
+            wide = r * np.where(rest, np.uint64(256) - both, np.where(is2, w2, w1))
+            ids = np.where(is2, x2, x1) >> THREE
+            k = np.flatnonzero(rest)
+            r = wide[k] >> b0
+            s = owner.take(((code[k] - lo[k]) // r).view(np.int64), mode="clip")
+            c = cum.take(s)
+            lo[k] += r * c
+            wide[k] = r * (cum.take(s + np.uint32(1)) - c)
+            ids[k] = known.take(s)
+            low[:n], rng[:n] = lo, wide
+            small = np.flatnonzero(wide <= MASK)
+            if len(small):
+                a, w = lo[small], wide[small]
+                w = np.where((a ^ (a + w)) >> HALF != 0, (~a + np.uint64(1)) & MASK, w)
+                code[small] = code[small] << HALF | flat.take(nxt[small], mode="clip")
+                nxt[small] += 1
+                low[small], rng[small] = a << HALF, np.maximum(w, np.uint64(1)) << HALF
+            ctx.learn(ids)
+            got[t, :n] = ids
         for x, k in enumerate(coded):
             out[k, : heads[k][0]] = got[: heads[k][0], x]
     for k, (n, _, crc) in enumerate(heads):
         if zlib.crc32(out[k, :n].astype("<u4")) != crc:
             raise ValueError(f"checksum of block {k} differs")
-    return out.ravel()[:total].astype(np.uint32)
+    return out.ravel()[:total]

@@ -9,49 +9,87 @@ ids of a text are the ids of its pieces put together, and pieces repeat. Texts w
 end-of-text marker, are encoded whole.
 
 Edge cases: null text is empty and has the end id only; rows repeated with one id are written one after the other; an
-empty table writes no segment. Only id and text are read.
+empty table writes no segment; null ids come first. Only id and text are read.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, pieces, utf8
 from .rangecoder import decode, encode
 
 SEGMENT = 4_000_000
-PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-ODD = re.compile(r"[^\S \t\n\r]|<\|endoftext\|>")
+CHUNK = 1 << 22  # bytes of text tokenized at a time (or one text)
+ODD = r"<\|endoftext\|>|[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 CACHE = 600_000
+BLANK = np.zeros(256, bool)
+BLANK[[32, 9, 10, 13]] = True
+_ENCODERS: dict = {}  # of this worker, so that its next task finds the cache filled
 
 
 class Encoder:
-    """Texts to ids (as uint32 bytes) by cached pieces."""
+    """Texts to ids by cached pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.cache = Tokenizer.from_file(path), {}
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        parts = [None if ODD.search(t) else PIECES.findall(t) for t in texts]
+        self.tok, self.end, self.cache = Tokenizer.from_file(path), end_id, {}
+
+    def pieces_of(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of the texts as one array, and the first piece of each text (with the total last): a piece is a
+        run of blanks and the word after it. An odd text is one piece."""
+        data, offs = utf8(texts)
+        cut = np.zeros(len(data) + 1, bool)
+        blank = BLANK[data]
+        cut[1:-1] = blank[1:] & ~blank[:-1]
+        for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, ODD), False).to_numpy(zero_copy_only=False)):
+            cut[offs[i] : offs[i + 1]] = False
+        cut[offs] = True
+        at = np.flatnonzero(cut)
+        if len(at) < 2:  # no text at all
+            return pa.array([], pa.binary()), np.zeros(len(texts) + 1, np.int64)
+        arr = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        return arr, np.searchsorted(at, offs)
+
+    def chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id; how many each text has)."""
+        arr, first = self.pieces_of(texts)
+        coded = arr.dictionary_encode()
+        names = coded.dictionary.to_pylist()
         if len(self.cache) > CACHE:
             self.cache = {}
-        new = list({p for ps in parts if ps for p in ps}.difference(self.cache))
+        new = [p for p in names if p not in self.cache]
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
-            self.cache.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(part, add_special_tokens=False))))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ps)) if ps is not None else np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ps in zip(texts, parts)]
+            self.cache.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([p.decode() for p in part], add_special_tokens=False))))
+        own = [self.cache[p] for p in names]
+        flat = np.append(np.frombuffer(b"".join(own), "<u4"), np.uint32(self.end))
+        width = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        start = np.cumsum(width) - width
+        # The end id of each text is one more piece behind its own.
+        which = coded.indices.to_numpy()
+        ends = first[1:]
+        width = np.insert(width.take(which), ends, 1)
+        start = np.insert(start.take(which), ends, len(flat) - 1)
+        done = np.append(0, np.cumsum(width))
+        ids = flat.take(np.repeat(start - done[:-1], width) + np.arange(done[-1]))
+        return ids, np.diff(done[np.append(0, ends + np.arange(1, len(ends) + 1))])
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,34 +97,31 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "d
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id").withColumn("file", F.spark_partition_id())
-    end = np.array([end_id], "<u4").tobytes()
 
     def work(batches):
-        enc, ids, sizes, keys, seg, file, held = Encoder(tokenizer), [], [], [], 0, 0, 0
-
-        def flush():
-            nonlocal seg
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            index = zlib.compress(np.array(keys, "<i8").tobytes() + np.array(sizes, "<u4").tobytes(), 1)
-            data = struct.pack("<II", len(keys), len(index)) + index + encode(flat, nibbles=4 if not len(flat) or flat.max() < 1 << 16 else 5)
-            yield pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "segment": pa.array([seg], pa.int32()), "n_ids": pa.array([len(flat)], pa.int64()), "data": pa.array([data], pa.binary())})
-            seg += 1
+        enc, ids, sizes, keys, seg, file, held = encoder(tokenizer, end_id), [], [], [], 0, 0, 0
+
+        def segment():
+            flat, key, size = np.concatenate(ids), pa.concat_arrays(keys), np.concatenate(sizes)
+            index = zlib.compress(key.fill_null(0).to_numpy().astype("<i8").tobytes() + size.astype("<u4").tobytes() + key.is_null().to_numpy(zero_copy_only=False).tobytes(), 1)
+            data = struct.pack("<II", len(size), len(index)) + index + encode(flat)
             ids.clear(), sizes.clear(), keys.clear()
+            return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "segment": pa.array([seg], pa.int32()), "n_ids": pa.array([len(flat)], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for batch in batches:
-            file = batch.column("file")[0].as_py() if batch.num_rows else file
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                for k, raw in zip(part.column("id").to_pylist(), enc.batch(part.column("text").to_pylist())):
-                    ids.append(raw + end)
-                    sizes.append(len(raw) // 4 + 1)
-                    keys.append(k)
-                    held += sizes[-1]
-                    if held >= SEGMENT:
-                        yield from flush()
-                        held = 0
+            if not batch.num_rows:
+                continue
+            file = batch.column("file")[0].as_py()
+            text, key = batch.column("text"), batch.column("id").cast(pa.int64())
+            for i, j in pieces(utf8(text)[1], CHUNK):
+                flat, size = enc.chunk(text.slice(i, j - i))
+                ids.append(flat), sizes.append(size), keys.append(key.slice(i, j - i))
+                held += len(flat)
+                if held >= SEGMENT:
+                    yield segment()
+                    seg, held = seg + 1, 0
         if keys:
-            yield from flush()
+            yield segment()
 
     return materialize(rows.mapInArrow(work, "file int, segment int, n_ids bigint, data binary"), "tokens")
 
@@ -104,10 +139,11 @@ def read_tokens(table: DataFrame) -> DataFrame:
                 index = zlib.decompress(data[8 : 8 + size])
                 ids = decode(data[8 + size :]).astype("<u4")
                 sizes = np.frombuffer(index, "<u4", n, 8 * n).astype(np.int64)
+                none = np.frombuffer(index, bool, n, 12 * n)
                 ends = np.cumsum(sizes)
                 view = memoryview(ids.tobytes())
                 crc = [zlib.crc32(view[4 * (e - s) : 4 * e]) for e, s in zip(ends.tolist(), sizes.tolist())]
-                yield pa.RecordBatch.from_pydict({"file": pa.array([file] * n, pa.int32()), "segment": pa.array([seg] * n, pa.int32()), "id": pa.array(np.frombuffer(index, "<i8", n)), "at": pa.array(ends - sizes), "n_tokens": pa.array(sizes), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"file": pa.array([file] * n, pa.int32()), "segment": pa.array([seg] * n, pa.int32()), "id": pa.array(np.frombuffer(index, "<i8", n), mask=none), "at": pa.array(ends - sizes), "n_tokens": pa.array(sizes), "ids_crc32": pa.array(crc, pa.int64())})
 
     docs = table.mapInArrow(work, "file int, segment int, id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
     return docs.join(heads, ["file", "segment"]).select("id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
