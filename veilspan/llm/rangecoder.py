@@ -81,7 +81,7 @@ def cumulated(freq: np.ndarray) -> np.ndarray:
 def encode(ids: np.ndarray, block: int | None = None) -> bytes:
     """One segment. block: ids in a block, by default so that a segment has many lanes."""
     ids = np.ascontiguousarray(ids, np.uint32)
-    block = block or int(np.clip(len(ids) // 2048, 256, 4096))
+    block = block or int(np.clip(len(ids) // 4096, 256, 4096))
     lanes = -(-len(ids) // block)
     sizes = np.full(lanes, block)
     if lanes:

@@ -5,7 +5,8 @@ segments in the shared folder (one row each), so any store that Spark writes can
 shuffle: each segment is decoded where its row is read, and offsets come from a running sum over segments.
 
 Texts are tokenized by pieces: a boundary before blanks is always a token boundary of the byte-level splitter, so the
-ids of a text are the ids of its pieces put together, and pieces repeat. Texts with other white space, or holding the
+ids of a text are the ids of its pieces put together, and pieces repeat; so is one between an ASCII letter or digit and
+a sign. Texts with other white space, or holding the
 end-of-text marker, are encoded whole.
 
 Edge cases: null text is empty and has the end id only; rows repeated with one id are written one after the other; an
@@ -30,9 +31,12 @@ from .rangecoder import decode, encode
 SEGMENT = 4_000_000
 CHUNK = 1 << 22  # bytes of text tokenized at a time (or one text)
 ODD = r"<\|endoftext\|>|[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-CACHE = 600_000
+CACHE = 1_000_000
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 13]] = True
+WORD, SIGN = np.zeros(256, bool), np.zeros(256, bool)  # ASCII letters and digits; other printing ASCII
+for c in range(33, 127):
+    (WORD if chr(c).isalnum() else SIGN)[c] = True
 _ENCODERS: dict = {}  # of this worker, so that its next task finds the cache filled
 
 
@@ -44,20 +48,48 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.end, self.cache = Tokenizer.from_file(path), end_id, {}
+        names = self.tok.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(names.values()) + 1, np.int64)
+        for name, i in names.items():  # a byte-level token has a character for each byte
+            self.bytes_of[i] = len(name)
+
+    def learn(self, new: list[bytes]) -> None:
+        """Put new pieces into the cache. Pieces of a blank and a word are joined, encoded together and told apart by
+        the tokens' lengths; the others are encoded one by one."""
+        odd = pc.match_substring_regex(pa.array(new, pa.binary()).cast(pa.string()), ODD).to_pylist()
+        plain = [p for p, o in zip(new, odd) if not o and BLANK[p[0]] and not BLANK[p[-1]]]
+        alone = [p for p, o in zip(new, odd) if o or not BLANK[p[0]] or BLANK[p[-1]]]
+        for i in range(0, len(plain), 20_000):
+            groups = [plain[k : k + 500] for k in range(i, min(i + 20_000, len(plain)), 500)]
+            texts = [b"".join(g).decode() for g in groups]
+            for g, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                ends = np.cumsum(np.fromiter(map(len, g), np.int64, len(g)))
+                at = np.cumsum(self.bytes_of.take(ids, mode="clip"))
+                cut = np.searchsorted(at, ends)
+                if len(at) and cut[-1] == len(at) - 1 and (at[cut] == ends).all():
+                    raw, cut = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
+                    self.cache.update(zip(g, (raw[x:y] for x, y in zip(cut, cut[1:]))))
+                else:  # a tokenizer whose tokens don't spell the bytes
+                    alone += g
+        for i in range(0, len(alone), 10_000):
+            part = alone[i : i + 10_000]
+            self.cache.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([p.decode() for p in part], add_special_tokens=False))))
 
     def pieces_of(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The pieces of the texts as one array, and the first piece of each text (with the total last): a piece is a
-        run of blanks and the word after it. An odd text is one piece."""
+        run of blanks and the word after it, cut where a sign follows an ASCII letter or digit. An odd text is one
+        piece."""
         data, offs = utf8(texts)
         cut = np.zeros(len(data) + 1, bool)
         blank = BLANK[data]
-        cut[1:-1] = blank[1:] & ~blank[:-1]
+        cut[1:-1] = blank[1:] & ~blank[:-1] | WORD[data[:-1]] & SIGN[data[1:]]
         for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, ODD), False).to_numpy(zero_copy_only=False)):
             cut[offs[i] : offs[i + 1]] = False
         cut[offs] = True
         at = np.flatnonzero(cut)
         if len(at) < 2:  # no text at all
-            return pa.array([], pa.binary()), np.zeros(len(texts) + 1, np.int64)
+            return pa.array([], pa.large_binary()), np.zeros(len(texts) + 1, np.int64)
         arr = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         return arr, np.searchsorted(at, offs)
 
@@ -65,13 +97,16 @@ class Encoder:
         """(ids of all texts, each with the end id; how many each text has)."""
         arr, first = self.pieces_of(texts)
         coded = arr.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = []
+        if len(coded.dictionary):
+            at = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist()
+            own = coded.dictionary.buffers()[2].to_pybytes()
+            names = [own[a:b] for a, b in zip(at, at[1:])]
         if len(self.cache) > CACHE:
-            self.cache = {}
+            self.cache = {p: self.cache[p] for p in names if p in self.cache}
         new = [p for p in names if p not in self.cache]
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            self.cache.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([p.decode() for p in part], add_special_tokens=False))))
+        if new:
+            self.learn(new)
         own = [self.cache[p] for p in names]
         flat = np.append(np.frombuffer(b"".join(own), "<u4"), np.uint32(self.end))
         width = np.fromiter(map(len, own), np.int64, len(own)) // 4
