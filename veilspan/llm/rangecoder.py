@@ -25,7 +25,7 @@ GATE = np.uint64(8)
 FULL, HALF, MASK = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(32), np.uint64(0xFFFFFFFF)
 K1, K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 THREE, SEVEN = np.uint32(3), np.uint32(7)
-DROP = np.array([0, 0, 1, 2, 2, 3, 3, 4], np.uint32)  # a miss takes a counter c to c >> 1
+ONE, FOUR = np.uint32(1), np.uint32(4)
 
 
 class Contexts:
@@ -45,33 +45,40 @@ class Contexts:
         return self.seen
 
     def learn(self, ids: np.ndarray) -> None:
-        n, fresh = len(ids), ids << THREE | np.uint32(1)
+        n, fresh = len(ids), ids << THREE | ONE
         for table, slot, x in zip(self.table, self.slot, self.seen):
             c = x & SEVEN
-            miss = np.where(c > 1, x - DROP.take(c), fresh)
-            table[slot] = np.where(x >> THREE == ids, np.minimum(x + np.uint32(1), x | SEVEN), miss)
+            miss = np.where(c > ONE, x - (c - (c >> ONE)), fresh)
+            table[slot] = np.where(x >> THREE == ids, np.minimum(x + ONE, x | SEVEN), miss)
         self.two[:n] = self.one[:n] * (K1 ^ K2)
         self.one[:n] = ids * K1
 
 
-def shares(gates: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(w2, w1): the parts of 256 that the predictions of orders 2 and 1 get; the rest is order 0's."""
-    c2 = x2 & SEVEN
-    w1 = gates[1].take(c2 << THREE | (x1 & SEVEN))
-    return gates[0].take(c2), w1 * (x1 >> THREE != x2 >> THREE)
+def state(x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
+    """Confidences of both orders and whether they predict the same: c2 << 4 | c1 << 1 | same."""
+    return (x2 & SEVEN) << FOUR | (x1 & SEVEN) << ONE | (x1 >> THREE == x2 >> THREE)
 
 
-def gates_of(g2: np.ndarray, g1: np.ndarray) -> list[np.ndarray]:
-    """Tables of w2 by its confidence, and of w1 by both (g1: parts of what order 2 leaves)."""
-    return [g2.astype(np.uint64), ((256 - g2.astype(int))[:, None] * g1.astype(int)[None, :] >> 8).ravel().astype(np.uint64)]
+def gates_of(g2: np.ndarray, g1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By state, the parts of 256 that order 2 gets, and that both get; the rest is order 0's. g1 are parts of what
+    order 2 leaves; nothing is left to an order 1 that predicts the same."""
+    st = np.arange(128)
+    w2 = g2.astype(np.int64)[st >> 4]
+    return w2.astype(np.uint64), (w2 + ((256 - w2) * g1.astype(np.int64)[st >> 1 & 7] >> 8) * (1 - (st & 1))).astype(np.uint64)
 
 
-def fitted(hit: np.ndarray, conf: np.ndarray) -> np.ndarray:
-    """Shares by confidence: the part of hits, kept off certainty; none without a prediction."""
-    seen, good = np.bincount(conf, minlength=8), np.bincount(conf[hit], minlength=8)
-    g = np.clip(256 * (good + 0.5) // (seen + 1), 1, 244).astype(np.uint8)
-    g[0] = 0
-    return g
+def fitted(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(g2, g1) from counts by (order 1 hit, order 2 hit, state): the parts of hits by confidence, kept off certainty;
+    none without a prediction. Order 1 is judged where order 2 has no hit."""
+    n = seen.reshape(2, 2, 8, 8, 2)
+
+    def part(hits, all_):
+        g = np.clip(256 * (hits + 0.5) // (all_ + 1), 1, 244).astype(np.uint8)
+        g[0] = 0
+        return g
+
+    left = n[:, 0].sum((1, 3)) + n[:, 1, 0].sum(2)
+    return part(n[:, 1].sum((0, 2, 3)), n.sum((0, 1, 3, 4))), part(left[1], left.sum(0))
 
 
 def cumulated(freq: np.ndarray) -> np.ndarray:
@@ -105,30 +112,34 @@ def encode(ids: np.ndarray, block: int | None = None) -> bytes:
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
     steps = [lanes if t < sizes[-1] else lanes - 1 for t in range(block)] if lanes else []
-    seen1, seen2 = np.zeros_like(grid), np.zeros_like(grid)
+    kinds = np.zeros(grid.shape, np.uint16)
+    seen = np.zeros(512, np.int64)
     ctx = Contexts(lanes)
     for t, n in enumerate(steps):
-        seen1[t, :n], seen2[t, :n] = ctx.look(n)
-        ctx.learn(grid[t, :n])
-    hit2 = seen2 >> THREE == grid
-    g2 = fitted(hit2.ravel(), (seen2 & SEVEN).ravel())
-    left = ~hit2 | (seen2 & SEVEN == 0)
-    g1 = fitted((seen1 >> THREE == grid)[left], (seen1 & SEVEN)[left])
-    gates = gates_of(g2, g1)
+        x1, x2 = ctx.look(n)
+        want = grid[t, :n]
+        kinds[t, :n] = state(x1, x2) | (x2 >> THREE == want) * np.uint32(128) | (x1 >> THREE == want) * np.uint32(256)
+        seen += np.bincount(kinds[t, :n], minlength=512)
+        ctx.learn(want)
+    g2, g1 = fitted(seen)
+    # The first step of an id by its kind: lower end, width, whether order 0 follows.
+    two, both = (np.tile(g, 4) for g in gates_of(g2, g1))
+    kind = np.arange(512)
+    is2 = (kind & 128 > 0) & (two > 0)
+    is1 = (kind & 256 > 0) & (both > two) & ~is2
+    then = ~(is1 | is2)
+    below = np.where(then, both, np.where(is1, two, np.uint64(0)))
+    share = np.where(then, np.uint64(256) - both, np.where(is1, both - two, two))
 
     cap = block + 8
     out, at = np.zeros((lanes, cap), "<u4"), np.zeros(lanes, np.int64)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, FULL)
     b0 = np.uint64(bits)
     for t, n in enumerate(steps):
-        x1, x2, want = seen1[t, :n], seen2[t, :n], grid[t, :n]
-        w2, w1 = shares(gates, x1, x2)
-        both = w2 + w1
-        is2 = (x2 >> THREE == want) & (w2 > 0)
-        is1 = (x1 >> THREE == want) & (w1 > 0) & ~is2
-        rest = ~(is1 | is2)
+        kind, want = kinds[t, :n].astype(np.int64), grid[t, :n]
+        rest = then.take(kind)
         r = rng[:n] >> GATE
-        lo, wide = low[:n] + r * np.where(rest, both, is1 * w2), r * np.where(rest, np.uint64(256) - both, np.where(is2, w2, w1))
+        lo, wide = low[:n] + r * below.take(kind), r * share.take(kind)
         k = np.flatnonzero(rest)
         s = place.take(want[k])
         r = wide[k] >> b0
@@ -193,13 +204,13 @@ def decode(seg: bytes) -> np.ndarray:
         for t in range(int(sizes.max())):
             n = m if t < sizes[-1] else m - 1
             x1, x2 = ctx.look(n)
-            w2, w1 = shares(gates, x1, x2)
-            both = w2 + w1
+            st = state(x1, x2).astype(np.int64)
+            w2, both = gates[0].take(st), gates[1].take(st)
             lo, r = low[:n], rng[:n] >> GATE
             v = (code[:n] - lo) // r
             is2, rest = v < w2, v >= both
             lo = lo + r * np.where(rest, both, np.where(is2, np.uint64(0), w2))
-            wide = r * np.where(rest, np.uint64(256) - both, np.where(is2, w2, w1))
+            wide = r * np.where(rest, np.uint64(256) - both, np.where(is2, w2, both - w2))
             ids = np.where(is2, x2, x1) >> THREE
             k = np.flatnonzero(rest)
             r = wide[k] >> b0
