@@ -137,15 +137,21 @@ def prefixes(rows: DataFrame, sketch: np.ndarray, k: int, num: int, den: int, se
     return rows.select("text").mapInArrow(work, "token bigint, cls bigint, n int, ell int, pos int")
 
 
-def sets_of(need: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(cls, tokens): whole shingle sets of the classes in need (cls, rep)."""
+def sets_for(need: DataFrame, rows: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """The columns `keep` of need (with rep, an id) and `tokens`: the whole shingle set of that id's text."""
 
     def work(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([s.view(np.int64) for s in shingle_sets(batch.column("text"), k)], pa.list_(pa.int64()))], ["cls", "tokens"])
+            sets = pa.array([s.view(np.int64) for s in shingle_sets(batch.column("text"), k)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), sets], [*keep, "tokens"])
+
+    texts = rows.join(sized(need.select("rep", *keep), 2_000_000), F.col("id") == F.col("rep")).select(*keep, "text")
+    return texts.mapInArrow(work, ", ".join(f"{c} bigint" for c in [*keep]) + ", tokens array<bigint>")
 
-    texts = rows.join(sized(need.select("cls", "rep"), 2_000_000), F.col("id") == F.col("rep")).select("cls", "text")
-    return materialize(texts.mapInArrow(work, "cls bigint, tokens array<bigint>").dropDuplicates(["cls"]), "ngram-sets")
+
+def sets_of(need: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(cls, tokens): whole shingle sets of the classes in need (cls, rep)."""
+    return materialize(sets_for(need, rows, k, ["cls"]).dropDuplicates(["cls"]), "ngram-sets")
 
 
 def tile_links(cls: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -206,18 +212,15 @@ def family_links(heavy: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num
 
 def verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose Jaccard similarity is at least num / den, by whole sets."""
-    need = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct().join(reps.select("cls", "rep"), "cls")
-    need = materialize(need, "ngram-need")
-
-    def work(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([s.view(np.int64) for s in shingle_sets(batch.column("text"), k)], pa.list_(pa.int64()))], ["cls", "tokens"])
-
-    sets = sets_of(need, rows, k)
-    x = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
+    # Both sides' sets are made where their texts are read and meet in one shuffle, by a: no table of sets is written.
+    left = materialize(pairs.select("a").distinct().join(reps.select(F.col("cls").alias("a"), "rep"), "a"), "ngram-left")
+    right = materialize(pairs.join(reps.select(F.col("cls").alias("b"), "rep"), "b").select("a", "b", "rep"), "ngram-right")
+    one = sets_for(left, rows, k, ["a"]).withColumnRenamed("tokens", "ta").dropDuplicates(["a"])
+    x = sets_for(right, rows, k, ["a", "b"]).withColumnRenamed("tokens", "tb").join(one, "a")
     both = F.size(F.array_intersect("ta", "tb"))
-    out = materialize(x.where(den * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b").distinct(), "ngram-links")
-    discard(need, sets)
+    near = x.where(den * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+    out = materialize(materialize(near, "ngram-near").distinct(), "ngram-links")
+    discard(left, right)
     return out
 
 
