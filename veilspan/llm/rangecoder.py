@@ -20,7 +20,7 @@ import numpy as np
 
 MAGIC = b"CMR3"
 HEAD = "<IIBII"
-BITS1, BITS2 = 10, 11  # contexts kept of each order
+BITS1, BITS2 = 9, 10  # contexts kept of each order
 GATE = np.uint64(8)
 FULL, HALF, MASK = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(32), np.uint64(0xFFFFFFFF)
 K1, K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -96,7 +96,9 @@ def encode(ids: np.ndarray, block: int | None = None) -> bytes:
     high = int(ids.max()) + 1 if lanes else 0
     if high > 1 << 24:
         raise ValueError("ids must be below 2**24")
-    count = np.bincount(ids, minlength=high)
+    count = np.zeros(high, np.int64)
+    for i in range(0, len(ids), 1 << 18):
+        count += np.bincount(ids[i : i + (1 << 18)], minlength=high)
     known = np.flatnonzero(count)
     bits = 16 if len(known) <= 1 << 13 else 20
     if len(known) > 1 << 19:

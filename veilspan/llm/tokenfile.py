@@ -104,10 +104,11 @@ class Encoder:
             names = [own[a:b] for a, b in zip(at, at[1:])]
         if len(self.cache) > CACHE:
             self.cache = {p: self.cache[p] for p in names if p in self.cache}
-        new = [p for p in names if p not in self.cache]
+        own = list(map(self.cache.get, names))
+        new = [p for p, o in zip(names, own) if o is None]
         if new:
             self.learn(new)
-        own = [self.cache[p] for p in names]
+            own = list(map(self.cache.__getitem__, names))
         flat = np.append(np.frombuffer(b"".join(own), "<u4"), np.uint32(self.end))
         width = np.fromiter(map(len, own), np.int64, len(own)) // 4
         start = np.cumsum(width) - width
