@@ -31,7 +31,7 @@ from .rangecoder import decode, encode
 SEGMENT = 4_000_000
 CHUNK = 1 << 22  # bytes of text tokenized at a time (or one text)
 ODD = r"<\|endoftext\|>|[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-CACHE = 1_000_000
+CACHE = 1_500_000  # pieces kept by a worker, some 300 MB
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 13]] = True
 WORD, SIGN = np.zeros(256, bool), np.zeros(256, bool)  # ASCII letters and digits; other printing ASCII
