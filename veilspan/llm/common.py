@@ -5,6 +5,7 @@ Everything works on the UTF-8 bytes of Arrow string buffers, so no Python string
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,6 +52,13 @@ def discard(*dfs: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs that nothing refers to any more: its cleaner acts when the driver's JVM
+    collects garbage, which it may not do for many stages."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast df only if it has at most `rows` rows (counted, df being a scratch table); else leave the join
     to Catalyst, which shuffles and splits skewed partitions."""

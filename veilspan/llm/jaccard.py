@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, components, discard, materialize, mix, pieces, run_hashes, sized, utf8, word_runs
+from .common import LOWER, U64, components, discard, materialize, mix, pieces, release, run_hashes, sized, utf8, word_runs
 
 SKETCH, SLICES, MOST = 1 << 18, 16, 8
 LIGHT, TILE_ROWS, TILE_TOKENS, BITMAP = 32, 1024, 600_000, 2048
@@ -234,14 +234,27 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
             break
     post = prefixes(rows, sketch_of(desc), k, num, den, seed)
     hubs = post.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("other")).where("hub <> other").select("token", "hub")
-    post = materialize(post.join(materialize(hubs, "ngram-hubs"), "token").distinct(), "ngram-postings")
+    hubs = materialize(hubs, "ngram-hubs")
+    post = materialize(post.join(hubs, "token").distinct(), "ngram-postings")
+    discard(hubs)
+    del hubs
+    release(rows.sparkSession)
     star = post.where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("c")).groupBy("cls").agg(F.max(F.struct("c", "hub")).alias("m"))
-    links = verified(materialize(star.select(F.col("m.hub").alias("a"), F.col("cls").alias("b")), "ngram-star"), rows, reps, k, num, den)
+    star = materialize(star.select(F.col("m.hub").alias("a"), F.col("cls").alias("b")), "ngram-star")
+    release(rows.sparkSession)
+    links = verified(star, rows, reps, k, num, den)
+    release(rows.sparkSession)
     comp = components(links, "ngram-cc")
     held = post.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", "ell", "pos", F.coalesce("comp", "cls").alias("comp"))
     held = materialize(held, "ngram-held")
+    discard(post)
+    del post
+    release(rows.sparkSession)
     mixed = held.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("token", (F.col("m") > LIGHT).alias("heavy"))
     posted = materialize(held.join(mixed, "token"), "ngram-mixed")
+    discard(held)
+    del held, mixed
+    release(rows.sparkSession)
     cross = posted.where("not heavy")
     tiles = family_links(posted.where("heavy"), rows, reps, k, num, den)
     other = cross.select("token", *[F.col(c).alias(c + "2") for c in ("cls", "n", "ell", "pos", "comp")])
@@ -254,11 +267,15 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
         .where(F.col("c") >= F.least("ell", "ell2"))
         .where(F.col("c") + F.least(F.col("n") - F.col("p") - 1, F.col("n2") - F.col("p2") - 1) >= F.greatest(least("n"), least("n2")))
     )
-    more = verified(materialize(pairs.select("a", "b"), "ngram-pairs"), rows, reps, k, num, den)
+    pairs = materialize(pairs.select("a", "b"), "ngram-pairs")
+    discard(posted)
+    del posted, cross, other
+    release(rows.sparkSession)
+    more = verified(pairs, rows, reps, k, num, den)
+    release(rows.sparkSession)
     whole = components(links.unionAll(more).unionAll(tiles), "ngram-cc")
     named = reps.join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     least_id = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(least_id, "comp").select("cls", "component_id"), "ngram-named")
-    discard(post, held, posted)
     out = desc.where("slice is null").join(named, (F.col("n") > 0) & (desc["cls"] == named["cls"]), "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
