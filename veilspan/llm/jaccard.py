@@ -251,7 +251,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     del post
     release(rows.sparkSession)
     mixed = held.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("token", (F.col("m") > LIGHT).alias("heavy"))
-    posted = materialize(held.join(mixed, "token"), "ngram-mixed")
+    mixed = materialize(mixed, "ngram-spread")
+    release(rows.sparkSession)
+    posted = materialize(held.join(sized(mixed, 2_000_000), "token"), "ngram-mixed")
     discard(held)
     del held, mixed
     release(rows.sparkSession)
