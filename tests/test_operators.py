@@ -4,6 +4,7 @@ import time
 from veilspan.operators import spanalgebra as sa
 from veilspan.operators.detectors import RULES, detect
 from veilspan.operators.locate import chunk, parse_entities
+from veilspan.plans import catalog
 
 
 def test_offsets_count_code_points_after_astral_characters(spark):
@@ -44,3 +45,21 @@ def test_chunks_cover_the_text_and_overlap():
 def test_model_rows_truncation_salvages_complete_rows():
     p = parse_entities('{"entities": [{"value": "A", "type": "PERSON"}, {"value": "B')
     assert p == {"entities": [("A", "PERSON")], "truncated": True, "invalid": False}
+
+
+def test_all_rules_run_on_documents_and_reach_the_round_trip(spark, tmp_path):
+    forms = {"PHONE": ["743-555-3824", "(743) 555-3824", "+33 6 12 34 56 78", "13912345678", "010-62345678", "06 12 34 56 78"], "BANK_ACCOUNT": ["6222021234567890", "6222 0212 3456 7890", "6222-0212-3456-7890"], "EMAIL": ["a@b.example"], "NATIONAL_ID": ["123-45-6789"], "DATE": ["3 March 2021"]}
+    rows, want = [(0, None), (1, ""), (2, "no value here")], []
+    for kind, texts in forms.items():
+        for t in texts:
+            rows.append((len(rows), f"first {t}; again {t}."))
+            want += [(rows[-1][0], 6, 6 + len(t), kind, t), (rows[-1][0], 14 + len(t), 14 + 2 * len(t), kind, t)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path))
+    spans = lambda name: sorted((r.doc_id, r.start, r.end, r.type, r.text) for r in run(name).collect())
+    assert spans("d02_phone_documents") == [w for w in want if w[3] == "PHONE"]
+    assert spans("d12_bank_account_documents") == [w for w in want if w[3] == "BANK_ACCOUNT"]
+    assert spans("d_all_documents") == spans("m01_merge_islands_all") == want
+    assert sorted((r.doc_id, r.surface) for r in run("t01_mint_tokens_all").collect()) == sorted({(w[0], w[4]) for w in want})
+    assert {r.doc_id: r.n_sites for r in run("t02_emit_walk_all").collect()} == {w[0]: 2 for w in want}
+    assert {r.type: (r.n_spans, r.n_docs, r.roundtrip_ok) for r in run("flagship_roundtrip_all").collect()} == {k: (2 * len(v), len(v), True) for k, v in forms.items()}

@@ -20,6 +20,7 @@ BANK_JAVA = r"(?<![0-9])[0-9]{12,19}(?![0-9])"
 
 
 def core(spark, sf) -> DataFrame:
+    """The part of D01, D02 and D12 that RE2 can run too, so that SQL can check it; whole() is the whole job."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return spans_of(docs, BY_ID["D01"].pattern, "EMAIL", 80, 0.99, guard="@").unionByName(spans_of(docs, US_JAVA, "PHONE", 60, 0.9)).unionByName(spans_of(docs, BANK_JAVA, "BANK_ACCOUNT", 50, 0.85))
 
@@ -79,9 +80,30 @@ for _r, (_l, _f) in LINES.items():
     _line_detector(_r, _l, _f)
 
 
+def whole(spark, sf) -> DataFrame:
+    """All rules over all documents. No SQL: their lookarounds are beyond RE2; tests/test_operators.py has the spans."""
+    return detect(table(spark, sf, "documents"), RULES)
+
+
+query("d_all_documents")(whole)
+
+
+def _rule_on_documents(rule_id):
+    @query(f"{rule_id.lower()}_{BY_ID[rule_id].kind.lower()}_documents")
+    def run(spark, sf):
+        return detect(table(spark, sf, "documents"), [BY_ID[rule_id]])
+
+
+for _r in ("D02", "D12"):
+    _rule_on_documents(_r)
+
+
 @query("m01_merge_islands", MERGED_SQL)
-def merged(spark, sf):
-    return sa.merge_islands(core(spark, sf), table(spark, sf, "documents").select("doc_id", "text"))
+def merged(spark, sf, found=core):
+    return sa.merge_islands(found(spark, sf), table(spark, sf, "documents").select("doc_id", "text"))
+
+
+query("m01_merge_islands_all")(lambda spark, sf: merged(spark, sf, whole))
 
 
 OVERLAPS = "(VALUES (1, 0, 5, 'PERSON', 'a', 30), (1, 3, 9, 'EMAIL', 'b', 80), (1, 9, 12, 'DATE', 'c', 40), (1, 10, 12, 'DATE', 'd', 40), (2, 0, 4, 'COMPANY', 'e', 30), (2, 4, 8, 'TRADEMARK', 'f', 30), (2, 8, 9, 'PERSON', 'g', 30), (2, 20, 30, 'DATE', 'h', 40), (2, 25, 40, 'DATE', 'i', 40)) AS t(doc_id, start, \"end\", type, text, priority)"
@@ -125,9 +147,12 @@ def dominant(spark, sf):
 
 
 @query("t01_mint_tokens", MINT_SQL)
-def minted(spark, sf):
+def minted(spark, sf, found=core):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return mint.mint_tokens(merged(spark, sf), docs)
+    return mint.mint_tokens(merged(spark, sf, found), docs)
+
+
+query("t01_mint_tokens_all")(lambda spark, sf: minted(spark, sf, whole))
 
 
 @query("t04_skip_reserved", "SELECT * FROM (VALUES (1, 'Ann', '{PERSON_2}'), (1, 'Bob', '{PERSON_4}')) AS t(doc_id, surface, token)")
@@ -137,25 +162,31 @@ def skip_reserved(spark, sf):
     return mint.mint_tokens(spans, docs).select("doc_id", "surface", "token")
 
 
-def tokenized(spark, sf) -> DataFrame:
+def tokenized(spark, sf, found=core) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    m = mint.mint_tokens(merged(spark, sf), docs)
-    sites = merged(spark, sf).join(m.select("doc_id", F.col("surface").alias("text"), "token"), ["doc_id", "text"])
+    m = mint.mint_tokens(merged(spark, sf, found), docs)
+    sites = merged(spark, sf, found).join(m.select("doc_id", F.col("surface").alias("text"), "token"), ["doc_id", "text"])
     return mint.splice(docs, sites)
 
 
 @query("t02_emit_walk", "SELECT doc_id, count(*) AS n_sites FROM (" + MERGED_SQL + ") GROUP BY doc_id")
-def emit(spark, sf):
-    t = tokenized(spark, sf).where("tokenized <> text")
+def emit(spark, sf, found=core):
+    t = tokenized(spark, sf, found).where("tokenized <> text")
     return t.select("doc_id", F.size(F.regexp_extract_all("tokenized", F.lit(mint.TOKEN), F.lit(0))).cast("long").alias("n_sites"))
 
 
+query("t02_emit_walk_all")(lambda spark, sf: emit(spark, sf, whole))
+
+
 @query("flagship_roundtrip", f"WITH m AS ({MERGED_SQL}) SELECT type, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs, true AS roundtrip_ok FROM m GROUP BY type")
-def flagship(spark, sf):
+def flagship(spark, sf, found=core):
     """Detect, merge, mint, splice, restore; spans by type and whether every document came back."""
-    m = minted(spark, sf)
-    back = mint.restore_tokens(tokenized(spark, sf), m).agg(F.bool_and(F.col("restored").eqNullSafe(F.col("text"))).alias("roundtrip_ok"))
-    return merged(spark, sf).groupBy("type").agg(F.count("*").alias("n_spans"), F.countDistinct("doc_id").alias("n_docs")).join(back)
+    m = minted(spark, sf, found)
+    back = mint.restore_tokens(tokenized(spark, sf, found), m).agg(F.bool_and(F.col("restored").eqNullSafe(F.col("text"))).alias("roundtrip_ok"))
+    return merged(spark, sf, found).groupBy("type").agg(F.count("*").alias("n_spans"), F.countDistinct("doc_id").alias("n_docs")).join(back)
+
+
+query("flagship_roundtrip_all")(lambda spark, sf: flagship(spark, sf, whole))
 
 
 @query("r02_restore_tokens", "SELECT doc_id, text AS restored FROM documents")
