@@ -17,8 +17,11 @@ ID_ROWS = 2_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null or empty text and text without a letter (`und`)."""
+    """Documents without a language go: null or empty text and text without a letter (`und`). Texts whose language
+    is ambiguous stay. Where no row is labelled the model has no language: every text with a letter stays."""
     model = langid.fit(docs)
+    if not model["langs"]:
+        return docs.where(langid.has_letter(F.col("text"))).select(*docs.columns)
     x = docs.withColumn("__lang", langid.predict(model, F.col("text"))["lang"])
     return x.where("__lang <> 'und'").select(*docs.columns)
 

@@ -22,3 +22,10 @@ def test_stages_on_planted_cases(docs, spark, tmp_path):
     assert mixed.columns == d.columns and mixed.count() == 3
     tokens = cp.token_file(spark, mixed, str(tmp_path)).orderBy("start").collect()
     assert len(tokens) == 3 and tokens[0].start == 0 and tokens[1].start == tokens[0].n_tokens
+
+
+def test_language_stage_keeps_texts_with_a_letter_where_no_row_is_labelled(docs, spark, tmp_path):
+    texts = ["a clean document", "été", "北京", None, "", "123 !", "_ 4"]
+    d = docs(texts, langs=[None] * len(texts)).drop("extra")
+    kept = cp.language_id(spark, d, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2] and kept.columns == d.columns

@@ -120,6 +120,17 @@ def decode(model: dict, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return loss.argmin(1), 1 / like.sum(1), two[:, 1] - two[:, 0]
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text holds a letter, by the test of predict(); null has none."""
+
+    @F.arrow_udf("boolean")
+    def letter(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for arr in it:
+            yield pa.array([x is not None and LETTER.search(x) is not None for x in arr.to_pylist()], pa.bool_())
+
+    return letter(text)
+
+
 def predict(model: dict, text: Column, ambiguous_below: float = 0.05) -> Column:
     """Struct column (lang, score, margin, ambiguous) for each whole text."""
 
