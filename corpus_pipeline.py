@@ -6,7 +6,7 @@ one's docs; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import decontaminate, jaccard, langid, mixing, tokenfile
@@ -26,16 +26,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return x.where("__lang <> 'und'").select(*docs.columns)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """64-bit hash of all columns of a row; nulls count."""
+    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with five-word shingles at 0.8 or more, the least id stays, once."""
-    groups = materialize(jaccard.near_groups(docs, k=5, num=80, den=100), "near")
-    gone = materialize(groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "near-gone")
-    kept = docs.join(sized(gone, ID_ROWS), "doc_id", "left_anti")
-    twice = materialize(groups.groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id")), "near-twice")
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    again = kept.join(sized(twice, ID_ROWS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(sized(twice, ID_ROWS), "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+    """Of each component of documents with five-word shingles at 0.8 or more, the least id stays, once (null last).
+    Rows are told apart by all columns: those of one id, or of a null id, stay if their components differ."""
+    ids = docs.select("doc_id")
+    if ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        groups = materialize(jaccard.near_groups(docs, k=5, num=80, den=100), "near")
+        gone = materialize(groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "near-gone")
+        return docs.join(sized(gone, ID_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    x = docs.withColumn("__row", row_hash(docs))
+    groups = materialize(jaccard.near_groups(x, key="__row", k=5, num=80, den=100), "near")
+    named = groups.select(F.col("id").alias("__row"), "component_id").distinct().join(x.select("__row", "doc_id").distinct(), "__row")
+    least = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("least"))
+    kept = x.join(sized(materialize(least.select("least.__row"), "near-kept"), ID_ROWS), "__row", "left_semi")
+    return kept.dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +56,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at weights 1, 2, 3, ...; a document taken more than once is repeated."""
-    take = mixing.pareto_mix(docs).where("copies > 0").select(F.col("id").alias("doc_id"), F.col("copies").alias("__copies"))
-    x = docs.join(take, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return x.select(*docs.columns)
+    """Sources at weights 1, 2, 3, ...; a document taken more than once is repeated. Copies are dealt to rows, not
+    ids: a null id is an id like others, and rows of one id have copies of their own."""
+    x = docs.withColumn("__row", row_hash(docs))
+    per = mixing.pareto_mix(x, carry="__row").groupBy("id", "__row").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n"))
+    per = per.where("__copies > 0").select(F.col("id").alias("__id"), F.col("__row").alias("__r"), "__copies", "__n")
+    x = x.join(per, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__r")))
+    # Rows equal in all columns are one, with the copies of all.
+    x = x.where("__n = 1").unionByName(x.where("__n > 1").dropDuplicates(["__id", "__row"]))
+    return x.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

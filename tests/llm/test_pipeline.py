@@ -1,6 +1,11 @@
 """The pipeline's stages on planted cases."""
 
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
+from veilspan.llm import mixing
 
 
 def test_stages_on_planted_cases(docs, spark, tmp_path):
@@ -29,3 +34,23 @@ def test_language_stage_keeps_texts_with_a_letter_where_no_row_is_labelled(docs,
     d = docs(texts, langs=[None] * len(texts)).drop("extra")
     kept = cp.language_id(spark, d, str(tmp_path))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2] and kept.columns == d.columns
+
+
+def test_rows_with_a_null_or_repeated_id_keep_their_documents(docs, spark, tmp_path):
+    base = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    texts = [base[0], base[1], base[2], base[2], base[3], base[0]]
+    d = docs(texts).drop("extra").withColumn("doc_id", F.when(F.col("doc_id").isin(1, 4), F.lit(None)).when(F.col("doc_id") > 4, 7).when(F.col("doc_id") == 3, 0).otherwise(F.col("doc_id")).cast("long"))
+    got = Counter((r.doc_id, r.text) for r in cp.near_duplicates(spark, d, str(tmp_path)).collect())
+    assert got == Counter([(0, base[0]), (0, base[2]), (None, base[1]), (None, base[3])])
+
+
+def test_mix_deals_copies_to_rows(docs, spark, tmp_path):
+    texts = [f"{i} " + "w " * (5 + i % 7) for i in range(60)] + ["same text here"] * 3
+    d = docs(texts, sources=["a" if i % 3 else "b" for i in range(len(texts))]).drop("extra")
+    d = d.withColumn("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.floor(F.col("doc_id") / 4)).cast("long"))
+    want = Counter()
+    for r in mixing.pareto_mix(d.withColumn("row", cp.row_hash(d)), carry="row").collect():
+        want[r.row] += r.copies
+    got = Counter(r.row for r in cp.source_mix(spark, d, str(tmp_path)).select(cp.row_hash(d).alias("row")).collect())
+    assert got == Counter({k: n for k, n in want.items() if n}) and sum(got.values()) > 0
+    assert cp.source_mix(spark, d, str(tmp_path)).where("doc_id is null").count() > 0

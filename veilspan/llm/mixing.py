@@ -36,15 +36,17 @@ def targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
     return s.select("source", "size", F.least(F.col("limit"), F.coalesce(level * F.col("w"), F.col("limit"))).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None, cap: float = 3.0) -> DataFrame:
+def pareto_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None, cap: float = 3.0, carry: str | None = None) -> DataFrame:
     """(id, source, size, source_size, target, copies): how often the mix takes each document.
 
-    weight: a column to which inclusion odds are in proportion within a source (default: equal)."""
+    weight: a column to which inclusion odds are in proportion within a source (default: equal). carry: a column that
+    tells rows of one id apart, passed through; ties break by it after the id."""
+    extra = [carry] if carry else []
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     rows = docs.select(
         F.col(key).alias("id"), F.col(source).alias("source"), words.alias("size"),
         ((F.pmod(F.xxhash64(F.lit("pareto"), F.col(key).cast("string"), F.col(text)), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("u"),
-        (F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(1e-9))).alias("wt"),
+        (F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(1e-9))).alias("wt"), *extra,
     )
     rows = materialize(rows, "mix-rows")
     per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.avg("wt").alias("wt_mean"))
@@ -66,11 +68,11 @@ def pareto_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     cross = materialize(bins.where("upto >= quota and before < quota").select(F.col("source").alias("s2"), F.col("bin").alias("cbin"), "before"), "mix-cross")
     # A source's quota is crossed in one bin at most; only that bin's documents are ranked one by one.
     x = x.join(cross, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2")
-    one = Window.partitionBy("source", "bin").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = Window.partitionBy("source", "bin").orderBy("rank", "id", *extra).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = x.where("bin = cbin").withColumn("upto", F.sum("size").over(one) + F.col("before"))
     low, high = F.col("upto") - F.col("size"), F.col("upto")
     inside = inside.withColumn("extra", (high <= F.col("quota")) | ((low < F.col("quota")) & (high - F.col("quota") < F.col("quota") - low)))
     others = x.where("cbin is null or bin is null or bin <> cbin").withColumn("extra", F.col("bin").isNotNull() & (F.col("cbin").isNull() | (F.col("bin") < F.col("cbin"))))
-    cols = ["id", "source", "size", "source_size", "target", (F.col("whole") + F.coalesce(F.col("extra"), F.lit(False)).cast("long")).alias("copies")]
+    cols = ["id", "source", "size", "source_size", "target", (F.col("whole") + F.coalesce(F.col("extra"), F.lit(False)).cast("long")).alias("copies"), *extra]
     discard(per)
     return others.select(*cols).unionAll(inside.select(*cols))
