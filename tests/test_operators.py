@@ -42,6 +42,13 @@ def test_chunks_cover_the_text_and_overlap():
     assert all(b[0] < a[1] <= b[1] for a, b in zip(parts, parts[1:]))
 
 
+def test_hard_cuts_get_a_bridge():
+    assert chunk("x" * 3000) == [(0, 2000), (1400, 2600), (1650, 3000)]
+    assert chunk("x" * 1499 + "\n" + "x" * 1500) == [(0, 1500), (1150, 3000)]
+    for at in range(0, 4400, 37):  # 600 characters that straddle a cut are whole in one chunk
+        assert any(a <= at and at + 600 <= b for a, b in chunk("x" * 5000))
+
+
 def test_model_rows_truncation_salvages_complete_rows():
     p = parse_entities('{"entities": [{"value": "A", "type": "PERSON"}, {"value": "B')
     assert p == {"entities": [("A", "PERSON")], "truncated": True, "invalid": False}

@@ -152,11 +152,15 @@ def model_rows(segments: DataFrame) -> DataFrame:
     return segments.select("doc_id", "segment", "raw_output").mapInPandas(work, "doc_id int, segment int, truncated boolean, invalid boolean, value string, type string")
 
 
+BRIDGE = 600
+
+
 def chunk(text: str, target: int = 2000, overlap: int = 350) -> list[tuple[int, int]]:
-    """Chunk ranges; the end backs up to a paragraph, line, sentence or hard cut in the window's second half."""
-    out, at, n = [], 0, len(text)
+    """Chunk ranges; the end backs up to a paragraph, line, sentence or hard cut in the window's second half.
+    A hard cut gets a chunk of BRIDGE on both sides where the overlap, 150 at least, is less than that."""
+    out, at, n, overlap = [], 0, len(text), max(overlap, 150)
     while at < n:
-        end = min(n, at + target)
+        end, hard = min(n, at + target), False
         if end < n:
             half = at + target // 2
             for sep in ("\n\n", "\n", "。", ". "):
@@ -164,9 +168,13 @@ def chunk(text: str, target: int = 2000, overlap: int = 350) -> list[tuple[int,
                 if cut >= 0:
                     end = cut + len(sep)
                     break
+            else:
+                hard = True
         out.append((at, end))
         if end >= n:
             break
+        if hard and overlap < BRIDGE and end - BRIDGE > at:
+            out.append((end - BRIDGE, min(n, end + BRIDGE)))
         at = max(at + 1, end - overlap)
     return out
 
