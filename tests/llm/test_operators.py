@@ -177,6 +177,16 @@ def test_url_classes(spark):
     assert got == {1: ("block", None), 2: ("block", None), 3: ("block", "example.org/es/"), 4: ("allow", "com/fr/"), 5: ("allow", None), 6: ("allow", None), 7: ("allow", None), 8: ("block", None)}
 
 
+def test_url_classes_fold_case_dots_queries_and_unquoted_refresh(spark):
+    link = '<link rel="canonical" href="{}">'
+    links = [("http://a.net/1/x?k=1#f", link.format("?es"), "http://a.net/1/x?es"), ("http://a.net/2/x/y", link.format("./es"), "HTTP://A.net/2/x/es"), ("http://a.net/3/x/y", link.format("../es/"), "http://a.net/3/es/"), ("http://a.net/4", "<meta http-equiv=refresh content=0;url=http://B.org/4/x>", "http://b.org/4/x"), ("http://a.net/5", link.format("http://Example.com/x/.."), "http://example.com/"), ("http://a.net/6", link.format("http://b.org/X"), "http://b.org/x")]
+    pages = [(2 * i + k, u, h) for i, (u, h, v) in enumerate(links) for k, (u, h) in enumerate([(v, link.format("http://bad.org/es/1")), (u, h)])]
+    pages += [(20, "http://c.net/a/../y", ""), (21, "http://c.net/z", link.format("/y")), (22, "http://c.net/p", link.format("#q"))]
+    rules = [("block", "bad.org", "/es/"), ("block", "c.net", "/a/")]
+    got = {r.page_id: r.verdict for r in urlblock.judge(spark.createDataFrame(pages, "page_id int, url string, html string"), rules).collect()}
+    assert got == {**{i: "block" for i in range(11)}, 11: "allow", 20: "block", 21: "block", 22: "allow"}
+
+
 def test_warc_derivatives(spark):
     pages = spark.createDataFrame([(1, "http://a.net/", "<title>T &amp; x</title><script>no</script><p>Hi <b>you</b></p><a href='/z'>z</a>"), (2, None, None)], "page_id int, url string, html string")
     resp = warc.responses(pages)

@@ -1,6 +1,7 @@
 """URL filters with redirect equivalence, in DataFrame operations only.
 
-Canonical links and meta-refresh redirects are edges between URLs (without fragments). Connected components over
+Canonical links and meta-refresh redirects are edges between URLs without fragments, scheme and host in lower case and
+dot segments resolved; a page's URL with dot segments is joined to the one without, so rules on either reach. Connected components over
 them are equivalence classes. A page's own rule, if one fits, decides it: so an explicit allow holds even where an
 alias is blocked. A page without a rule is blocked if any URL of its class is blocked by a rule, else allowed.
 
@@ -21,7 +22,7 @@ TAG = r"(?i)<(?:link|meta)\s[^>]*>"
 HREF = r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 CANONICAL = r"""(?i)\srel\s*=\s*["']?(?:[^"'>]*\s)?canonical[\s"'/>]"""
 REFRESH = r"""(?i)\shttp-equiv\s*=\s*["']?refresh[\s"'/>]"""
-CONTENT = r"""(?i)\scontent\s*=\s*(?:"[^"]*?url\s*=\s*([^"]*)"|'[^']*?url\s*=\s*([^']*)')"""
+CONTENT = r"""(?i)\scontent\s*=\s*(?:"[^"]*?url\s*=\s*([^"]*)"|'[^']*?url\s*=\s*([^']*)'|[^\s"'>]*?url\s*=\s*([^\s"'>]+))"""
 
 
 def host(url: Column) -> Column:
@@ -41,6 +42,26 @@ def rule_of(h: Column, p: Column, rules: list[tuple[str, str, str]]) -> Column:
     return out
 
 
+def undotted(p: Column) -> Column:
+    """A path without its segments '.' and '..'."""
+    none = F.array().cast("array<string>")
+    step = lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))
+    parts = F.split(p, "/", -1)
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), none, step)
+    kept = F.when(p.rlike(r"/\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(p.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(p)
+
+
+def node_of(url: Column, dots: bool = False) -> Column:
+    """The node of a URL: no fragment, scheme and host in lower case, dot segments resolved unless dots."""
+    u = F.regexp_replace(url, "#.*$", "")
+    part = lambda p: F.regexp_extract(u, p, 1)
+    p = part(r"^[^:/?]+://[^/?]*([^?]*)")
+    low = lambda c: F.translate(c, UPPER, LOW)
+    full = F.concat(low(part(r"^([^:/?]+://)")), part(r"^[^:/?]+://([^/?]*@)"), low(part(r"^[^:/?]+://(?:[^/?]*@)?([^/?]*)")), p if dots else undotted(p), part(r"^[^?]*(\?[\s\S]*)"))
+    return F.when(u.rlike("^[^:/?]+://"), full).otherwise(u)
+
+
 def absolute(base: Column, link: Column) -> Column:
     """link resolved against base, without fragment."""
     link = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
@@ -51,16 +72,19 @@ def absolute(base: Column, link: Column) -> Column:
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:/?#]+:)", 1), link))
         .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("?") | link.startswith("#"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), F.when(link.startswith("#"), F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)).otherwise(""), link))
         .otherwise(F.concat(folder, link))
     )
-    return F.regexp_replace(full, "#.*$", "")
+    return node_of(full)
 
 
 def edges(pages: DataFrame, url: str, html: str) -> DataFrame:
     tags = pages.where(F.col(url).contains("://")).select(F.col(url).alias("u"), F.explode(F.regexp_extract_all(F.col(html), F.lit(TAG), F.lit(0))).alias("tag"))
     first = lambda p, *groups: F.coalesce(*[F.nullif(F.regexp_extract("tag", p, g), F.lit("")) for g in groups])
-    link = F.when(F.col("tag").rlike(CANONICAL), first(HREF, 1, 2, 3)).when(F.col("tag").rlike(REFRESH), F.trim(F.regexp_replace(first(CONTENT, 1, 2), "[\"']", "")))
-    return tags.select("u", link.alias("link")).where("link is not null").select(F.regexp_replace("u", "#.*$", "").alias("a"), absolute(F.col("u"), F.col("link")).alias("b")).where("a <> b").distinct()
+    link = F.when(F.col("tag").rlike(CANONICAL), first(HREF, 1, 2, 3)).when(F.col("tag").rlike(REFRESH), F.trim(F.regexp_replace(first(CONTENT, 1, 2, 3), "[\"']", "")))
+    links = tags.select("u", link.alias("link")).where("link is not null").select(node_of(F.col("u")).alias("a"), absolute(F.col("u"), F.col("link")).alias("b"))
+    dotted = pages.where(F.col(url).rlike(r"://[^?#]*/\.\.?(?:[/?#]|$)")).select(node_of(F.col(url), dots=True).alias("a"), node_of(F.col(url)).alias("b"))
+    return links.unionAll(dotted).where("a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -74,7 +98,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "p
     blocked = materialize(comp.join(bad, "comp", "left_semi").select("node").distinct(), "url-blocked")
     discard(links, comp)
     h, p = host(F.col("url")), path(F.col("url"))
-    out = rows.withColumn("host", h).withColumn("path", p).withColumn("own", rule_of(F.col("host"), F.col("path"), rules)).withColumn("node", F.regexp_replace("url", "#.*$", ""))
+    out = rows.withColumn("host", h).withColumn("path", p).withColumn("own", rule_of(F.col("host"), F.col("path"), rules)).withColumn("node", node_of(F.col("url")))
     out = out.join(blocked.withColumn("hit", F.lit(True)), "node", "left")
     alias = F.coalesce(F.col("hit"), F.lit(False))
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce(F.col("own.verdict"), F.when(alias, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), alias.alias("class_blocked"))
