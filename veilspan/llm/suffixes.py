@@ -12,7 +12,9 @@
    block. Neighbours with a common prefix of `length` bytes form groups; all but the earliest are removed.
 4. Removed intervals go back to their documents, which alone are shuffled if those are few enough to broadcast ids.
 
-A gram with more than HOT different contexts is cut further, by window, so no task gets it whole.
+A gram with more than HOT different contexts is cut further, by window. Copies of one window still
+meet in one bucket, which a task holds whole: a passage shared by very many documents with different neighbours is not
+bounded.
 
 Edge cases: null text is empty; texts shorter than `length` lose nothing; ids should be unique (rows repeated with
 one id count as the same occurrence, so neither loses bytes to the other); an empty table gives an empty result.
