@@ -1,10 +1,12 @@
-"""Scalar text functions as Column expressions; all stay inside whole-stage codegen unless marked Arrow."""
+"""Scalar text functions as Column expressions; all stay in the JVM unless marked Arrow. Null in, null out."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,10 +23,40 @@ def pattern_view(c: Column) -> Column:
     return F.translate(c, FULL_FROM, FULL_TO)
 
 
+CHAIN = re.compile(r"[0-9]+(?:，[0-9]+)+")
+
+
+def _group_commas(m: re.Match) -> str:
+    """Full-width commas of one chain of digit runs: those that group thousands become ','."""
+    runs, tail = m.group().split("，"), m.string[m.end() : m.end() + 2]
+    decimal = len(tail) == 2 and tail[0] in ".．" and tail[1].isdecimal() and tail[1].isascii()
+    reach, zeros = list(range(len(runs))), [False] * len(runs)
+    for k in range(len(runs) - 2, -1, -1):  # how far the runs of three go on, and whether one of them is 000
+        if len(runs[k + 1]) == 3:
+            reach[k], zeros[k] = reach[k + 1], zeros[k + 1] or runs[k + 1] == "000"
+    out, k = runs[0], 0
+    while k < len(runs):
+        n, end = len(runs[k]), reach[k]
+        if end > k and n <= 3 and (n < 3 or zeros[k] or (decimal and end == len(runs) - 1)):
+            out += "".join("," + x for x in runs[k + 1 : end + 1])
+            k = end
+        k += 1
+        if k < len(runs):
+            out += "，" + runs[k]
+    return out
+
+
+@F.arrow_udf(T.StringType())
+def _grouped(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else CHAIN.sub(_group_commas, t) for t in texts.to_pylist()], pa.string())
+
+
 def fullwidth_separators(c: Column) -> Column:
-    """U+FF0E between digits; U+FF0C only where it groups thousands."""
-    dots = F.regexp_replace(c, "(?<=[0-9])．(?=[0-9])", ".")
-    return F.regexp_replace(dots, "(?<=(?<![0-9])[0-9]{1,2}|[0-9]{3})，(?=[0-9]{3}(?![0-9]))", ",")
+    """U+FF0E between digits is a point; U+FF0C is a comma where it groups thousands: runs of three after a lead of
+    one or two digits, or of three where a later run is 000 or a decimal part follows. Lengths stay. (Arrow for texts
+    with such a comma between digits; null stays null.)"""
+    grouped = F.when(c.rlike("[0-9]，[0-9]"), _grouped(c)).otherwise(c)
+    return F.regexp_replace(grouped, "(?<=[0-9])．(?=[0-9])", ".")
 
 
 def sanitize_type(c: Column) -> Column:
@@ -36,10 +68,27 @@ def normalize(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[\s\p{Z}]+", " "))
 
 
+@F.arrow_udf(T.StringType())
+def fold_marks(texts: pa.Array) -> pa.Array:
+    """Lower case without diacritics (Arrow: Unicode decomposition has no built-in); null stays null."""
+    plain = lambda t: "".join(ch for ch in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(ch))
+    return pa.array([None if t is None else t.lower() if t.isascii() else plain(t) for t in texts.to_pylist()], pa.string())
+
+
 def significant_words(c: Column) -> Column:
-    """P05 without diacritics beyond Latin-1."""
-    folded = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.array_distinct(F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4))
+    """Distinct words of four letters or digits at least, without diacritics."""
+    return F.array_distinct(F.filter(F.split(fold_marks(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4))
+
+
+def share_significant(a: Column, b: Column) -> Column:
+    """Whether two values share a significant word."""
+    return F.arrays_overlap(significant_words(a), significant_words(b))
+
+
+def context_window(text: Column, start: Column, end: Column, width: int = 120) -> Column:
+    """(before, after) of a range: at most `width` characters on each side, cut at the text's ends."""
+    lo = F.greatest(F.lit(0), start - width)
+    return F.struct(F.substring(text, lo + 1, start - lo).alias("before"), F.substring(text, end + 1, F.lit(width)).alias("after"))
 
 
 def cjk_tighten(c: Column) -> Column:
@@ -108,20 +157,33 @@ def iban_ok(c: Column) -> Column:
     return x.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & (F.aggregate(digits, F.lit(0), lambda a, d: F.when(d < 0, a).when(d < 10, (a * 10 + d) % 97).otherwise((a * 100 + d) % 97)) == 1)
 
 
+def iban_prefix(c: Column) -> Column:
+    """P20: the longest prefix of whole groups (parted by a blank or dash) that is a valid IBAN; null if none is."""
+    parts = F.split(c, "[ -]", -1)
+    ends = F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, w: a + F.length(w)) + i)
+    prefixes = F.transform(ends, lambda e: F.substring(c, F.lit(1), e))
+    return F.try_element_at(F.filter(prefixes, iban_ok), F.lit(-1))
+
+
 def ssn_ok(c: Column) -> Column:
     area = F.substring(c, 1, 3)
     return ~area.isin("000", "666") & (area < "900") & (F.substring(c, 5, 2) != "00") & (F.substring(c, 8, 4) != "0000")
 
 
 def trim_url_tail(c: Column) -> Column:
-    """Closing brackets go only while unbalanced. A fold, so the expression stays small; eight steps."""
+    """Closing punctuation goes, closing brackets only while unbalanced. A walk back over the characters: each is
+    judged by the brackets that are left, counted once."""
+    count = lambda ch: F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
+    start = F.struct(F.lit(0).alias("cut"), F.lit(False).alias("done"), (count(")") - count("(")).alias("round"), (count("]") - count("[")).alias("square"))
 
-    def step(x: Column, _: Column) -> Column:
-        count = lambda ch: F.length(x) - F.length(F.replace(x, F.lit(ch), F.lit("")))
-        loose = (x.endswith(")") & (count(")") > count("("))) | (x.endswith("]") & (count("]") > count("[")))
-        return F.when(loose, F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(F.regexp_replace(x, "[.,;:!?'\"]+$", ""))
+    def step(a: Column, ch: Column) -> Column:
+        go = F.when(ch == ")", a["round"] > 0).when(ch == "]", a["square"] > 0).otherwise(ch.isin(*".,;:!?'\""))
+        go = ~a["done"] & go
+        one = go.cast("int")
+        return F.struct((a["cut"] + one).alias("cut"), (a["done"] | ~go).alias("done"), (a["round"] - F.when(ch == ")", one).otherwise(0)).alias("round"), (a["square"] - F.when(ch == "]", one).otherwise(0)).alias("square"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), c, step)
+    tail = F.split(F.reverse(F.regexp_extract(c, r"[.,;:!?'\")\]]+$", 0)), "")
+    return F.aggregate(F.filter(tail, lambda ch: ch != ""), start, step, lambda a: F.substring(c, F.lit(1), F.length(c) - a["cut"]))
 
 
 def _keep(c: Column, head: Column | int, tail: Column | int) -> Column:
@@ -138,8 +200,13 @@ def asterisk_mask(c: Column, kind: Column) -> Column:
 
 
 def letter_sequence(n: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA (up to two letters)."""
-    return F.when(n < 26, F.char(n + 65)).otherwise(F.concat(F.char(F.floor(n / 26) + 64), F.char(n % 26 + 65)))
+    """0 -> A, 25 -> Z, 26 -> AA, 702 -> AAA: digits of n in base 26 without a zero. Seven letters hold any int."""
+    step = lambda a, _: F.struct(
+        F.when(a["left"] < 0, a["left"]).otherwise(F.floor(a["left"] / 26) - 1).alias("left"),
+        F.when(a["left"] < 0, a["out"]).otherwise(F.concat(F.char(F.pmod(a["left"], F.lit(26)) + 65), a["out"])).alias("out"),
+    )
+    zero = F.struct(n.cast("bigint").alias("left"), F.lit("").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), zero, step, lambda a: a["out"])
 
 
 def decode_markdown_token(c: Column) -> Column:

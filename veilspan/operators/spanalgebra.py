@@ -6,13 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Names of a role, which identify nobody.
+ROLE_LABELS = (
+    "buyer", "seller", "lender", "borrower", "landlord", "tenant", "licensor", "licensee", "employer", "employee", "contractor", "client", "customer", "supplier", "vendor",
+    "guarantor", "trustee", "beneficiary", "plaintiff", "defendant", "party", "parties", "company", "甲方", "乙方", "丙方", "丁方", "买方", "卖方", "出租方", "承租方", "原告", "被告",
+)
+
+
+def drop_role_labels(spans: DataFrame, labels: tuple[str, ...] = ROLE_LABELS, text: str = "text") -> DataFrame:
+    """spans whose text, trimmed and in lower case, is a role label are left out. Null text stays."""
+    return spans.where(F.coalesce(~F.lower(F.trim(F.col(text))).isin(*labels), F.lit(True)))
+
+
 def merge_islands(spans: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Islands of strict overlap; range is the union, identity the best ranked member, text the document slice."""
+    """Role labels go; of equal ranges and texts the best ranked stays; islands of strict overlap have the union as
+    range, the best ranked member's identity, and the document's slice as text. Rank: priority, length, start, end, type.
+
+    Null or empty spans are dropped; rows repeated are one; text is shuffled once, at the end, and only that of documents
+    with spans."""
+    if "text" in spans.columns:
+        spans = drop_role_labels(spans)
     by = Window.partitionBy(key).orderBy("start", "end")
-    x = spans.withColumn("far", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    x = x.withColumn("isle", F.sum(F.when(F.col("far").isNull() | (F.col("start") >= F.col("far")), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    x = spans.where("start < end").withColumn("__far", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("__isle", F.sum(F.when(F.col("__far").isNull() | (F.col("start") >= F.col("__far")), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     rank = F.struct(-F.col("priority"), F.col("start") - F.col("end"), F.col("start"), F.col("end"), F.col("type"))
-    out = x.groupBy(key, "isle").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.struct("type", "source", "confidence", "priority"), rank).alias("w"))
+    out = x.groupBy(key, "__isle").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.struct("type", "source", "confidence", "priority"), rank).alias("w"))
     out = out.select(key, "start", "end", "w.*").join(docs.select(key, F.col(text).alias("__t")), key)
     return out.select(key, "start", "end", "type", F.substring(F.col("__t"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "source", "confidence", "priority")
 
