@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veilspan.llm import chat, decontaminate, exact, jaccard, langid, mixing, suffixes, tokenfile, urlblock, warc
 from veilspan.llm.fmindex import FMIndex
+from veilspan.llm import rangecoder
 from veilspan.llm.rangecoder import decode, encode
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -99,7 +100,10 @@ def test_near_groups(docs, monkeypatch):
 
 
 def test_suffix_dedup(docs):
-    texts = corpus()
+    check_suffix_dedup(docs, corpus())
+
+
+def check_suffix_dedup(docs, texts):
     got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.dedup(docs(texts)).collect()}
     seen = set()
     for i, t in enumerate(texts):
@@ -128,6 +132,59 @@ def test_mix_comes_near_targets_and_reruns_agree(docs):
     assert abs(sum({sources[r[0]]: r[3] for r in rows}.values()) - sum(r[1] for r in rows)) < 1e-6
 
 
+def fair_targets(sizes, cap=3.0):
+    """Weights 1, 2, 3, ... by code point, null last; what a capped source can't take is shared again among the others."""
+    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        rest, parts = total - sum(cap * sizes[s] for s in full), sum(weight[s] for s in names if s not in full)
+        got = {s: cap * sizes[s] if s in full else rest * weight[s] / parts for s in names}
+        over = {s for s in names if s not in full and got[s] > cap * sizes[s] + 1e-9}
+        if not over:
+            return got
+        full |= over
+
+
+def test_mix_targets_are_capped_and_shared_again(docs):
+    rng = random.Random(4)
+    texts = [" ".join("w" for _ in range(rng.randint(1, 30))) for _ in range(900)]
+    sources = [rng.choices(["b", "a", None, "z", "É"], [600, 200, 3, 90, 7])[0] for _ in texts]
+    rows = mixing.pareto_mix(docs(texts, sources=sources)).collect()
+    sizes = {}
+    for t, s in zip(texts, sources):
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = fair_targets(sizes)
+    assert any(abs(want[s] - 3 * sizes[s]) < 1e-9 for s in sizes)
+    for r in rows:
+        assert abs(r.target - want[r.source]) < 1e-6 and r.source_size == sizes[r.source]
+    for s in sizes:
+        assert abs(sum(r.copies * r["size"] for r in rows if r.source == s) - want[s]) <= 30
+
+
+def test_mix_takes_long_documents_in_proportion_to_their_odds(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "PER_BIN", 16)
+    sizes = [(5, 1500), (10, 1500), (20, 1500), (400, 6)]
+    texts = [f"{k} " + "w " * (n - 1) for n, c in sizes for k in range(c)]
+    texts += ["x " * 40_000]
+    sources = ["a"] * (len(texts) - 1) + ["b"]
+    rows = [r for r in mixing.pareto_mix(docs(texts, sources=sources)).collect() if r.source == "a"]
+    total, target = rows[0].source_size, rows[0].target
+    part = target / total - int(target / total)
+    quota = part * total
+    # Certain: weights whose odds would reach 1; the others share what is left.
+    certain, rate = [], 0
+    for n, c in sorted(sizes, reverse=True):
+        rate = (quota - sum(a * b for a, b in certain)) / sum(a * a * b for a, b in sizes if (a, b) not in certain)
+        if rate * n <= 1:
+            break
+        certain.append((n, c))
+    for n, c in sizes:
+        took = sum(r.copies - int(target / total) for r in rows if r["size"] == n) / c
+        want = 1.0 if (n, c) in certain else rate * n
+        assert abs(took - want) < 0.06, (n, took, want)
+
+
 def test_language_id_on_held_out_rows(docs, spark):
     en, fr = "the of and to with from that which there", "le la les des pour avec dans être cette"
     rng = random.Random(4)
@@ -211,3 +268,58 @@ def test_empty_tables(docs, spark):
     assert suffixes.dedup(none).count() == 0 and jaccard.near_groups(none).count() == 0
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert docs(["a b"]).select(decontaminate.contamination(F.col("text"), bench).alias("c")).first().c.n_hit == 0
+
+
+def test_a_block_is_read_alone():
+    rng = np.random.default_rng(3)
+    x = (rng.zipf(1.4, 20_000) % 3_000).astype(np.uint32)
+    seg = rangecoder.encode(x, 700)
+    for k in (0, 7, 28):
+        assert (rangecoder.decode_block(seg, k) == x[700 * k : 700 * (k + 1)]).all()
+
+
+def test_range_coder_with_classes_of_many_ids():
+    x = np.concatenate([np.arange(2**17), np.zeros(100_000), np.arange(2**17)[::7]]).astype(np.uint32)
+    assert (rangecoder.decode(rangecoder.encode(x, 4096)) == x).all()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_give_the_ids_of_whole_texts(name, monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokenfile, "CACHE", 4_000)  # both generations turn over
+    enc = tokenfile.Encoder(public_tokenizers.path(name), 2)
+    texts = [*corpus(), "a<|endoftext|>b", "x y  z", "it's 12.5%\n\n  end ", " ", "café 北京 😀!", "a\x0bb"]
+    ids, sizes = enc.chunk(pa.array(texts))
+    want = [[*enc.tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_suffix_block_orders_by_suffix():
+    rng = random.Random(5)
+    parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(120, 400))) for _ in range(6)]
+    parts += [parts[0], parts[1][13:], b"ab" * 150]
+    b = suffixes.Block(parts, 100)
+    pos = np.concatenate([s + np.arange(len(p) - 99) for s, p in zip(b.starts, parts)])
+    text = b"\0".join(parts)
+    got = [text[p : p + 100] for p in b.sort(pos)]
+    assert got == sorted(got)
+
+
+def test_suffix_dedup_cuts_and_hot_grams(docs, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    monkeypatch.setattr(suffixes, "SEGMENT", 300)
+    monkeypatch.setattr(suffixes, "PIECE", 900)
+    monkeypatch.setattr(suffixes, "BUCKET", 50)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join(word() for _ in range(20)) + " " + passage + " " + " ".join(word() for _ in range(20)) for _ in range(12)]
+    check_suffix_dedup(docs, [*texts, texts[3], passage + passage])
+
+
+def test_suffix_dedup_leaves_rows_without_an_id_alone(docs):
+    t = "abcdefghij" * 30
+    d = docs([t, t, t]).withColumn("doc_id", F.when(F.col("doc_id") == 1, None).otherwise(F.col("doc_id")).cast("long"))
+    assert sorted((r.id is None, r.id, r.n_removed) for r in suffixes.dedup(d).where("id is null").collect()) == [(True, None, 0)]

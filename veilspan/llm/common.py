@@ -5,7 +5,7 @@ Everything works on the UTF-8 bytes of Arrow string buffers, so no Python string
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,10 +22,30 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
+#: Runtime setting by which Spark deletes the shuffle files of a job when the job ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+#: Bytes of an Arrow batch between the JVM and a Python worker, and Spark's own default.
+BATCH, BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", "67108864b"
+
+
+def settle(spark: SparkSession) -> SparkSession:
+    """Small Arrow batches, unless the session has a size of its own: texts are long, and a worker, its JVM and both
+    ends' buffers hold several batches."""
+    if spark.conf.get(BATCH, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. Where that is unset, a folder of our own if driver and
+    executors are one process (tests); an error on a cluster, whose executors wouldn't see it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="veilspan-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -33,17 +53,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and gives the
-    planner the true size, so that a later join broadcasts only below the session's threshold."""
-    spark = df.sparkSession
+    planner the true size, so that a later join broadcasts only below the session's threshold. The job's shuffle
+    files go when it ends."""
+    spark = settle(df.sparkSession)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
 def discard(*dfs: DataFrame) -> None:
-    """Delete scratch tables that no later step reads."""
+    """Delete scratch tables that no later step reads (Spark has no call of its own for that)."""
     for df in dfs:
         path = getattr(df, "_scratch", None)
         if path:
@@ -52,17 +78,24 @@ def discard(*dfs: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs that nothing refers to any more: its cleaner acts when the driver's JVM
-    collects garbage, which it may not do for many stages."""
-    gc.collect()
-    spark._jvm.System.gc()
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    held = {c.lower() for c in df.columns}
+    while f"__{name}".lower() in held:
+        name += "_"
+    return f"__{name}"
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast df only if it has at most `rows` rows (counted, df being a scratch table); else leave the join
-    to Catalyst, which shuffles and splits skewed partitions."""
-    return F.broadcast(df) if df.count() <= rows else df
+def sized(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """Broadcast df (a scratch table) only if its rows hold at most `limit` bytes, counted: eight for each column and what
+    its strings hold; else leave the join to Catalyst, which shuffles and splits skewed partitions."""
+    width = 8 * len(df.columns) * F.count(F.lit(1))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width += F.coalesce(F.sum(F.octet_length(F.col(name))), F.lit(0))
+        elif kind not in ("bigint", "int", "double", "boolean", "date", "timestamp"):
+            return df
+    return F.broadcast(df) if df.agg(width).first()[0] <= limit else df
 
 
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +117,13 @@ def pieces(offs: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def runs(arr: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of slices of at most `limit` bytes (or one row): only a slice is copied."""
+    size = pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False)
+    for i, j in pieces(np.append(0, np.cumsum(size, dtype=np.int64)), limit):
+        yield i, j, *utf8(arr.slice(i, j - i))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW["p"]) < n:
         for k, b in (("p", _BASE), ("inv", _BASE_INV)):

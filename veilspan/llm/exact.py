@@ -55,9 +55,22 @@ def unpack(raw: bytes, qbits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merge(filters: list[bytes], qbits: int) -> bytes:
-    """Lossless: remainders merge in order, counts of equal ones add up."""
+    """Lossless: the sorted remainders of two filters at a time run together, counts of equal ones add up."""
     parts = [unpack(f, qbits) for f in filters]
-    return pack(*add(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])), qbits)
+    while len(parts) > 1:
+        parts = [run_together(*parts[k], *parts[k + 1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return pack(*parts[0], qbits)
+
+
+def run_together(fp: np.ndarray, count: np.ndarray, fp2: np.ndarray, count2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of distinct fingerprints as one."""
+    at = np.searchsorted(fp, fp2)
+    same = np.zeros(len(fp2), bool)
+    inside = at < len(fp)
+    same[inside] = fp[at[inside]] == fp2[inside]
+    count = count.copy()
+    count[at[same]] += count2[same]
+    return np.insert(fp, at[~same], fp2[~same]), np.insert(count, at[~same], count2[~same])
 
 
 def add(fp: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

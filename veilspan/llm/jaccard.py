@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, components, discard, materialize, mix, pieces, release, run_hashes, sized, utf8, word_runs
+from .common import LOWER, U64, components, discard, materialize, mix, run_hashes, runs, sized, word_runs
 
 SKETCH, SLICES, MOST = 1 << 18, 16, 8
 LIGHT, TILE_ROWS, TILE_TOKENS, BITMAP = 32, 1024, 600_000, 2048
@@ -35,10 +35,9 @@ IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 
 def shingle_sets(arr: pa.Array, k: int):
     """The sorted distinct shingle hashes of each row, in turn."""
-    data, offs = utf8(arr)
-    for i, j in pieces(offs):
-        low = LOWER[data[offs[i] : offs[j]]]
-        starts, ends, first = word_runs(IS_WORD[low], offs[i : j + 1] - offs[i])
+    for _, _, data, offs in runs(arr):
+        low = LOWER[data]
+        starts, ends, first = word_runs(IS_WORD[low], offs)
         w = run_hashes(low, starts, ends)
         x = w.copy()
         for s in range(1, k):
@@ -145,7 +144,7 @@ def sets_for(need: DataFrame, rows: DataFrame, k: int, keep: list[str]) -> DataF
             sets = pa.array([s.view(np.int64) for s in shingle_sets(batch.column("text"), k)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), sets], [*keep, "tokens"])
 
-    texts = rows.join(sized(need.select("rep", *keep), 2_000_000), F.col("id") == F.col("rep")).select(*keep, "text")
+    texts = rows.join(sized(need.select("rep", *keep)), F.col("id") == F.col("rep")).select(*keep, "text")
     return texts.mapInArrow(work, ", ".join(f"{c} bigint" for c in [*keep]) + ", tokens array<bigint>")
 
 
@@ -238,23 +237,18 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     post = materialize(post.join(hubs, "token").distinct(), "ngram-postings")
     discard(hubs)
     del hubs
-    release(rows.sparkSession)
     star = post.where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("c")).groupBy("cls").agg(F.max(F.struct("c", "hub")).alias("m"))
     star = materialize(star.select(F.col("m.hub").alias("a"), F.col("cls").alias("b")), "ngram-star")
-    release(rows.sparkSession)
     links = verified(star, rows, reps, k, num, den)
-    release(rows.sparkSession)
     comp = components(links, "ngram-cc")
     held = post.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", "ell", "pos", F.coalesce("comp", "cls").alias("comp"))
     held = materialize(held, "ngram-held")
     discard(post)
     del post
-    release(rows.sparkSession)
     mixed = held.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("token", (F.col("m") > LIGHT).alias("heavy"))
     posted = materialize(held.join(mixed, "token"), "ngram-mixed")
     discard(held)
     del held, mixed
-    release(rows.sparkSession)
     cross = posted.where("not heavy")
     tiles = family_links(posted.where("heavy"), rows, reps, k, num, den)
     other = cross.select("token", *[F.col(c).alias(c + "2") for c in ("cls", "n", "ell", "pos", "comp")])
@@ -270,9 +264,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     pairs = materialize(pairs.select("a", "b"), "ngram-pairs")
     discard(posted)
     del posted, cross, other
-    release(rows.sparkSession)
     more = verified(pairs, rows, reps, k, num, den)
-    release(rows.sparkSession)
     whole = components(links.unionAll(more).unionAll(tiles), "ngram-cc")
     named = reps.join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     least_id = named.groupBy("comp").agg(F.min("rep").alias("component_id"))

@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, pieces, utf8
+from .common import LOWER, discard, materialize, runs, settle
 
 BITS = 15
+SLICES = 16
 ORDERS = (2, 3, 4)
 LETTER = re.compile(r"[^\W\d_]")
 FOLD = LOWER.copy()
@@ -63,36 +64,44 @@ def codebook(k: int, seed: int = 7) -> np.ndarray:
 
 
 def counts_by_lang(rows: DataFrame) -> dict[str, np.ndarray]:
-    """Bucket counts of each language over `rows` (text, lang), summed on at most eight tasks."""
+    """Bucket counts of each language over the sample `rows` (text, lang): each task sums its own, slices are added up."""
 
     def work(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
-            data, offs = utf8(batch.column(0))
-            for i, j in pieces(offs):
-                part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            for i, j, part, o in runs(batch.column(0)):
                 for lang in set(langs[i:j]):
                     keep = np.repeat(langs[i:j] == lang, np.diff(o))
                     acc = total.setdefault(lang, np.zeros(1 << BITS))
                     for code in grams(part, o):
                         acc += np.bincount(code[keep], minlength=(1 << BITS) + 1)[:-1]
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "vec": pa.array([v.astype("<f8").tobytes() for v in total.values()], pa.binary())})
+        parts = [(lang, k, x.astype("<f8").tobytes()) for lang, v in total.items() for k, x in enumerate(np.split(v, SLICES)) if x.any()]
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in parts], pa.string()), "slice": pa.array([x[1] for x in parts], pa.int32()), "vec": pa.array([x[2] for x in parts], pa.binary())})
 
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v.as_py(), "<f8") for v in table.column("vec"))
+        return pa.table({"lang": table.column("lang")[:1], "slice": table.column("slice")[:1], "vec": pa.array([total.tobytes()], pa.binary())})
+
+    shape = "lang string, slice int, vec binary"
     out: dict[str, np.ndarray] = {}
-    for r in rows.select("text", "lang").coalesce(8).mapInArrow(work, "lang string, vec binary").toLocalIterator():
-        out[r.lang] = out.get(r.lang, 0) + np.frombuffer(r.vec, "<f8")
-    return out
+    for r in rows.select("text", "lang").mapInArrow(work, shape).groupBy("lang", "slice").applyInArrow(add, shape).collect():
+        out.setdefault(r.lang, np.zeros((SLICES, (1 << BITS) // SLICES)))[r.slice] = np.frombuffer(r.vec, "<f8")
+    return {lang: v.ravel() for lang, v in out.items()}
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 20_000) -> dict:
     """Fit on about `max_rows` labelled rows at most (the bound on the training sample), chosen by a hash of the
     key; fewer rows are all used. Returns the model: languages, codewords, bit weights, classifier table."""
+    settle(labelled.sparkSession)
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h")).where("text is not null and lang is not null")
     n = rows.count()
     if n > max_rows:
-        rows = rows.where(F.pmod("h", F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
-    by = counts_by_lang(rows)
+        rows = rows.where(F.pmod("h", F.lit(1 << 40)) < int(max_rows / n * (1 << 40)))
+    # The sample is drawn by all tasks at once and written: what reads it is as small as it.
+    sample = materialize(rows.select("text", "lang"), "lang-sample")
+    by = counts_by_lang(sample)
+    discard(sample)
     langs = sorted(by)
     if not langs:
         return {"langs": []}
@@ -143,14 +152,12 @@ def predict(model: dict, text: Column, ambiguous_below: float = 0.05) -> Column:
             has = np.array([x is not None and LETTER.search(x) is not None for x in arr.to_pylist()], bool)
             lang[:] = "und"
             if model["langs"] and n:
-                data, offs = utf8(arr)
-                for i, j in pieces(offs):
-                    o = offs[i : j + 1] - offs[i]
+                for i, j, data, o in runs(arr):
                     total, size = np.zeros((j - i, model["table"].shape[1])), np.diff(o)
                     full = np.flatnonzero(size)
                     if not len(full):
                         continue
-                    for code in grams(data[offs[i] : offs[j]], o):
+                    for code in grams(data, o):
                         total[full] += np.add.reduceat(model["table"][code], o[:-1][full], 0)
                     f = total / np.maximum(1, len(ORDERS) * size - sum(n - 1 for n in ORDERS))[:, None]
                     k, s, m = decode(model, f)

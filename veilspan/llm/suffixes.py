@@ -3,39 +3,40 @@
 1. Anchors. Each window of `length` bytes elects the gram of GRAM bytes with the least hash in it, leftmost on ties.
    Equal windows elect equal grams at equal offsets, so a window repeats only where its anchor does. The windows that
    share one anchor occurrence are one context: some 40 windows for each row that is shuffled.
-2. Contexts that repeat whole need no sorting: all but the first occurrence are removed. The grams seen once, most of
-   the corpus, end here.
-3. Contexts that share their gram but differ go to suffix buckets (by gram), one occurrence of each. A task sorts one
-   bucket of suffixes at a time: by their first V bytes, then, for longer ties, by ranks of a difference-cover sample
-   worked out once for the block. A context lies in the block so that its anchor is at a multiple of V: then suffixes
-   that can be equal share their residue, and so the offset to the next sampled position. Memory is bounded by the
-   block. Neighbours with a common prefix of `length` bytes form groups; all but the earliest are removed.
+2. Copies of one context are collapsed before bytes are shuffled: the first occurrence stands for them, the others are
+   removed whole. The grams seen once, most of the corpus, end here.
+3. Contexts that share their gram but differ go to suffix buckets (by gram), one occurrence of each. A task takes whole
+   grams up to PIECE bytes as one text and sorts one bucket of its suffixes at a time (Block): by their first 8 bytes, then,
+   for longer ties, by ranks of a difference-cover sample modulo V worked out once for the text. Any two suffixes have an
+   offset below V at which both are sampled, whatever their residues, and their ranks there decide. Neighbours with a
+   common prefix of `length` bytes form groups; all but the earliest are removed.
 4. Removed intervals go back to their documents, which alone are shuffled if those are few enough to broadcast ids.
 
-A gram with more than HOT different contexts is cut further, by window. Copies of one window still
-meet in one bucket, which a task holds whole: a passage shared by very many documents with different neighbours is not
-bounded.
+A gram with more than HOT different contexts (a passage that very many documents share between different neighbours) isn't
+gathered: its windows are aggregated by two 64-bit hashes to their least position, each task combining its own first.
 
 Edge cases: null text is empty; texts shorter than `length` lose nothing; ids should be unique (rows repeated with
-one id count as the same occurrence, so neither loses bytes to the other); an empty table gives an empty result.
-Very long texts are cut into overlapping segments for step 1 only. Only id and text are read. Contexts are told apart
-by two 64-bit hashes (gram, context), windows in step 3 by their bytes.
+one id count as the same occurrence, so neither loses bytes to the other); rows with a null id lose nothing and take
+nothing from others; an empty table gives an empty result. Very long texts are cut into overlapping segments for step 1
+only. Only id and text are read. Contexts are told apart by two 64-bit hashes (gram, context), windows in step 3 by their
+bytes.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, U64, discard, materialize, mix, run_hashes, sized, utf8
+from .common import BYTE_CODE, U64, discard, materialize, mix, run_hashes, runs, sized
 
-GRAM, V, SEGMENT, PIECE, BUCKET, HOT = 20, 16, 1 << 20, 1 << 21, 1 << 18, 20_000
+GRAM, V, SEGMENT, PIECE, BUCKET, HOT = 20, 7, 1 << 18, 1 << 19, 1 << 16, 5_000
 POS_BITS = 23
-ID_ROWS = 2_000_000
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -98,17 +99,19 @@ def anchored(rows: DataFrame, length: int) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            data, offs = utf8(batch.column("text"))
-            for row, s, n, d, g, c in contexts(data, offs, length):
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), batch.column("id").take(pa.array(row)), pa.array(s), pa.array(n.astype(np.int32)), pa.array(d.astype(np.int32))], ["gram", "ctx", "id", "s", "n", "d"])
+            ids, text = batch.column("id"), batch.column("text")
+            for i, row, s, n, d, g, c in ((i, *x) for i, _, data, offs in runs(text, PIECE) for x in contexts(data, offs, length)):
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), ids.take(pa.array(row + i)), pa.array(s), pa.array(n.astype(np.int32)), pa.array(d.astype(np.int32))], ["gram", "ctx", "id", "s", "n", "d"])
 
     return rows.mapInArrow(work, f"gram bigint, ctx bigint, id {kind}, s bigint, n int, d int")
 
 
 def cover(v: int) -> np.ndarray:
-    """A difference cover modulo v: 0 .. r-1 and the multiples of r, r being the root of v rounded up."""
-    r = int(np.ceil(np.sqrt(v)))
-    return np.unique(np.concatenate([np.arange(r), np.arange(0, v + r, r) % v]))
+    """A least difference cover modulo v (v small): every residue is a difference of two of its members."""
+    for size in range(1, v + 1):
+        for c in itertools.combinations(range(v), size):
+            if len({(x - y) % v for x in c for y in c}) == v:
+                return np.array(c)
 
 
 def dense(*keys: np.ndarray) -> np.ndarray:
@@ -124,29 +127,25 @@ def dense(*keys: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Contexts laid out in one text with their anchors at multiples of V, and ranks of its difference-cover sample."""
-
-    def __init__(self, parts: list[tuple[bytes, int]], length: int):
-        at, out, self.starts = 0, bytearray(), []
-        for raw, d in parts:
-            pad = (at + d) % V and V - (at + d) % V
-            out += b"\0" * pad
-            self.starts.append(at + pad)
-            out += raw
-            at = len(out)
-        n = len(out)
-        t = np.frombuffer(bytes(out) + b"\0" * (2 * length + 4 * V), np.uint8)
+    """Contexts laid out in one text, and ranks of its difference-cover sample: by `length` bytes at least."""
+
+    def __init__(self, parts: list[bytes], length: int):
+        self.starts = np.cumsum([0, *[len(raw) + 1 for raw in parts]])[:-1]
+        text = b"\0".join(parts)
+        n = len(text)
+        t = np.frombuffer(text + b"\0" * (2 * length + 4 * V + 8), np.uint8)
         words = np.zeros(len(t) - 7, U64)
         for k in range(8):
             words |= t[k : k + len(words)].astype(U64) << U64(56 - 8 * k)
         self.words, self.length = words, length
         inside = np.zeros(V, bool)
         inside[cover(V)] = True
-        self.step = np.array([next(k for k in range(V) if inside[(r + k) % V]) for r in range(V)])
-        sample = np.flatnonzero(np.resize(inside, n + length))
-        self.index = np.full(n + 2 * length, -1, np.int64)
+        # For two residues, the least offset that leads both into the sample.
+        self.meet = np.array([[next(k for k in range(V) if inside[(x + k) % V] and inside[(y + k) % V]) for y in range(V)] for x in range(V)])
+        sample = np.flatnonzero(np.resize(inside, n + 2 * V))
+        self.index = np.full(n + 2 * length + 4 * V, -1, np.int64)
         self.index[sample] = np.arange(len(sample))
-        rank, depth = dense(words[sample], words[sample + 8]), V
+        rank, depth = dense(words[sample]), V
         while depth < length:
             nxt = self.index[np.minimum(sample + depth, len(self.index) - 1)]
             rank = dense(rank * (len(sample) + 1) + np.where(nxt >= 0, rank[nxt] + 1, 0))
@@ -154,17 +153,32 @@ class Block:
         self.rank = rank
 
     def sort(self, pos: np.ndarray) -> np.ndarray:
-        """Suffixes at pos in order of their first V bytes, residue, and cover rank: one bucket at a time."""
+        """Suffixes at pos in order, one bucket (a range of first 8 bytes) at a time."""
         lead = self.words[pos]
         cuts = np.unique(np.sort(lead)[BUCKET::BUCKET]) if len(pos) > BUCKET else lead[:0]
         bucket = np.searchsorted(cuts, lead, "right")
-        out = []
-        for b in range(len(cuts) + 1):
-            p = pos[bucket == b] if len(cuts) else pos
-            r = p % V
-            tie = self.rank[self.index[p + self.step[r]]]
-            out.append(p[np.lexsort((tie, r, self.words[p + 8], self.words[p]))])
-        return np.concatenate(out)
+        return np.concatenate([self.bucket(pos[bucket == b] if len(cuts) else pos) for b in range(len(cuts) + 1)])
+
+    def bucket(self, pos: np.ndarray) -> np.ndarray:
+        """One bucket in order. Suffixes that no other shares 8 bytes with stand by those; the others are counted, against
+        those of each residue, by their ranks where both are sampled."""
+        _, group, size = np.unique(self.words[pos], return_inverse=True, return_counts=True)
+        tied = size[group] > 1
+        place = (np.cumsum(size) - size)[group]
+        p, g = pos[tied], group[tied] * (len(self.rank) + 1)
+        residue = p % V
+        of = [np.flatnonzero(residue == r) for r in range(V)]
+        less = np.zeros(len(p), np.int64)
+        for y in range(V):
+            keys: dict[int, np.ndarray] = {}
+            for x in range(V):
+                k = int(self.meet[x, y])
+                if k not in keys:
+                    keys[k] = np.sort(g[of[y]] + self.rank[self.index[p[of[y]] + k]])
+                less[of[x]] += np.searchsorted(keys[k], g[of[x]] + self.rank[self.index[p[of[x]] + k]])
+        # `less` counts the tied suffixes of all groups before; within a group it is the order.
+        place[tied] = place[tied] + less - np.searchsorted(np.sort(g), g)
+        return pos[np.argsort(place, kind="stable")]
 
     def same(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Whether `length` bytes agree at p and q."""
@@ -175,12 +189,12 @@ class Block:
 
 
 def repeats_in(block: list[tuple], length: int) -> list[tuple]:
-    """(id, start, end) removed among the contexts (id, s, n, d, bytes) of whole suffix buckets."""
-    b = Block([(raw, d) for _, _, _, d, raw in block], length)
+    """(id, start, end) removed among the contexts (id, s, n, bytes) of whole grams."""
+    b = Block([x[3] for x in block], length)
     n = np.array([x[2] for x in block])
     own = np.repeat(np.arange(len(block)), n)
     rel = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    pos = np.array(b.starts)[own] + rel
+    pos = b.starts[own] + rel
     inv = np.full(pos.max() + 1, -1, np.int64)
     inv[pos] = np.arange(len(pos))
     order = inv[b.sort(pos)]
@@ -204,6 +218,7 @@ def repeats_in(block: list[tuple], length: int) -> list[tuple]:
 def removed_intervals(rows: DataFrame, length: int = 100) -> DataFrame:
     """(id, a, b): removed byte ranges of each document, overlapping ones included."""
     kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.where("id is not null")
     anchors = anchored(rows, length)
     grams = anchors.groupBy("gram").agg(F.count("*").alias("c"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("c > 1")
     grams = materialize(grams.select("gram", (F.col("c0") != F.col("c1")).alias("mixed")), "suffix-grams")
@@ -217,43 +232,54 @@ def removed_intervals(rows: DataFrame, length: int = 100) -> DataFrame:
     counts = firsts.where("mixed").groupBy("gram").agg((F.count("*") > HOT).alias("hot"))
     reps = again.where("mixed").join(firsts.select("gram", "ctx", "first"), ["gram", "ctx"]).where("pos = first").select("gram", "ctx", "id", "s", "n", "d").join(counts, "gram")
     lists = materialize(reps.dropDuplicates(["gram", "ctx"]).groupBy("id").agg(F.collect_list(F.struct("gram", "s", "n", "d", "hot")).alias("reps")), "suffix-reps")
-    near = rows.join(sized(materialize(lists.select("id"), "suffix-ids"), ID_ROWS), "id", "left_semi")
+    near = rows.join(sized(materialize(lists.select("id"), "suffix-ids")), "id", "left_semi").join(lists, "id")
 
     def cut(batches):
         for batch in batches:
             out: list[tuple] = []
             for i, text, reps in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "reps"))):
                 raw = text.encode()
-                for r in reps:
-                    if r["hot"]:
-                        for p in range(r["n"]):
-                            w = raw[r["s"] + p : r["s"] + p + length]
-                            out.append((hash_of(r["gram"], r["d"] - p, w), i, r["s"] + p, 1, r["d"] - p, w))
-                    else:
-                        out.append((r["gram"], i, r["s"], r["n"], r["d"], raw[r["s"] : r["s"] + r["n"] - 1 + length]))
-                if len(out) >= 1 << 15:
+                out += [(r["gram"], i, r["s"], r["n"], raw[r["s"] : r["s"] + r["n"] - 1 + length]) for r in reps if not r["hot"]]
+                if len(out) >= 1 << 13:
                     yield table(out, batch.schema.field("id").type)
                     out = []
             if out:
                 yield table(out, batch.schema.field("id").type)
 
-    def hash_of(gram, d, window):
-        return int.from_bytes(hashlib.blake2b(b"%d|%d|%d" % (gram, d, hashlib.blake2b(window, digest_size=1).digest()[0]), digest_size=8).digest(), "little", signed=True)
+    def windows(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for i, text, reps in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "reps"))):
+                raw = text.encode()
+                for r in reps:
+                    for p in range(r["n"] if r["hot"] else 0):
+                        a = r["s"] + p
+                        h = np.frombuffer(hashlib.blake2b(raw[a : a + length], digest_size=16).digest(), np.int64)
+                        out.append((int(h[0]), int(h[1]), i, a))
+                if len(out) >= 1 << 15:
+                    yield hashed(out, batch.schema.field("id").type)
+                    out = []
+            if out:
+                yield hashed(out, batch.schema.field("id").type)
+
+    def hashed(out, id_type):
+        c = list(zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], id_type), pa.array(c[3], pa.int64())], ["h1", "h2", "id", "a"])
 
     def table(out, id_type):
         c = list(zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], id_type), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.binary())], ["bucket", "id", "s", "n", "d", "raw"])
+        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], id_type), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.binary())], ["gram", "id", "s", "n", "raw"])
 
     def sort(batches):
         held, size, id_type = [], 0, None
         for batch in batches:
             id_type = batch.schema.field("id").type
-            for x in zip(*(batch.column(c).to_pylist() for c in ("bucket", "id", "s", "n", "d", "raw"))):
-                if size >= PIECE // 4 and x[0] != held[-1][0]:
+            for x in zip(*(batch.column(c).to_pylist() for c in ("gram", "id", "s", "n", "raw"))):
+                if size >= PIECE and x[0] != held[-1][0]:
                     yield intervals(held, id_type)
                     held, size = [], 0
                 held.append(x)
-                size += len(x[5])
+                size += len(x[4])
         if held:
             yield intervals(held, id_type)
 
@@ -261,10 +287,16 @@ def removed_intervals(rows: DataFrame, length: int = 100) -> DataFrame:
         found = repeats_in([h[1:] for h in held], length)
         return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], id_type), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], ["id", "a", "b"])
 
-    pieces = near.join(lists, "id").mapInArrow(cut, f"bucket bigint, id {kind}, s bigint, n int, d int, raw binary")
-    sorted_ = pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, f"id {kind}, a bigint, b bigint")
-    out = materialize(whole.unionAll(materialize(sorted_, "suffix-sorted")), "suffix-intervals")
-    discard(grams, again, firsts, whole, lists)
+    parts = near.mapInArrow(cut, f"gram bigint, id {kind}, s bigint, n int, raw binary")
+    found = [whole, materialize(parts.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, f"id {kind}, a bigint, b bigint"), "suffix-sorted")]
+    if not counts.where("hot").isEmpty():
+        w = materialize(near.mapInArrow(windows, f"h1 bigint, h2 bigint, id {kind}, a bigint"), "suffix-windows")
+        least = w.groupBy("h1", "h2").agg(F.min(F.struct("id", "a")).alias("first"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "first")
+        gone = w.join(materialize(least, "suffix-least"), ["h1", "h2"]).where(F.struct("id", "a") != F.col("first")).select("id", "a", (F.col("a") + length).alias("b"))
+        found.append(materialize(gone, "suffix-hot"))
+        discard(w)
+    out = materialize(functools.reduce(DataFrame.unionAll, found), "suffix-intervals")
+    discard(grams, again, firsts, lists, *found)
     return out
 
 
@@ -274,8 +306,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     kind = rows.schema["id"].dataType.simpleString()
     spans = removed_intervals(rows, length).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
     spans = materialize(spans, "suffix-spans")
-    ids = materialize(spans.select("id"), "suffix-hit")
-    few = ids.count() <= ID_ROWS
+    ids = sized(materialize(spans.select("id"), "suffix-hit"))
     schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
     def apply(batches):
@@ -302,7 +333,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                 kept.append(rest)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    if few:
-        hit = rows.join(F.broadcast(ids), "id", "left_semi").join(spans, "id").mapInArrow(apply, schema)
-        return rows.join(F.broadcast(ids), "id", "left_anti").mapInArrow(apply, schema).unionAll(hit)
-    return rows.join(spans, "id", "left").mapInArrow(apply, schema)
+    # Only documents that lose something are shuffled, unless their ids are too many to broadcast (then Catalyst decides).
+    hit = rows.join(ids, "id", "left_semi").join(spans, "id").mapInArrow(apply, schema)
+    return rows.join(ids, "id", "left_anti").mapInArrow(apply, schema).unionAll(hit)

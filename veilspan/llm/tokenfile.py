@@ -1,13 +1,14 @@
 """Token-ID output: tokenize whole texts and write them, in ascending id order, as range-coded segments.
 
-A segment holds some four million ids of whole documents and the index of those documents; a file is a table of
+A segment holds some two million ids of whole documents and the index of those documents; a file is a table of
 segments in the shared folder (one row each), so any store that Spark writes can hold it. Reading back needs no
 shuffle: each segment is decoded where its row is read, and offsets come from a running sum over segments.
 
-Texts are tokenized by pieces: a boundary before blanks is always a token boundary of the byte-level splitter, so the
-ids of a text are the ids of its pieces put together, and pieces repeat; so is one between an ASCII letter or digit and
-a sign. Texts with other white space, or holding the
-end-of-text marker, are encoded whole.
+Texts are tokenized by pieces where the tokenizer has the byte-level splitter and no normalizer (its file says so): a
+boundary before blanks is always a token boundary of that splitter, so the ids of a text are the ids of its pieces put
+together, and pieces repeat; so is one between an ASCII letter or digit and a sign. Texts with other white space, or
+holding one of the tokenizer's added tokens, are encoded whole; so are all texts of any other tokenizer. A worker keeps
+the pieces of late in two generations of CACHE bytes each.
 
 Edge cases: null text is empty and has the end id only; rows repeated with one id are written one after the other; an
 empty table writes no segment; null ids come first. Only id and text are read.
@@ -15,7 +16,9 @@ empty table writes no segment; null ids come first. Only id and text are read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 
@@ -25,18 +28,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, utf8
+from .common import materialize, runs, settle, utf8
 from .rangecoder import decode, encode
 
-SEGMENT = 4_000_000
+SEGMENT = 2_000_000
 CHUNK = 1 << 22  # bytes of text tokenized at a time (or one text)
-ODD = r"<\|endoftext\|>|[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-CACHE = 1_500_000  # pieces kept by a worker, some 300 MB
-BLANK = np.zeros(256, bool)
-BLANK[[32, 9, 10, 13]] = True
-WORD, SIGN = np.zeros(256, bool), np.zeros(256, bool)  # ASCII letters and digits; other printing ASCII
+SPACES = r"[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+CACHE = 40 << 20  # bytes of a generation of pieces kept by a worker; each counts ENTRY bytes besides its own
+ENTRY = 180
+BLANK, WORD, SIGN = 1, 2, 3  # kinds of bytes: blanks; ASCII letters and digits; other printing ASCII
+KIND = np.zeros(256, np.uint8)
+KIND[[32, 9, 10, 13]] = BLANK
 for c in range(33, 127):
-    (WORD if chr(c).isalnum() else SIGN)[c] = True
+    KIND[c] = WORD if chr(c).isalnum() else SIGN
+BLANKS = b" \t\n\r"
 _ENCODERS: dict = {}  # of this worker, so that its next task finds the cache filled
 
 
@@ -47,18 +52,30 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.end, self.cache = Tokenizer.from_file(path), end_id, {}
+        self.tok, self.end, self.cache, self.before, self.held = Tokenizer.from_file(path), end_id, {}, {}, 0
+        spec = json.loads(self.tok.to_str())
+        cut = spec.get("pre_tokenizer") or {}
+        self.by_pieces = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.odd = "|".join([SPACES, *(re.escape(t) for t in added)])
+        # Only texts that hold one of these bytes can be odd: leads of other white space, first bytes of added tokens.
+        self.suspect = np.zeros(256, bool)
+        self.suspect[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, *(t.encode()[0] for t in added if t)]] = True
         names = self.tok.get_vocab(with_added_tokens=False)
         self.bytes_of = np.zeros(max(names.values()) + 1, np.int64)
         for name, i in names.items():  # a byte-level token has a character for each byte
             self.bytes_of[i] = len(name)
 
-    def learn(self, new: list[bytes]) -> None:
-        """Put new pieces into the cache. Pieces of a blank and a word are joined, encoded together and told apart by
-        the tokens' lengths; the others are encoded one by one."""
-        odd = pc.match_substring_regex(pa.array(new, pa.binary()).cast(pa.string()), ODD).to_pylist()
-        plain = [p for p, o in zip(new, odd) if not o and BLANK[p[0]] and not BLANK[p[-1]]]
-        alone = [p for p, o in zip(new, odd) if o or not BLANK[p[0]] or BLANK[p[-1]]]
+    def keep(self, names: list[bytes], ids: list[bytes]) -> None:
+        self.cache.update(zip(names, ids))
+        self.held += sum(map(len, names)) + sum(map(len, ids)) + ENTRY * len(names)
+
+    def learn(self, new: list[bytes], odd: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of new pieces. Those of a blank and a word are joined, encoded together and told apart by the tokens'
+        lengths; the others are encoded one by one."""
+        plain, alone, got = [], [], {}
+        for p in new:
+            (plain if self.by_pieces and p[0] in BLANKS and p[-1] not in BLANKS and p not in odd else alone).append(p)
         for i in range(0, len(plain), 20_000):
             groups = [plain[k : k + 500] for k in range(i, min(i + 20_000, len(plain)), 500)]
             texts = [b"".join(g).decode() for g in groups]
@@ -69,46 +86,63 @@ class Encoder:
                 cut = np.searchsorted(at, ends)
                 if len(at) and cut[-1] == len(at) - 1 and (at[cut] == ends).all():
                     raw, cut = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
-                    self.cache.update(zip(g, (raw[x:y] for x, y in zip(cut, cut[1:]))))
+                    got.update(zip(g, (raw[x:y] for x, y in zip(cut, cut[1:]))))
                 else:  # a tokenizer whose tokens don't spell the bytes
                     alone += g
         for i in range(0, len(alone), 10_000):
             part = alone[i : i + 10_000]
-            self.cache.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([p.decode() for p in part], add_special_tokens=False))))
+            got.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([p.decode() for p in part], add_special_tokens=False))))
+        return got
 
-    def pieces_of(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """The pieces of the texts as one array, and the first piece of each text (with the total last): a piece is a
-        run of blanks and the word after it, cut where a sign follows an ASCII letter or digit. An odd text is one
-        piece."""
+    def ids_of(self, names: list[bytes], odd: set[bytes]) -> list[bytes]:
+        """Ids of different pieces, from the two generations of the cache or made now."""
+        if self.held > CACHE:
+            self.before, self.cache, self.held = self.cache, {}, 0
+        own = list(map(self.cache.get, names))
+        lack = [k for k, o in enumerate(own) if o is None]
+        again = [names[k] for k in lack]
+        late = list(map(self.before.get, again))
+        new = [p for p, o in zip(again, late) if o is None]
+        got = self.learn(new, odd) if new else {}
+        late = [o if o is not None else got[p] for p, o in zip(again, late)]
+        for k, o in zip(lack, late):
+            own[k] = o
+        self.keep(again, late)
+        return own
+
+    def pieces_of(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, set[bytes]]:
+        """The pieces of the texts as one array, the first piece of each text (with the total last), and the odd texts: a
+        piece is a run of blanks and the word after it, cut where a sign follows an ASCII letter or digit. An odd text is
+        one piece."""
         data, offs = utf8(texts)
         cut = np.zeros(len(data) + 1, bool)
-        blank = BLANK[data]
-        cut[1:-1] = blank[1:] & ~blank[:-1] | WORD[data[:-1]] & SIGN[data[1:]]
-        for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, ODD), False).to_numpy(zero_copy_only=False)):
-            cut[offs[i] : offs[i + 1]] = False
+        odd = set()
+        if self.by_pieces and len(data):
+            kind = KIND.take(data)
+            cut[1:-1] = (kind[1:] == BLANK) & (kind[:-1] != BLANK) | (kind[:-1] == WORD) & (kind[1:] == SIGN)
+            rows = np.unique(np.searchsorted(offs, np.flatnonzero(self.suspect.take(data)), "right") - 1)
+            if len(rows):
+                hit = pc.match_substring_regex(texts.take(pa.array(rows)), self.odd).to_numpy(zero_copy_only=False)
+                for i in rows[hit.astype(bool)]:
+                    cut[offs[i] : offs[i + 1]] = False
+                    odd.add(data[offs[i] : offs[i + 1]].tobytes())
         cut[offs] = True
         at = np.flatnonzero(cut)
         if len(at) < 2:  # no text at all
-            return pa.array([], pa.large_binary()), np.zeros(len(texts) + 1, np.int64)
+            return pa.array([], pa.large_binary()), np.zeros(len(texts) + 1, np.int64), odd
         arr = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-        return arr, np.searchsorted(at, offs)
+        return arr, np.searchsorted(at, offs), odd
 
     def chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; how many each text has)."""
-        arr, first = self.pieces_of(texts)
+        arr, first, odd = self.pieces_of(texts)
         coded = arr.dictionary_encode()
         names = []
         if len(coded.dictionary):
             at = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist()
             own = coded.dictionary.buffers()[2].to_pybytes()
             names = [own[a:b] for a, b in zip(at, at[1:])]
-        if len(self.cache) > CACHE:
-            self.cache = {p: self.cache[p] for p in names if p in self.cache}
-        own = list(map(self.cache.get, names))
-        new = [p for p, o in zip(names, own) if o is None]
-        if new:
-            self.learn(new)
-            own = list(map(self.cache.__getitem__, names))
+        own = self.ids_of(names, odd)
         flat = np.append(np.frombuffer(b"".join(own), "<u4"), np.uint32(self.end))
         width = np.fromiter(map(len, own), np.int64, len(own)) // 4
         start = np.cumsum(width) - width
@@ -149,7 +183,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "d
                 continue
             file = batch.column("file")[0].as_py()
             text, key = batch.column("text"), batch.column("id").cast(pa.int64())
-            for i, j in pieces(utf8(text)[1], CHUNK):
+            for i, j, _, _ in runs(text, CHUNK):
                 flat, size = enc.chunk(text.slice(i, j - i))
                 ids.append(flat), sizes.append(size), keys.append(key.slice(i, j - i))
                 held += len(flat)
@@ -164,6 +198,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "d
 
 def read_tokens(table: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the file alone."""
+    settle(table.sparkSession)
     heads = table.select("file", "segment", "n_ids")
     by = Window.orderBy("file", "segment").rowsBetween(Window.unboundedPreceding, -1)
     heads = materialize(heads.withColumn("base", F.coalesce(F.sum("n_ids").over(by), F.lit(0))).select("file", "segment", "base"), "token-bases")
