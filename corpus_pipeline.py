@@ -10,10 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import decontaminate, jaccard, langid, mixing, tokenfile
-from veilspan.llm.common import materialize, sized
-
-#: Ids that a broadcast may hold; beyond, Spark shuffles.
-ID_ROWS = 2_000_000
+from veilspan.llm.common import fresh, materialize, sized
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +19,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     if not model["langs"]:
         return docs.where(langid.has_letter(F.col("text"))).select(*docs.columns)
-    x = docs.withColumn("__lang", langid.predict(model, F.col("text"))["lang"])
-    return x.where("__lang <> 'und'").select(*docs.columns)
+    name = fresh(docs, "lang")
+    x = docs.withColumn(name, langid.predict(model, F.col("text"))["lang"])
+    return x.where(F.col(name) != "und").select(*docs.columns)
 
 
 def row_hash(docs: DataFrame) -> Column:
@@ -38,33 +36,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty():
         groups = materialize(jaccard.near_groups(docs, k=5, num=80, den=100), "near")
         gone = materialize(groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "near-gone")
-        return docs.join(sized(gone, ID_ROWS), "doc_id", "left_anti").select(*docs.columns)
-    x = docs.withColumn("__row", row_hash(docs))
-    groups = materialize(jaccard.near_groups(x, key="__row", k=5, num=80, den=100), "near")
-    named = groups.select(F.col("id").alias("__row"), "component_id").distinct().join(x.select("__row", "doc_id").distinct(), "__row")
-    least = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("least"))
-    kept = x.join(sized(materialize(least.select("least.__row"), "near-kept"), ID_ROWS), "__row", "left_semi")
-    return kept.dropDuplicates(["__row"]).select(*docs.columns)
+        return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    row = fresh(docs, "row")
+    x = docs.withColumn(row, row_hash(docs))
+    groups = materialize(jaccard.near_groups(x, key=row, k=5, num=80, den=100), "near")
+    named = groups.select(F.col("id").alias(row), "component_id").distinct().join(x.select(row, "doc_id").distinct(), row)
+    least = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row)).alias("least"))
+    kept = x.join(sized(materialize(least.select(F.col("least")[row].alias(row)), "near-kept")), row, "left_semi")
+    return kept.dropDuplicates([row]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words are cut out; a document of which no word is left goes."""
-    hits = decontaminate.contamination(F.col("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    x = docs.withColumn("__hits", hits).where("__hits.n_hit = 0 or __hits.n_hit < __hits.n_words")
-    x = x.withColumn("text", decontaminate.without_spans(F.col("text"), F.col("__hits")))
-    return x.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    hits = decontaminate.contamination(F.col("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=True)
+    h = fresh(docs, "hits")
+    x = docs.withColumn(h, hits).where((F.col(h)["n_hit"] == 0) | (F.col(h)["n_hit"] < F.col(h)["n_words"]))
+    x = x.withColumn("text", F.coalesce(F.col(h)["rest"], F.col("text")))
+    return x.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 1, 2, 3, ...; a document taken more than once is repeated. Copies are dealt to rows, not
     ids: a null id is an id like others, and rows of one id have copies of their own."""
-    x = docs.withColumn("__row", row_hash(docs))
-    per = mixing.pareto_mix(x, carry="__row").groupBy("id", "__row").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n"))
-    per = per.where("__copies > 0").select(F.col("id").alias("__id"), F.col("__row").alias("__r"), "__copies", "__n")
-    x = x.join(per, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__r")))
+    row, ident, copies, n, r, copy = (fresh(docs, x) for x in ("row", "id", "copies", "n", "r", "copy"))
+    x = docs.withColumn(row, row_hash(docs))
+    per = mixing.pareto_mix(x, carry=row).groupBy("id", row).agg(F.sum("copies").alias(copies), F.count("*").alias(n)).where(F.col(copies) > 0)
+    x = x.join(per.select(F.col("id").alias(ident), F.col(row).alias(r), copies, n), F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(row) == F.col(r)))
     # Rows equal in all columns are one, with the copies of all.
-    x = x.where("__n = 1").unionByName(x.where("__n > 1").dropDuplicates(["__id", "__row"]))
-    return x.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    x = x.where(F.col(n) == 1).unionByName(x.where(F.col(n) > 1).dropDuplicates([ident, row]))
+    return x.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
