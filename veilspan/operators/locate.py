@@ -6,60 +6,106 @@ import json
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_cjk
+from . import modelvalues as mv
 
-WORD = "A-Za-z0-9À-ɏ"
+NEEDLES = 4096  # values of a scope that a task searches for at a time
 
 
-def literal(c: Column) -> Column:
-    """A value as a regex that matches it literally, white space runs up to twelve wide."""
-    return F.regexp_replace(F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|])", r"\\$1"), r"\s+", r"\\\\s{1,12}")
+def head_of(value: str) -> str:
+    """What a text in lower case must hold if the value, however spaced or composed, occurs in it; '' if that is nothing."""
+    first = value.split()[0] if value.split() else ""
+    run = re.match(r"[0-9a-z]+", first.lower())
+    return run.group() if run else first[:1] if first and mv.CJK.match(first) else ""
 
 
 def occurrences(values: DataFrame, docs: DataFrame, scope: str = "doc_id", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, end, type, text) of each value (scope, value, type) in its scope's documents: case aside,
-    white space runs loose, not inside a longer Latin word (F09). A cheap contains() runs before the regex."""
-    x = values.join(docs.select(*{scope, key}, F.col(text).alias("__t")), scope)
-    head = F.lower(F.regexp_extract("value", r"^\S+", 0))
-    x = x.where(F.lower("__t").contains(head))
-    guard = F.when(F.col("value").rlike(f"^[{WORD}]"), F.lit(f"(?<![{WORD}])")).otherwise("")
-    tail = F.when(F.col("value").rlike(f"[{WORD}]$"), F.lit(f"(?![{WORD}])")).otherwise("")
-    x = x.withColumn("__p", F.concat(F.lit("(?iu)"), guard, literal(F.col("value")), tail))
-    x = x.withColumn("__m", F.regexp_extract_all("__t", F.col("__p"), F.lit(0))).where(F.size("__m") > 0).withColumn("__g", F.expr("split(__t, __p, -1)"))
-    x = x.select(key, "type", "__t", F.posexplode("__m").alias("i", "m"), "__m", "__g")
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + F.length(v))
-    start = total(F.slice("__g", F.lit(1), F.col("i") + 1)) + total(F.slice("__m", F.lit(1), F.col("i")))
-    return x.select(key, start.alias("start"), (start + F.length("m")).alias("end"), "type", F.col("m").alias("text")).distinct()
-
-
-def rescan(spans: DataFrame, docs: DataFrame, scope: str = "doc_id", key: str = "doc_id") -> DataFrame:
-    """Needles are the distinct PERSON and COMPANY surfaces of a scope (the first span's type), name heads
-    (F08) left out; hits that overlap a confirmed span are dropped."""
+    """(key, start, end, type, text, value) of each value (scope, value, type) in its scope's documents: case aside,
+    white space runs loose, composed and decomposed alike, not inside a longer Latin word (F09).
+
+    The values of a scope go in blocks of NEEDLES; a task makes one automaton of a block's heads, which says in one pass
+    which values a text can hold, and searches for those alone. Null values and texts match nothing; repeated values count
+    once; only the named columns are read."""
+    v = values.select(F.col(scope).alias("__scope"), "value", "type").where(F.trim("value") != "").distinct()
+    sizes = v.groupBy("__scope").agg(F.ceil(F.count("*") / NEEDLES).alias("__n"))
+    blocks = v.join(sizes, "__scope").groupBy("__scope", F.pmod(F.xxhash64("value"), "__n").alias("__block")).agg(F.sort_array(F.collect_list(F.struct("value", "type"))).alias("__rows"))
+    x = docs.select(F.col(scope).alias("__scope"), F.col(key).alias("__key"), F.col(text).alias("__text")).join(blocks, "__scope").select("__key", "__text", "__rows")
+
+    def run(batches):
+        held, words, always, by = None, None, [], {}
+        for batch in batches:
+            ids, out = [], []
+            for i, (t, rows) in enumerate(zip(batch.column("__text").to_pylist(), batch.column("__rows"))):
+                if t is None:
+                    continue
+                if held is None or rows != held:
+                    held, by = rows, {}
+                    for r in rows.as_py():
+                        by.setdefault(head_of(r["value"]), []).append((r["value"], r["type"]))
+                    always = by.pop("", [])
+                    words = ahocorasick.Automaton()
+                    for h in by:
+                        words.add_word(h, h)
+                    if by:
+                        words.make_automaton()
+                seen = {h for _, h in words.iter(t.lower())} if by else ()
+                for value, kind in [*always, *(r for h in sorted(seen) for r in by[h])]:
+                    found = mv.places(t, value.strip())[0]
+                    out += [(a, b, kind, t[a:b], value) for a, b in found]
+                    ids += [i] * len(found)
+            cols = [pa.array([r[k] for r in out], pa.int32() if k < 2 else pa.string()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column("__key").take(pa.array(ids, pa.int64())), *cols], [key, "start", "end", "type", "text", "value"])
+
+    return x.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, start int, end int, type string, text string, value string")
+
+
+def needles(spans: DataFrame, scope: str, key: str = "doc_id") -> DataFrame:
+    """(scope, low, type, value): distinct PERSON and COMPANY surfaces (the first span's type), safe ones (F07), without
+    name heads (F08: a short CJK value that ends a longer company name of the scope)."""
+    mine = spans.where(F.col("type").isin("PERSON", "COMPANY", "TRADEMARK"))
+    n = mine.groupBy(scope, F.lower("text").alias("low")).agg(F.min_by("type", F.struct(key, "start")).alias("type"), F.min("text").alias("value"))
+    tails = n.where(F.col("type").isin("COMPANY", "TRADEMARK")).select(scope, F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.lit(3)), lambda k: k < F.length("low")), lambda k: F.substring("low", F.length("low") - k + 1, k))).alias("low")).distinct()
+    heads = n.where((F.length("value") <= 3) & contains_cjk(F.col("value"))).join(tails, [scope, "low"], "left_semi").select(scope, "low")
+    return n.where(F.col("type").isin("PERSON", "COMPANY")).where(mv.needle_safe("value")).join(heads, [scope, "low"], "left_anti")
+
+
+def rescan(spans: DataFrame, docs: DataFrame, scope: str = "doc_id", key: str = "doc_id", extra: DataFrame | None = None) -> DataFrame:
+    """The needles of a scope (and extra ones: scope, value, type, such as bound aliases) found again; hits that
+    overlap a confirmed span are dropped, overlaps that are left go longest first."""
+    from .spanalgebra import greedy, overlap_anti
+
+    n = needles(spans, scope, key).select(scope, "value", "type")
+    found = occurrences(n if extra is None else n.unionByName(extra.select(scope, "value", "type")), docs, scope, key)
+    return greedy(overlap_anti(found.select(key, "start", "end", "type", "text").dropDuplicates([key, "start", "end"]), spans, key), key)
+
+
+def unswept(spans: DataFrame, docs: DataFrame, scope: str, key: str = "doc_id") -> DataFrame:
+    """(key, start, end, type, text) of values confirmed in other documents of the scope that no span of this one covers."""
     from .spanalgebra import overlap_anti
 
-    mine = spans.where(F.col("type").isin("PERSON", "COMPANY"))
-    needles = mine.groupBy(scope, F.lower("text").alias("low")).agg(F.min_by("type", F.struct(key, "start")).alias("type"), F.min("text").alias("value"))
-    safe = F.when(contains_cjk(F.col("value")), F.length("value") >= 2).when(F.col("value").rlike("^[A-Z0-9]+$"), F.length("value") >= 3).otherwise(F.length("value") >= 4)
-    heads = needles.alias("s").join(needles.alias("l"), (F.col(f"s.{scope}") == F.col(f"l.{scope}")) & (F.col("l.type") == "COMPANY") & F.col("l.value").endswith(F.col("s.value")) & (F.length("l.value") > F.length("s.value")) & (F.length("s.value") <= 3) & contains_cjk(F.col("s.value")), "left_semi")
-    needles = needles.where(safe).join(heads.select(scope, "low"), [scope, "low"], "left_anti")
-    return overlap_anti(occurrences(needles.select(scope, "value", "type"), docs, scope, key), spans, key)
+    partners = spans.where(F.col("type").isin("PERSON", "COMPANY")).groupBy(scope, F.lower("text").alias("low")).agg(F.min(key).alias("__first"), F.max(key).alias("__last"))
+    hits = occurrences(needles(spans, scope, key).select(scope, "value", "type"), docs, scope, key)
+    own = docs.select(key, F.col(scope).alias("__s")).distinct()
+    hits = hits.join(own, key).withColumn("low", F.lower("value")).join(partners.withColumnRenamed(scope, "__s"), ["__s", "low"])
+    hits = hits.where((F.col("__first") != F.col(key)) | (F.col("__last") != F.col(key)))
+    return overlap_anti(hits.select(key, "start", "end", "type", "text").distinct(), spans, key)
 
 
 def aliases(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Quoted short names in brackets bind to the nearest preceding name that ends at most six characters before."""
-    from .regexspans import matches
-
-    pattern = r"[(（][^()（）]{0,12}[\"“'][^\"”']{2,40}[\"”'][)）]"
-    x = docs.select(key, F.inline(matches(F.col(text), pattern))).select(key, F.col("start").alias("anchor"), F.regexp_extract("text", "[\"“']([^\"”']{2,40})[\"”']", 1).alias("alias"))
+    """Short names in brackets bind to the nearest name that ends at most six characters before, with only blanks and
+    closing quotes between, if they derive from it (F06)."""
+    x = mv.alias_rows(docs, key, text)
     near = spans.where(F.col("type").isin("PERSON", "COMPANY")).select(key, F.col("end").alias("e"), F.col("text").alias("canonical"), "type")
     y = x.join(near, key).where((F.col("e") <= F.col("anchor")) & (F.col("e") >= F.col("anchor") - 6))
-    rank = F.row_number().over(Window.partitionBy(key, "anchor").orderBy(F.desc("e")))
-    derived = F.lower("canonical").contains(F.lower("alias")) | (F.upper(F.array_join(F.transform(F.split("canonical", r"[ ,.]+"), lambda w: F.substring(w, 1, 1)), "")).contains(F.upper("alias")))
-    return y.withColumn("rk", rank).where("rk = 1").where(derived).select(key, "alias", "canonical", "type")
+    y = y.withColumn("rk", F.row_number().over(Window.partitionBy(key, "anchor", "alias").orderBy(F.desc("e"), "canonical"))).where("rk = 1")
+    gap = F.when(F.col("e") < F.col("anchor"), F.substring(F.col("lead"), F.length("lead") - (F.col("anchor") - F.col("e")) + 1, F.lit(6))).otherwise("")
+    return y.where(gap.rlike("^[\\s\\x{A0}\\x{3000}\"'”’」』》]*$")).where(mv.is_derived("alias", "canonical")).select(key, "alias", "canonical", "type")
 
 
 def precedent_released(spans: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,7 +185,9 @@ def parse_entities(raw: str | None) -> dict:
 
 
 def model_rows(segments: DataFrame) -> DataFrame:
-    """(doc_id, segment, truncated, invalid, value, type): one row each entity, one with nulls where there is none."""
+    """(doc_id, segment, truncated, invalid, value, type): one row each entity, one with nulls where there is none. Keys of
+    any type; a null answer is invalid."""
+    kinds = [segments.schema[c].dataType.simpleString() for c in ("doc_id", "segment")]
 
     def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -149,7 +197,7 @@ def model_rows(segments: DataFrame) -> DataFrame:
                 out += [(d, s, p["truncated"], p["invalid"], v, k) for v, k in p["entities"] or [(None, None)]]
             yield pd.DataFrame(out, columns=["doc_id", "segment", "truncated", "invalid", "value", "type"])
 
-    return segments.select("doc_id", "segment", "raw_output").mapInPandas(work, "doc_id int, segment int, truncated boolean, invalid boolean, value string, type string")
+    return segments.select("doc_id", "segment", "raw_output").mapInPandas(work, f"doc_id {kinds[0]}, segment {kinds[1]}, truncated boolean, invalid boolean, value string, type string")
 
 
 BRIDGE = 600
@@ -180,10 +228,13 @@ def chunk(text: str, target: int = 2000, overlap: int = 350) -> list[tuple[int,
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = 2000, overlap: int = 350) -> DataFrame:
+    """(key, chunk_no, start, text) of every document; null and empty texts have no chunk; keys of any type."""
+    kind = docs.schema[key].dataType.simpleString()
+
     def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             yield pd.DataFrame([(k, i, a, t[a:b]) for k, t in zip(pdf[key], pdf[text]) for i, (a, b) in enumerate(chunk(t or "", target, overlap))], columns=[key, "chunk_no", "start", "text"])
 
-    return docs.select(key, text).mapInPandas(work, f"{key} bigint, chunk_no int, start int, text string")
+    return docs.select(key, text).mapInPandas(work, f"{key} {kind}, chunk_no int, start int, text string")
 
 

@@ -1,6 +1,6 @@
 """All queries of the de-identification operators, with their DuckDB equivalents."""
 
-from . import relations, scalars, spans, streams  # noqa: F401  registration
+from . import relations, scalars, sessions, spans, streams  # noqa: F401  registration
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -115,7 +115,7 @@ R("j06_party_sentences", "SELECT o_orderkey, 'invoice ' || o_orderkey || ' of '
 def known_names(spark, sf):
     d = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     docs = d.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Order of "), "c_name", F.lit("; "), "c_name", F.lit("x")).alias("text"))
-    return locate.occurrences(d.select(F.col("o_orderkey").alias("doc_id"), F.lower("c_name").alias("value"), F.lit("PERSON").alias("type")), docs)
+    return locate.occurrences(d.select(F.col("o_orderkey").alias("doc_id"), F.lower("c_name").alias("value"), F.lit("PERSON").alias("type")), docs).drop("value")
 
 
 @query("j05_rescan", "SELECT * FROM (VALUES (1, 12, 15, 'PERSON', 'ANNA')) AS t(doc_id, start, \"end\", type, text) WHERE false UNION ALL SELECT 1, 14, 18, 'PERSON', 'Anna'")
