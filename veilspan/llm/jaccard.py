@@ -6,12 +6,14 @@ first n - a + l shingles of both, l being the smaller of the two documents' choi
 prefix's lengthening) with the least estimated cost: posting entries scanned plus verifications, by the sketch.
 
 Components rather than pairs are wanted, so no group is expanded into all its pairs: first each class is verified
-against one hub, the least class of its shared prefix shingles; then only pairs from different components that share
+against one hub, the least class of its shared prefix shingles, if it shares enough of them; then only pairs from different components that share
 the required number of prefix shingles (and can still reach the overlap by position) are verified, exactly, on sets.
-Shingles in the prefixes of more than LIGHT classes would give pairs by the square: the classes they connect form
-families, which are compared tile by tile (two blocks of a family) inside a task, by parity bitmaps first and by whole
-sets for what passes; a tile returns only links that join components. A pair either meets in a family, or shares
-light shingles alone, whose count is then its whole count: no link is lost.
+Shingles in the prefixes of more than LIGHT classes would give pairs by the square. A pair whose rarest common shingle is
+light meets there; how many heavy ones it may share besides is allowed for. Any other pair shares a heavy shingle of both
+its shortest prefixes (those for one match) and has like sizes: the classes of a heavy shingle and a band of sizes are
+compared in tiles inside a task, by parity bitmaps of BITMAP bits alone, and what passes is verified by whole sets. A tile
+gives the CLOSEST pairs of each component, so no more rows than it has members; verified links join components. Tiles that
+hold back pairs run again, with more pairs a component each time, until none does: no link is lost, no group is expanded.
 
 Edge cases: null text and text without words have an empty set, linked with nothing (component: own id); fewer words
 than k make one shingle; rows repeated with the same id are copies; an empty table gives an empty result. Only id
@@ -22,13 +24,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, U64, components, discard, materialize, mix, run_hashes, runs, sized, word_runs
 
 SKETCH, SLICES, MOST = 1 << 18, 16, 8
-LIGHT, TILE_ROWS, TILE_TOKENS, BITMAP = 32, 1024, 600_000, 2048
+LIGHT, TILE_ROWS, BITMAP, CLOSEST = 32, 1024, 2048, 2
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 
@@ -65,13 +67,15 @@ def described(rows: DataFrame, k: int, seed: int) -> DataFrame:
     def work(batches):
         sketch, id_type = np.zeros(SKETCH, np.int64), None
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, seen = [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 n.append(len(s))
                 c = class_of(s, seed) if len(s) else (0, 0)
                 a.append(c[0])
                 b.append(c[1])
-                np.add.at(sketch, (s >> U64(64 - 18)).astype(np.int64), 1)
+                seen.append(s)
+            if seen:
+                sketch += np.bincount((np.concatenate(seen) >> U64(64 - 18)).astype(np.int64), minlength=SKETCH)
             id_type = batch.schema.field("id").type
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
@@ -113,7 +117,7 @@ def prefixes(rows: DataFrame, sketch: np.ndarray, k: int, num: int, den: int, se
     def work(batches):
         sk = shared.value
         rare = np.median(sk)
-        rank = np.floor(np.log2(np.maximum(1, sk / max(1.0, rare))) * 4).astype(np.int64)
+        rank = np.floor(np.log2(np.maximum(1, sk / max(1.0, rare))) * 4).clip(0, 255).astype(U64) << U64(56)
         seen: set[int] = set()
         for batch in batches:
             out: list[tuple] = []
@@ -124,7 +128,10 @@ def prefixes(rows: DataFrame, sketch: np.ndarray, k: int, num: int, den: int, se
                     seen.add(c)
                 slot = (s >> U64(64 - 18)).astype(np.int64)
                 # Within a rank the order must be the same everywhere and not follow the slot: a mix of the hash.
-                order = np.lexsort((mix(s), rank[slot]))
+                key = rank[slot] | mix(s) >> U64(8)
+                longest = min(len(s), len(s) - -(-num * len(s) // den) + MOST)
+                order = np.argpartition(key, longest - 1)[:longest] if longest < len(s) else np.arange(len(s))
+                order = order[np.argsort(key[order])]
                 ell, p = prefix_lengths(len(s), np.maximum(0, sk[slot[order]] - rare), num, den)
                 out.append((s[order[:p]].view(np.int64), c, len(s), ell))
             if out:
@@ -148,65 +155,93 @@ def sets_for(need: DataFrame, rows: DataFrame, k: int, keep: list[str]) -> DataF
     return texts.mapInArrow(work, ", ".join(f"{c} bigint" for c in [*keep]) + ", tokens array<bigint>")
 
 
-def sets_of(need: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(cls, tokens): whole shingle sets of the classes in need (cls, rep)."""
-    return materialize(sets_for(need, rows, k, ["cls"]).dropDuplicates(["cls"]), "ngram-sets")
-
-
-def tile_links(cls: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links between members left x right of different components that join components not yet joined in this tile."""
-    n = np.array([len(s) for s in sets])
-    bits = np.zeros((len(sets), BITMAP // 64), U64)
-    for i, s in enumerate(sets):
-        odd = np.bincount((s & (BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
-        bits[i] = np.packbits(odd.astype(np.uint8)).view(U64)
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while up.get(x, x) != x:
-            up[x] = x = up.get(up[x], up[x])
-        return x
-
-    found = []
-    step = max(1, (1 << 21) // max(1, len(right) * bits.shape[1]))
-    for a in range(0, len(left), step):
-        rows = left[a : a + step]
-        # The parity bitmaps differ in no more bits than the sets differ in shingles.
-        apart = np.bitwise_count(bits[rows][:, None, :] ^ bits[right][None, :, :]).sum(2, dtype=np.int64)
-        near = (apart * (den + num) <= (n[rows][:, None] + n[right][None, :]) * (den - num)) & (comp[rows][:, None] != comp[right][None, :])
-        x, y = np.nonzero(near)
-        for k in np.argsort(apart[x, y], kind="stable").tolist():
-            i, j = int(rows[x[k]]), int(right[y[k]])
-            ci, cj = root(int(comp[i])), root(int(comp[j]))
-            if ci != cj:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if den * both >= num * (n[i] + n[j] - both):
-                    up[max(ci, cj)] = min(ci, cj)
-                    found.append((int(cls[i]), int(cls[j])))
-    return found
-
-
-def family_links(heavy: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) inside the families that the heavy postings (token, cls, n, comp) connect."""
-    hubs = heavy.groupBy("token").agg(F.min("cls").alias("hub"))
-    fam = components(heavy.join(hubs, "token").select(F.col("hub").alias("a"), F.col("cls").alias("b")), "ngram-fam")
-    who = heavy.select("cls", "n", "comp").distinct().join(fam.select(F.col("node").alias("cls"), F.col("comp").alias("fam")), "cls").join(reps.select("cls", "rep"), "cls")
-    who = materialize(who, "ngram-members")
-    size = who.groupBy("fam").agg(F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_TOKENS)).cast("int").alias("blocks"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    sets = sets_of(who, rows, k)
-    x = who.select("cls", "comp", "fam").join(size.select("fam", "blocks"), "fam").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
-
-    def tile(table: pa.Table) -> pa.Table:
-        blk, i, j = table.column("blk").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        tokens = table.column("tokens").combine_chunks()
-        flat, offs = tokens.flatten().to_numpy().view(U64), np.append(0, np.cumsum([len(t) for t in tokens]))
-        found = tile_links(table.column("cls").to_numpy(), table.column("comp").to_numpy(), np.flatnonzero(blk == i), np.flatnonzero(blk == j), [flat[p:q] for p, q in zip(offs[:-1], offs[1:])], num, den)
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-    out = materialize(x.join(sets, "cls").select("cls", "comp", "fam", "blk", "i", "j", "tokens").groupBy("fam", "i", "j").applyInArrow(tile, "a bigint, b bigint"), "ngram-tiles")
-    discard(fam, who, sets)
-    return out
+def bitmaps(need: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(cls, bits): for the classes in need (cls, rep), which of BITMAP slots hold an odd number of their shingles."""
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for s in shingle_sets(batch.column("text"), k):
+                odd = np.bincount((s & U64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
+                out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(out, pa.binary())], ["cls", "bits"])
+
+    texts = rows.join(sized(need.select("rep", "cls")), F.col("id") == F.col("rep")).select("cls", "text")
+    return materialize(texts.mapInArrow(work, "cls bigint, bits binary").dropDuplicates(["cls"]), "ngram-bits")
+
+
+def tile_pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], num: int, den: int, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of left x right, for each two sides, of different components that may be alike: the `most` closest of each
+    component; and whether that is all."""
+    got = [np.zeros((0, 5), np.int64)]
+    for left, right in sides:
+        step = max(1, (1 << 20) // max(1, len(right) * bits.shape[1]))
+        for a in range(0, len(left) if len(right) else 0, step):
+            rows = left[a : a + step]
+            # The parity bitmaps differ in no more bits than the sets differ in shingles.
+            apart = np.bitwise_count(bits[rows][:, None, :] ^ bits[right][None, :, :]).sum(2, dtype=np.int64)
+            near = (apart * (den + num) <= (n[rows][:, None] + n[right][None, :]) * (den - num)) & (comp[rows][:, None] != comp[right][None, :])
+            x, y = np.nonzero(near)
+            i, j = rows[x], right[y]
+            got.append(np.stack([comp[i], comp[j], apart[x, y], np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1))
+    pairs = np.concatenate(got)
+    keep = np.zeros(len(pairs), bool)
+    for side in (0, 1) if len(pairs) else ():
+        order = np.lexsort((pairs[:, 4], pairs[:, 3], pairs[:, 2], pairs[:, side]))
+        own = pairs[order, side]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        keep[order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < most]] = True
+    return sorted({(int(a), int(b)) for a, b in pairs[keep, 3:]}), bool(keep.all())
+
+
+TILE = ["token", "band", "i", "j"]
+
+
+def tile(num: int, den: int, most: int):
+    """tile_pairs() on the rows of one tile: (token, band, i, j, a, b); a null pair says that some were held back."""
+
+    def pairs(table: pa.Table) -> pa.Table:
+        cls, comp, n, blk, own = (table.column(c).to_numpy() for c in ("cls", "comp", "n", "blk", "own"))
+        words = np.frombuffer(b"".join(table.column("bits").to_pylist()), U64).reshape(-1, BITMAP // 64)
+        at = {c: table.column(c)[0].as_py() for c in TILE}
+        # Classes of the band below meet each other there: here a pair has one class at least of this band.
+        mine, other = np.flatnonzero((blk == at["i"]) & own), np.flatnonzero(blk == at["j"])
+        sides = [(mine, other)]
+        if at["i"] != at["j"]:
+            sides.append((np.flatnonzero((blk == at["i"]) & ~own), np.flatnonzero((blk == at["j"]) & own)))
+        got, whole = tile_pairs(cls, comp, n, words, sides, num, den, most)
+        rows = got if whole else [*got, (None, None)]
+        keys = {c: pa.array([v] * len(rows), pa.int64() if c == "token" else pa.int32()) for c, v in at.items()}
+        return pa.table({**keys, "a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
+
+    return pairs
+
+
+def heavy_links(heavy: DataFrame, links: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the classes of heavy shingles (token, cls, n, pos, comp), beyond those given."""
+    x = heavy.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * num / den))
+    x = x.select("token", "cls", "n", "comp", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num * 1.0001))).cast("int").alias("band"))
+    # Sizes of a pair lie in one band or two neighbours: each class stands in its own and in the next.
+    x = x.withColumn("b", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("b")).withColumn("own", F.col("b") == 0).drop("b")
+    x = materialize(x, "ngram-heavy")
+    size = x.groupBy("token", "band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"), F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 <> c1").drop("c0", "c1")
+    x = materialize(x.join(size, ["token", "band"]).withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "ngram-members")
+    bits = bitmaps(x.select("cls").distinct().join(reps.select("cls", "rep"), "cls"), rows, k)
+    tiles = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "band", "cls", "n", "blk", "own", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
+    found, tried, most = links.limit(0), links.limit(0), CLOSEST
+    while True:
+        comp = components(links.unionAll(found), "ngram-cc").withColumnRenamed("node", "cls")
+        held = tiles.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).join(bits, "cls")
+        got = materialize(held.groupBy(*TILE).applyInArrow(tile(num, den, most), "token bigint, band int, i int, j int, a bigint, b bigint"), "ngram-tiles")
+        fresh = materialize(got.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        found = materialize(found.unionAll(verified(fresh, rows, reps, k, num, den)), "ngram-found")
+        tried, most = materialize(tried.unionAll(fresh), "ngram-tried"), most * 8
+        more = materialize(got.where("a is null").select(*TILE), "ngram-open")
+        discard(got, fresh)
+        if more.isEmpty():
+            discard(x, bits, tried)
+            return found
+        tiles = tiles.join(more, TILE, "left_semi")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -223,6 +258,21 @@ def verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num: in
     return out
 
 
+def candidates(met: DataFrame, a: str, b: str, num: int, den: int, spare: Column) -> DataFrame:
+    """(a, b, c) of the pairs of classes that share c prefix shingles, of rows (a, b, n, n2, ell, ell2, pos, pos2), one for
+    each shared shingle: those of like size that share as many as the lesser of their choices, and whose texts can
+    still share enough behind the last shared position. spare: how many shingles they may share besides."""
+    least = lambda x: F.ceil(F.col(x) * num / den)
+    return (
+        met.where(den * F.least("n", "n2") >= num * F.greatest("n", "n2"))
+        .groupBy(F.col(a).alias("a"), F.col(b).alias("b"))
+        .agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("n", "n2", "ell", "ell2")], F.max("pos").alias("p"), F.max("pos2").alias("p2"), F.max(spare).alias("spare"))
+        .where(F.col("c") + F.col("spare") >= F.least("ell", "ell2"))
+        .where(F.col("c") + F.col("spare") + F.least(F.col("n") - F.col("p") - 1, F.col("n2") - F.col("p2") - 1) >= F.greatest(least("n"), least("n2")))
+        .select("a", "b", "c")
+    )
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) of every row; links: den * intersection >= num * union."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -232,13 +282,13 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
         if reps.where("c0 <> c1").isEmpty():
             break
     post = prefixes(rows, sketch_of(desc), k, num, den, seed)
-    hubs = post.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("other")).where("hub <> other").select("token", "hub")
-    hubs = materialize(hubs, "ngram-hubs")
+    # Most prefix shingles are of one class alone and end here.
+    hubs = post.groupBy("token").agg(F.min(F.struct("cls", "n", "ell", "pos")).alias("h"), F.max("cls").alias("other")).where("h.cls <> other")
+    hubs = materialize(hubs.select("token", F.col("h.cls").alias("hub"), F.col("h.n").alias("n2"), F.col("h.ell").alias("ell2"), F.col("h.pos").alias("pos2")), "ngram-hubs")
     post = materialize(post.join(hubs, "token").distinct(), "ngram-postings")
+    star = candidates(post.where("cls <> hub"), "cls", "hub", num, den, F.lit(0)).groupBy("a").agg(F.max(F.struct("c", "b")).alias("m"))
+    star = materialize(star.select(F.col("m.b").alias("a"), F.col("a").alias("b")), "ngram-star")
     discard(hubs)
-    del hubs
-    star = post.where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("c")).groupBy("cls").agg(F.max(F.struct("c", "hub")).alias("m"))
-    star = materialize(star.select(F.col("m.hub").alias("a"), F.col("cls").alias("b")), "ngram-star")
     links = verified(star, rows, reps, k, num, den)
     comp = components(links, "ngram-cc")
     held = post.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", "ell", "pos", F.coalesce("comp", "cls").alias("comp"))
@@ -249,23 +299,18 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     posted = materialize(held.join(mixed, "token"), "ngram-mixed")
     discard(held)
     del held, mixed
-    cross = posted.where("not heavy")
-    tiles = family_links(posted.where("heavy"), rows, reps, k, num, den)
-    other = cross.select("token", *[F.col(c).alias(c + "2") for c in ("cls", "n", "ell", "pos", "comp")])
-    least = lambda a: F.ceil(F.col(a) * num / den)
-    pairs = (
-        cross.join(other, "token")
-        .where("comp < comp2").where(den * F.least("n", "n2") >= num * F.greatest("n", "n2"))
-        .groupBy(F.col("cls").alias("a"), F.col("cls2").alias("b"))
-        .agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("n", "n2", "ell", "ell2")], F.max("pos").alias("p"), F.max("pos2").alias("p2"))
-        .where(F.col("c") >= F.least("ell", "ell2"))
-        .where(F.col("c") + F.least(F.col("n") - F.col("p") - 1, F.col("n2") - F.col("p2") - 1) >= F.greatest(least("n"), least("n2")))
-    )
+    heavy = posted.where("heavy")
+    cross = posted.where("not heavy").join(heavy.groupBy("cls").agg(F.count("*").alias("h")), "cls", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    cross = materialize(cross.select("token", "cls", "n", "ell", "pos", "comp", "h"), "ngram-cross")
+    other = cross.select("token", *[F.col(c).alias(c + "2") for c in ("cls", "n", "ell", "pos", "comp", "h")])
+    pairs = candidates(cross.join(other, "token").where("comp < comp2"), "cls", "cls2", num, den, F.least("h", "h2"))
     pairs = materialize(pairs.select("a", "b"), "ngram-pairs")
-    discard(posted)
-    del posted, cross, other
-    more = verified(pairs, rows, reps, k, num, den)
-    whole = components(links.unionAll(more).unionAll(tiles), "ngram-cc")
+    discard(cross)
+    links = materialize(links.unionAll(verified(pairs, rows, reps, k, num, den)), "ngram-light")
+    if not heavy.isEmpty():
+        links = materialize(links.unionAll(heavy_links(heavy, links, rows, reps, k, num, den)), "ngram-all")
+    discard(posted, pairs)
+    whole = components(links, "ngram-cc")
     named = reps.join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     least_id = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(least_id, "comp").select("cls", "component_id"), "ngram-named")

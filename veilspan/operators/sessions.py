@@ -73,7 +73,8 @@ def client_cycle(store: DataFrame, client: str, spans: DataFrame, docs: DataFram
     """The session's mapping with the client's stored one as seed, and the client's store after it. store: (client,
     token, surface, type, surface_text, aliases)."""
     mine = store.where(F.col("client") == client)
-    seed = mine.crossJoin(F.broadcast(docs.select(scope).distinct().limit(1)))
+    one = docs.select(scope).limit(1).collect()  # all documents given are one session
+    seed = mine.withColumn(scope, F.lit(one[0][0] if one else None).cast(docs.schema[scope].dataType))
     minted = mint_session(spans, docs, scope, order, seed)
     keep = mine.select(F.lit(client).alias("client"), "token", "surface", "type", "surface_text", "aliases")
     fresh = minted.where(~F.col("seeded")).select(F.lit(client).alias("client"), "token", "surface", "type", F.lit(None).cast("string").alias("surface_text"), F.array().cast("array<string>").alias("aliases"))

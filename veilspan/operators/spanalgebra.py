@@ -56,11 +56,6 @@ def sweep_extend(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     return x.groupBy(key, "isle").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.coalesce(last, first).alias("type"), F.when(F.count("*") > 1, "manual").otherwise(F.min("source")).alias("source"), F.max("priority").alias("priority")).drop("isle")
 
 
-def window_merge(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """M06, first step: copies of a tagger span from several windows; cut only if cut in all."""
-    return spans.groupBy(key, "start", "end", "label").agg(F.max("score").alias("score"), F.bool_and("edge").alias("edge"))
-
-
 def join_touching(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Consecutive spans that touch, of one type or both organization-like; the last type wins."""
     org = lambda c: c.isin("COMPANY", "TRADEMARK")

@@ -18,95 +18,40 @@ ROLES = "(VALUES ('buyer'), ('seller'), ('lender')) AS r(role)"
 DECISIONS = "(VALUES ('Ann', 'PERSON', true), ('ann ', 'PERSON', true), ('Ann', 'PERSON', false), ('Acme', 'COMPANY', false), ('Bob', 'PERSON', true), ('Bob', 'PERSON', false)) AS d(value, type, accepted)"
 GOLD = "(VALUES (1, 'Ann Lee', 'PERSON', 5), (1, 'Acme Ltd', 'COMPANY', 900), (2, 'Bob', 'PERSON', 10), (2, '5 May 2020', 'DATE', 990)) AS g(doc, value, type, pos)"
 PRED = "(VALUES (1, 'ann lee', 'PERSON'), (1, 'Acme', 'COMPANY'), (2, 'Bob', 'COMPANY'), (2, '5 May 2020', 'DATE'), (2, 'Buyer', 'PERSON')) AS p(doc, value, type)"
-PROFILE = "(VALUES (1, 'client_name', 'Ann Lee', 0.6, false), (2, 'client_name', 'ANN  LEE', 0.9, false), (3, 'client_name', 'Bo Li', 0.5, true), (4, 'address', 'Pier 1', 0.7, false)) AS f(id, k, value, confidence, verified)"
-BATCH = "(VALUES ('a/x.txt', 'done', 3, 1.5, 10), ('a/X.txt', 'skipped', 0, 0.0, 10), ('b/y.txt', 'failed', 0, 0.2, 20), ('b/z.txt', 'done', 4, 2.0, 30)) AS t(source, status, replaced, seconds, bytes)"
 MAPPING = "(VALUES (1, '{PERSON_1}', 'Ann'), (1, '{PERSON_2}', 'Bob'), (1, 'X', 'Ann'), (1, 'X', 'Bob'), (2, '{PERSON_1}', 'Cy')) AS m(scope, token, value)"
-AUDIT = "(VALUES (1, 'a', '0'), (2, 'b', 'a'), (3, 'c', 'x'), (5, 'd', 'c')) AS a(seq, digest, previous)"
 NORM = "trim(regexp_replace(lower(value), '[ ]+', ' '{g}))"
-DUCK_NORM, SPARK_NORM = NORM.format(g=", 'g'"), NORM.format(g="")
 
 # Filters
 R("f01_role_labels", f"SELECT doc_id, text FROM {SPANS} WHERE NOT EXISTS (SELECT 1 FROM {ROLES} WHERE role = lower(trim(text)))")
 R("f03_kept_model_types", f"SELECT * FROM {PRED} WHERE type IN ('PERSON', 'COMPANY', 'ADDRESS', 'NATIONAL_ID', 'TRADEMARK', 'CASE_NUMBER')")
-R("f11_exclusion_by_value", f"SELECT doc_id, b, text FROM {SPANS} WHERE NOT EXISTS (SELECT 1 FROM (VALUES (1, 'ann')) AS x(d, v) WHERE d = doc_id AND v = lower(trim(text)))")
-R("f12_suppression", f"SELECT doc_id, b, text FROM {SPANS} WHERE lower(trim(text)) || '|' || type NOT IN (SELECT lower(trim(value)) || '|' || type FROM {DECISIONS} GROUP BY 1, type, lower(trim(value)) HAVING sum(CASE WHEN accepted THEN 1 ELSE -1 END) < 0)".replace("GROUP BY 1, type, lower(trim(value))", "GROUP BY lower(trim(value)) || '|' || type"))
 R("f14_span_validity", f"SELECT doc_id, b, e FROM {SPANS} WHERE 0 <= b AND b < e AND e <= 25")
-R("f17_coverage_gate", "SELECT conv_id, CASE WHEN count(DISTINCT turn) = max(turn) + 1 THEN 'ok' ELSE 'refused' END AS status FROM conversations GROUP BY conv_id")
-R("f18_gold_validity", f"SELECT doc, count(*) AS n, count(DISTINCT lower(value)) AS distinct_values FROM {GOLD} GROUP BY doc HAVING count(*) = count(DISTINCT lower(value) || type)")
-R("f20_nested_sites", f"SELECT a.doc_id, a.b, a.e FROM {SPANS} a WHERE a.b < a.e AND NOT EXISTS (SELECT 1 FROM {SPANS} c WHERE c.doc_id = a.doc_id AND c.b <= a.b AND a.e <= c.e AND c.e - c.b > a.e - a.b)".replace("AS s(doc_id, b, e, type, text, priority) a", "AS a(doc_id, b, e, type, text, priority)").replace("AS s(doc_id, b, e, type, text, priority) c", "AS c(doc_id, b, e, type, text, priority)"))
-R("f21_ownership_conflict", "SELECT label FROM (VALUES ('x', 1), ('x', 2), ('y', 1), ('y', 1)) AS t(label, id) GROUP BY label HAVING count(DISTINCT id) > 1")
-R("f23_position_bucket", f"SELECT doc, value, CASE WHEN pos < 500 THEN 'head' WHEN pos <= 750 THEN 'mid' ELSE 'tail' END AS bucket FROM {GOLD}")
 
 # Joins
 R("j09_link_aliases", "SELECT a.token, min(b.token) AS canonical FROM (VALUES ('{P_3}', 'ANN')) AS a(token, surface) LEFT JOIN (VALUES ('{P_1}', 'Ann'), ('{P_2}', 'ann')) AS b(token, surface) ON lower(a.surface) = lower(b.surface) GROUP BY a.token")
 R("j10_span_replacement", f"SELECT s.doc_id, s.b, m.token FROM {SPANS} JOIN {MAPPING} ON s.doc_id = m.scope AND s.text = m.value WHERE m.token <> 'X'")
-R("j13_blank_to_field", "SELECT b.id, CASE count(f.value) WHEN 0 THEN 'unmatched' WHEN 1 THEN 'proposed' ELSE 'candidates' END AS status FROM (VALUES (1, 'client'), (2, 'address'), (3, 'fax')) AS b(id, label) LEFT JOIN (VALUES ('client', 'client_name'), ('address', 'address')) AS y(label, k) ON b.label = y.label LEFT JOIN " + PROFILE + " ON f.k = y.k GROUP BY b.id")
-R("j14_model_blank_match", "SELECT blank_no, CAST(floor((blank_no - 1) / 12.0) AS INTEGER) AS batch FROM (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS INTEGER) AS blank_no FROM nation) q")
-R("j15_snippet_grounding", "SELECT d.doc_id, CASE WHEN contains(lower(d.text), 'the') THEN 0.9 ELSE least(0.9, 0.4) END AS confidence FROM documents d")
-R("j19_strict_score_join", f"SELECT g.doc, g.type FROM {GOLD} JOIN {PRED} ON g.doc = p.doc AND lower(g.value) = lower(p.value) AND g.type = p.type")
-R("j21_incremental_anti", f"SELECT source FROM {BATCH} WHERE source NOT IN (SELECT source FROM (VALUES ('a/x.txt', 10)) AS o(source, bytes) WHERE status = 'done')".replace("WHERE status = 'done'", "WHERE bytes = 10"))
 R("j23_range_line_intersect", f"SELECT s.doc_id, s.b, count(l.n) AS n_lines FROM {SPANS} LEFT JOIN (VALUES (1, 0, 12), (2, 12, 30)) AS l(n, lb, le) ON s.b < l.le AND l.lb < s.e GROUP BY s.doc_id, s.b")
-R("j24_name_or_id", "SELECT q.name, count(n.n_nationkey) AS hits FROM (VALUES ('france'), ('nowhere')) AS q(name) LEFT JOIN nation n ON lower(n.n_name) = q.name GROUP BY q.name")
-R("j25_score_memory", "SELECT s.label, coalesce(m.gb, 0) AS gb FROM (VALUES ('m1', 0.8), ('m2', 0.7)) AS s(label, f1) LEFT JOIN (VALUES ('m1', 3)) AS m(label, gb) ON s.label = m.label")
 
 # Aggregates
 CORE_COUNT = f"SELECT doc_id, type, count(*) AS n FROM ({CORE_SQL}) GROUP BY doc_id, type"
 query("a01_entities_per_type", CORE_COUNT)(lambda spark, sf: core(spark, sf).groupBy("doc_id", "type").agg(F.count("*").alias("n")))
 query("a02_distinct_identities", f"SELECT type, count(DISTINCT text) AS n FROM ({CORE_SQL}) GROUP BY type")(lambda spark, sf: core(spark, sf).groupBy("type").agg(F.countDistinct("text").alias("n")))
-query("a22_review_groups", f'SELECT type, lower(trim(text)) AS v, count(*) AS n, min(start) AS first_start FROM ({MERGED_SQL}) GROUP BY ALL')(lambda spark, sf: merged(spark, sf).groupBy("type", F.lower(F.trim("text")).alias("v")).agg(F.count("*").alias("n"), F.min("start").alias("first_start")))
-R("a03_batch_rollup", f"SELECT split_part(source, '/', 1) AS folder, count(*) AS n, sum(CASE WHEN status = 'done' THEN 1 ELSE 0 END) AS done, sum(replaced) AS replaced FROM {BATCH} GROUP BY ROLLUP (split_part(source, '/', 1))")
-R("a04_learned_decision", f"SELECT type, lower(trim(value)) AS v, sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS accepts, sum(CASE WHEN accepted THEN 0 ELSE 1 END) AS rejects, CASE WHEN sum(CASE WHEN accepted THEN 1 ELSE -1 END) > 0 THEN 'redact' WHEN sum(CASE WHEN accepted THEN 1 ELSE -1 END) < 0 THEN 'keep' ELSE 'undecided' END AS decision FROM {DECISIONS} GROUP BY type, lower(trim(value))")
-A05 = f"SELECT k, norm, value, confidence, first_id FROM (SELECT *, row_number() OVER (PARTITION BY k, norm ORDER BY verified DESC, confidence DESC, id) AS rk, min(id) OVER (PARTITION BY k, norm) AS first_id FROM (SELECT *, {{n}} AS norm FROM {PROFILE}) q) z WHERE rk = 1"
-R("a05_profile_merge", A05.format(n=DUCK_NORM), A05.format(n=SPARK_NORM))
-A06 = f"SELECT k FROM {PROFILE} GROUP BY k HAVING count(DISTINCT {{n}}) > 1"
-R("a06_conflicted_keys", A06.format(n=DUCK_NORM), A06.format(n=SPARK_NORM))
-R("a07_ambiguous_replacements", f"SELECT scope, token, count(DISTINCT value) AS n FROM {MAPPING} GROUP BY scope, token HAVING count(DISTINCT value) > 1")
-R("a08_exclusion_tally", f"SELECT type, count(*) AS occurrences, count(DISTINCT lower(trim(text))) AS distinct_values FROM {SPANS} GROUP BY type")
 R("a09_scan_verification", "SELECT lang, count(*) AS scanned, sum(CASE WHEN n_chars > 0 THEN 1 ELSE 0 END) AS with_text FROM documents GROUP BY lang")
-SCORE = f"SELECT g.doc, g.type, CASE WHEN p.doc IS NULL THEN 0 ELSE 1 END AS tp FROM {GOLD} LEFT JOIN {PRED} ON g.doc = p.doc AND lower(g.value) = lower(p.value) AND g.type = p.type"
-R("a10_doc_score", f"SELECT doc, sum(tp) AS tp, count(*) AS gold FROM ({SCORE}) q GROUP BY doc")
-R("a11_micro_prf", f"SELECT round(tp / gold, 4) AS recall, round(tp / pred, 4) AS prec, round(2.0 * tp / (gold + pred), 4) AS f1 FROM (SELECT CAST(sum(tp) AS DOUBLE) AS tp, count(*) AS gold, 5 AS pred FROM ({SCORE}) q) z")
-R("a12_per_type_groups", f"SELECT type, sum(tp) AS tp, count(*) AS gold FROM ({SCORE}) q GROUP BY GROUPING SETS ((type), ())")
-R("a13_tier_histogram", "SELECT lang, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 5000 THEN 'mid' ELSE 'long' END AS tier, count(*) AS n FROM documents GROUP BY ROLLUP (lang, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 5000 THEN 'mid' ELSE 'long' END)")
-R("a14_over_extraction", f"SELECT p.type, count(*) AS pred, sum(CASE WHEN g.doc IS NULL THEN 1 ELSE 0 END) AS extra FROM {PRED} LEFT JOIN {GOLD} ON g.doc = p.doc AND lower(g.value) = lower(p.value) GROUP BY p.type")
-R("a15_confusion_matrix", f"SELECT g.type AS gold, p.type AS pred, count(*) AS n FROM {GOLD} JOIN {PRED} ON g.doc = p.doc AND lower(g.value) = lower(p.value) GROUP BY g.type, p.type")
-R("a16_cost_aggregates", "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean_value, round(sum(value), 2) AS total_value FROM events GROUP BY event_type")
-R("a17_composite_gates", "SELECT label, round(100.0 * f1 + 10.0 * tps / max(tps) OVER (), 4) AS composite, CASE WHEN rec < 0.9 THEN 'G3' ELSE '' END AS failed FROM (VALUES ('a', 0.85, 23.0, 0.91), ('b', 0.86, 11.5, 0.85)) AS m(label, f1, tps, rec)")
-R("a18_head_tail_recall", f"SELECT CASE WHEN pos <= 750 THEN 'head' ELSE 'tail' END AS part, count(*) AS n FROM {GOLD} GROUP BY CASE WHEN pos <= 750 THEN 'head' ELSE 'tail' END")
 R("a19_keep_first", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rk FROM conversations) q WHERE rk = 1")
-R("a20_inventory", "SELECT d.lang, l.quality, l.toxic, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang, l.quality, l.toxic")
-R("a21_uncovered", f"SELECT sum(greatest(0, n - covered)) AS uncovered FROM (SELECT m.token, count(s.b) AS n, 1 AS covered FROM {MAPPING} LEFT JOIN {SPANS} ON s.doc_id = m.scope AND s.text = m.value GROUP BY m.token) q")
-R("a23_legend", f"SELECT type, lower(text) AS v, count(*) AS n FROM {SPANS} GROUP BY ROLLUP (type, lower(text))")
-R("a24_model_summary", "SELECT label, CASE WHEN gb <= 6.5 THEN '8GB' WHEN gb <= 14 THEN '16GB' ELSE '24GB' END AS tier, CASE WHEN rec >= 0.9 THEN 'fit' ELSE 'rejected' END AS verdict FROM (VALUES ('a', 3.0, 0.91), ('b', 9.2, 0.85)) AS m(label, gb, rec) ORDER BY label")
 
 # Windows
 query("w01_running_max_end", f"""SELECT doc_id, start, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM ({CORE_SQL})""")(lambda spark, sf: core(spark, sf).select("doc_id", "start", F.max("end").over(Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)).alias("far")))
 R("w02_first_appearance_rank", "SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY first_turn) AS rk FROM (SELECT conv_id, role, min(turn) AS first_turn FROM conversations GROUP BY conv_id, role) q")
-R("w03_running_length", "SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS upto FROM conversations")
 R("w04_previous_next", "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations")
-R("w05_context_window", "SELECT conv_id, turn, max(CASE WHEN length(text) > 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM conversations")
 R("w06_nearest_preceding", f"SELECT doc_id, b, max(CASE WHEN type = 'PERSON' THEN e END) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nearest FROM {SPANS}")
-R("w07_chain_check", f"SELECT seq, coalesce(previous = lag(digest) OVER (ORDER BY seq), previous = '0') AND coalesce(seq = lag(seq) OVER (ORDER BY seq) + 1, true) AS valid FROM {AUDIT}")
-R("w10_upper_quartile_width", "SELECT conv_id, width FROM (SELECT conv_id, length(text) AS width, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS rk, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) q WHERE rk = floor((n - 1) / 4.0) + 1")
 
 # Sorts, limits, sets
 query("o01_document_order", CORE_SQL)(lambda spark, sf: core(spark, sf).orderBy("doc_id", "start", "end"))
-R("o02_most_reinforced", f"SELECT value, type, count(*) AS n FROM {DECISIONS} GROUP BY value, type ORDER BY n DESC, value, type")
-R("o03_retention_cap", "SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id DESC) AS rk FROM events) q WHERE rk <= 5000")
 R("o04_receipts_newest_first", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey")
 R("o05_head_lines", "SELECT conv_id, turn, role FROM conversations WHERE turn < 2")
 R("u01_union_sources", f"SELECT doc, value, type FROM {PRED} UNION ALL SELECT doc, value, type FROM {GOLD}")
 R("u03_intersect", f"SELECT doc, lower(value) AS v, type FROM {GOLD} INTERSECT SELECT doc, lower(value), type FROM {PRED}")
-R("u04_except", f"SELECT doc, lower(value) AS v, type FROM {GOLD} EXCEPT SELECT doc, lower(value), type FROM {PRED}")
 
 # Classification, audit, reports
-R("c01_document_class", "SELECT doc_id, CASE WHEN contains(lower(substr(text, 1, 1500)), 'judgment') THEN 'judgment' WHEN contains(lower(substr(text, 1, 1500)), 'complaint') THEN 'complaint' WHEN contains(lower(substr(text, 1, 1500)), 'license') THEN 'contract' WHEN contains(lower(substr(text, 1, 1500)), 'dear ') THEN 'letter' ELSE 'generic' END AS class FROM documents")
-R("c06_fill_skip_reasons", "SELECT id, CASE WHEN rk > 1 THEN 'duplicate location' WHEN status = 'rejected' THEN 'rejected' WHEN status = 'confirmed' AND value IS NULL THEN 'confirmed without value' WHEN status = 'unmatched' THEN 'no matching field' WHEN status <> 'confirmed' THEN 'not confirmed' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY loc ORDER BY id) AS rk FROM (VALUES (1, 5, 'confirmed', 'x'), (2, 5, 'confirmed', 'y'), (3, 9, 'confirmed', NULL), (4, 12, 'proposed', 'z'), (5, 15, 'unmatched', NULL)) AS b(id, loc, status, value)) q")
-R("q02_security_event_counts", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
-R("q04_boundary_posture", "SELECT user_id, count(*) AS calls, round(sum(value), 2) AS returned FROM events GROUP BY user_id")
-R("q06_lineage", "SELECT c.id, p.id AS parent FROM (VALUES ('a', NULL), ('b', 'a'), ('c', 'zz')) AS c(id, src) LEFT JOIN (VALUES ('a'), ('b')) AS p(id) ON c.src = p.id")
-R("q07_follow_up", f"SELECT source, 'failed' AS kind FROM {BATCH} WHERE status = 'failed' UNION ALL SELECT source, 'empty' FROM {BATCH} WHERE status = 'done' AND replaced = 0")
-R("q08_batch_layout", f"SELECT source, count(*) OVER (PARTITION BY split_part(source, '/', 1), lower(split_part(source, '/', 2))) > 1 AS subfolder FROM {BATCH}")
 R("j06_party_sentences", "SELECT o_orderkey, 'invoice ' || o_orderkey || ' of ' || c_name AS sentence FROM orders JOIN customer ON o_custkey = c_custkey")
 
 
@@ -158,13 +103,6 @@ def chunked(spark, sf):
     return locate.chunks(table(spark, sf, "documents"))
 
 
-@query("d24_blanks", "SELECT * FROM (VALUES (1, 5, 13, 'Client'), (1, 18, 22, ''), (2, 0, 10, 'Date')) AS t(doc_id, start, \"end\", label) WHERE label <> 'Date' UNION ALL SELECT 2, 0, 8, 'Date'")
-def blanks(spark, sf):
-    d = spark.createDataFrame([(1, "Name [Client] and ____ x"), (2, "{{Date}} ok")], "doc_id int, text string")
-    found = d.select("doc_id", F.inline(matches(F.col("text"), r"\[[^\[\]\n]{1,60}\]|\{\{[^{}\n]{1,60}\}\}|«[^«»\n]{1,60}»|_{2,}")))
-    return found.select("doc_id", "start", "end", F.trim(F.regexp_replace("text", r"[\[\]{}«»_]", "")).alias("label"))
-
-
 @query("d20_custom_vocabulary", "SELECT o_orderkey AS doc_id, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_orderkey")
 def custom(spark, sf):
     docs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("x "), "o_orderpriority").alias("text"))

@@ -125,11 +125,6 @@ def sweep(spark, sf):
     return sa.sweep_extend(values(spark, OVERLAPS_SPARK).withColumn("source", F.when(F.col("text") == "b", "manual").otherwise("llm")))
 
 
-@query("m06_window_merge", "SELECT * FROM (VALUES (1, 0, 3, 'PERSON', 0.9, false), (1, 5, 7, 'DATE', 0.4, true)) AS t(doc_id, start, \"end\", label, score, edge)")
-def window_merge(spark, sf):
-    return sa.window_merge(values(spark, "(VALUES (1, 0, 3, 'PERSON', 0.5, true), (1, 0, 3, 'PERSON', 0.9, false), (1, 5, 7, 'DATE', 0.4, true)) AS t(doc_id, start, `end`, label, score, edge)"))
-
-
 @query("m07_join_touching", "SELECT * FROM (VALUES (1, 0, 5, 'PERSON'), (1, 3, 9, 'EMAIL'), (1, 9, 12, 'DATE'), (1, 10, 12, 'DATE'), (2, 0, 8, 'TRADEMARK'), (2, 8, 9, 'PERSON'), (2, 20, 30, 'DATE'), (2, 25, 40, 'DATE')) AS t(doc_id, start, \"end\", type)")
 def touching(spark, sf):
     return sa.join_touching(values(spark, OVERLAPS_SPARK).select("doc_id", "start", "end", "type"))
@@ -204,9 +199,3 @@ def orphans(spark, sf):
 @query("t12_collision_keys", "SELECT * FROM (VALUES ('ab', 'a*', 'a*'), ('ac', 'a*', 'a*#2'), ('x', '*', '*')) AS t(surface, mask, key)")
 def collisions(spark, sf):
     return mint.collision_keys(spark.createDataFrame([(1, "ab", "a*"), (1, "ac", "a*"), (1, "x", "*")], "doc_id int, surface string, mask string")).drop("doc_id")
-
-
-@query("p25_pseudonym_candidates", "SELECT * FROM (VALUES ('EMAIL', 2, 'contact2@example.com'), ('PERSON', 1, 'Person A'), ('PERSON', 28, 'Person B1'), ('BANK_ACCOUNT', 3, 'Bank Account 3')) AS t(kind, n, out)")
-def pseudonyms(spark, sf):
-    v = values(spark, "(VALUES ('EMAIL', 2), ('PERSON', 1), ('PERSON', 28), ('BANK_ACCOUNT', 3)) AS t(kind, n)")
-    return v.select("kind", "n", mint.pseudonym(F.col("kind"), F.col("n")).alias("out"))
