@@ -113,13 +113,3 @@ def custom(spark, sf):
 def anti(spark, sf):
     c = core(spark, sf)
     return sa.overlap_anti(c, c.where("type = 'EMAIL'")).select("doc_id", "start", "end", "type")
-
-
-@query("s01_text_import", "SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents")
-def text_import(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", "^﻿", ""), "\r\n?", "\n").alias("text"))
-
-
-@query("s08_pdf_whitespace", "SELECT 1 AS id, 'a b c d' AS out")
-def pdf_whitespace(spark, sf):
-    return values(spark, "(VALUES (1, 'aÂ bÂ c d')) AS t(id, v)").select("id", F.replace(F.replace(F.replace("v", F.lit("Â "), F.lit(" ")), F.lit("Â "), F.lit(" ")), F.lit(" "), F.lit(" ")).alias("out"))
