@@ -26,7 +26,7 @@ TLDS = "com|org|net|edu|gov|io|co|cn|hk|tw|uk|de|fr|es|jp|eu|us|info|biz|ai|app|
 
 VIEW = "__v"
 FOUND = "array<struct<start:int,end:int,type:string,confidence:double,priority:int,rule:string>>"
-NUM = r"(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]{1,3}(?:[ \x{A0}\x{202F}][0-9]{3})+(?:,[0-9]{1,2})?|[0-9]+(?:[.,][0-9]+)?)"
+NUM = r"(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]{1,3}(?:\.[0-9]{3})+(?:,[0-9]+)?|[0-9]{1,3}(?:[ \x{A0}\x{202F}][0-9]{3})+(?:,[0-9]{1,2})?|[0-9]+(?:[.,][0-9]+)?)"
 MAG = r"(?:[ \x{A0}]?(?:million|billion|trillion|thousand|mn|bn|m|k)(?![A-Za-z]))?[万亿萬億]{0,2}"
 GAP = r"[ \x{3000}]{0,2}"
 

@@ -3,7 +3,7 @@
 The scope of a mapping is the document here, so nothing needs its neighbours: one scan of the documents, text never
 leaves its row. operators/mint.py has the same steps as relations, for scopes of many documents.
 
-Edge cases: a null text gives null arrays and a null tokenized text; an empty one no spans; repeated rows are handled
+Edge cases: a null text gives no spans and a null tokenized text; an empty one no spans; repeated rows are handled
 row by row; columns of the input pass through, clashing names excepted: `found`, `spans`, `mapping`, `tokenized` and
 `restored` are replaced.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .detectors import VIEW, Rule, found_in
+from .detectors import FOUND, VIEW, Rule, found_in
 from .mint import TOKEN
 from .spanalgebra import ROLE_LABELS
 
@@ -82,19 +82,24 @@ def restored(edited: Column, mapping: Column) -> Column:
     return F.array_join(F.zip_with(gaps, toks, lambda g, k: F.concat(g, F.when(k.isNull(), "").otherwise(F.coalesce(F.try_element_at(look, k), k)))), "")
 
 
+def once(value: Column, name: str) -> Column:
+    """A column that is made once, whatever reads it: Catalyst doesn't write a generator's input into what comes after."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def anonymize(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", found: Column | None = None) -> DataFrame:
     """The documents with `spans` (merged, in order), `mapping` and `tokenized`. `found`: spans of your own as an array
     expression, in place of the rules."""
     keep = [c for c in docs.columns if c.lower() not in ("found", "spans", "mapping", "tokenized", "restored", VIEW)]
-    t = F.col(text)
-    x = docs.select(*keep, tx.pattern_view(t).alias(VIEW))
-    # A column for each step: what a step reads more than once is then made once.
-    x = x.select(*keep, ranked(found_in(rules) if found is None else found).alias("found"))
-    x = x.select(*keep, merged(F.col("found")).alias("spans")).select(*keep, sliced(t, F.col("spans")).alias("spans"))
-    x = x.select(*keep, "spans", minted(t, F.col("spans")).alias("mapping"))
-    return x.withColumn("tokenized", F.when(F.size("spans") == 0, t).otherwise(spliced(t, F.col("spans"), F.col("mapping"))))
+    t, none = F.col(text), F.array().cast(FOUND)
+    x = docs.withColumn(VIEW, tx.pattern_view(t))
+    x = x.select(*keep, once(F.coalesce(ranked(found_in(rules) if found is None else found), ranked(none)), "found"))
+    x = x.select(*keep, once(merged(F.col("found")), "spans")).select(*keep, once(sliced(t, F.col("spans")), "spans"))
+    x = x.select(*keep, "spans", once(minted(t, F.col("spans")), "mapping"))
+    return x.select(*keep, "spans", "mapping", once(F.when(F.size("spans") == 0, t).otherwise(spliced(t, F.col("spans"), F.col("mapping"))), "tokenized"))
 
 
 def restore(anonymized: DataFrame, edited: str = "tokenized") -> DataFrame:
     """The rows with `restored`."""
-    return anonymized.withColumn("restored", restored(F.col(edited), F.col("mapping")))
+    keep = [c for c in anonymized.columns if c != "restored"]
+    return anonymized.select(*keep, once(restored(F.col(edited), F.col("mapping")), "restored"))

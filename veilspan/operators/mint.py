@@ -24,22 +24,22 @@ def mint_tokens(spans: DataFrame, docs: DataFrame, scope: str = "doc_id", order:
     first = first.withColumn("stype", sanitize_type(F.col("type")))
     first = first.withColumn("k", F.row_number().over(Window.partitionBy(scope, "stype").orderBy("at", "surface")))
     x = first.join(reserved(docs, scope), [scope, "stype"], "left")
-    taken = F.coalesce("taken", F.array().cast("array<int>"))
-    n = F.element_at(F.array_except(F.sequence(F.lit(1), F.col("k") + F.size(taken)), taken), F.col("k"))
+    from .sessions import nth_free
+
+    n = nth_free(F.col("k"), F.col("taken"))
     return x.select(scope, "surface", "type", F.concat(F.lit("{"), "stype", F.lit("_"), n.cast("string"), F.lit("}")).alias("token"))
 
 
 def splice(docs: DataFrame, sites: DataFrame, key: str = "doc_id", text: str = "text", replacement: str = "token") -> DataFrame:
-    """Documents with disjoint sites (key, start, end, replacement) put in, left to right, in one expression."""
-    s = sites.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col(replacement).alias("r")))).alias("sites"))
-    x = docs.join(s, key, "left")
-    t = F.col(text)
-    done = F.aggregate(
-        "sites", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, p: F.struct(p["end"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, p["start"] - a["at"]), p["r"]).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))),
-    )
-    return x.withColumn("tokenized", F.when(F.col("sites").isNull(), t).otherwise(done)).drop("sites")
+    """Documents with disjoint sites (key, start, end, replacement) put in, left to right: gaps and replacements are
+    joined once. Documents without sites, null texts among them, come back as they are; `tokenized` is added."""
+    s = sites.groupBy(F.col(key).alias("__key")).agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col(replacement).alias("r")))).alias("__sites"))
+    x = docs.join(s, F.col(key) == F.col("__key"), "left")
+    t, spans = F.col(text), F.col("__sites")
+    upto = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    parts = F.transform(spans, lambda p, i: F.concat(F.substring(t, upto(i) + 1, p["start"] - upto(i)), p["r"]))
+    done = F.concat(F.array_join(parts, ""), F.substring(t, upto(F.size(spans)) + 1, F.length(t)))
+    return x.withColumn("tokenized", F.when(spans.isNull(), t).otherwise(done)).drop("__sites", "__key")
 
 
 def restore_tokens(docs: DataFrame, mapping: DataFrame, key: str = "doc_id", edited: str = "tokenized") -> DataFrame:
