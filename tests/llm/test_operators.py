@@ -81,7 +81,25 @@ def test_quotient_filters_merge_without_loss():
 def test_near_groups(docs, monkeypatch):
     monkeypatch.setattr(jaccard, "LIGHT", 2)
     monkeypatch.setattr(jaccard, "TILE_ROWS", 5)
-    texts = corpus()
+    check_near_groups(docs, corpus())
+
+
+def test_near_groups_of_a_shared_passage(docs, monkeypatch):
+    for name, value in (("LIGHT", 2), ("TILE_ROWS", 3), ("CLOSEST", 1), ("BITMAP", 128)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for k in range(24):  # the passage, a few words changed along a chain: neighbours are alike, ends are not
+        own = list(passage)
+        for i in range(k):
+            own[i] = f"c{i}"
+        texts.append(" ".join([*own, *(f"t{k}{i}" for i in range(rng.randint(0, 2)))]))
+    texts += [" ".join([*passage, *(f"o{k}{i}" for i in range(12))]) for k in range(8)] + ["p1 p2 p3 p4 p5", "p1 p2 p3 p4 p6", "p1 p2 p3 p4 p5 p6"]
+    check_near_groups(docs, texts)
+
+
+def check_near_groups(docs, texts):
     got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.near_groups(docs(texts), k=4, num=85, den=100).collect()}
     sets = []
     for t in texts:
@@ -246,13 +264,20 @@ def test_url_classes_fold_case_dots_queries_and_unquoted_refresh(spark):
 
 def test_warc_derivatives(spark):
     pages = spark.createDataFrame([(1, "http://a.net/", "<title>T &amp; x</title><script>no</script><p>Hi <b>you</b></p><a href='/z'>z</a>"), (2, None, None)], "page_id int, url string, html string")
-    resp = warc.responses(pages)
+    resp = warc.parse(warc.responses(pages))
     rows = {(r.id, r.record_type): r for r in warc.derivatives(resp).collect()}
     assert len(rows) == 4 and rows[1, "conversion"].block.splitlines()[0] == "T & x" and "no" not in rows[1, "conversion"].block
     assert "outlink: /z" in rows[1, "metadata"].block and rows[1, "metadata"].refers_to == rows[1, "conversion"].refers_to
     assert rows[2, "conversion"].block == ""
     text = warc.serialize(warc.derivatives(resp)).where("id = 1 and record_type = 'conversion'").first().record
     assert "WARC-Refers-To: <urn:uuid:" in text and text.startswith("WARC/1.1\r\n")
+    assert text.endswith(rows[1, "conversion"].block + "\r\n\r\n") and "WARC-Source-Content-Type: text/html; charset=utf-8\r\n" in text
+    given = spark.createDataFrame([(1, "WARC/1.0\r\nWARC-Record-ID: <urn:uuid:1>\r\nwarc-target-uri: http://b.net/\r\nWARC-Date: 2020-01-02T03:04:05Z\r\nWARC-Payload-Digest: sha1:ABC\r\n", "HTTP/1.1 404 No\r\nServer: x\r\nContent-Type: text/html\r\n\r\nab\r\n\r\ncd"), (2, None, "<p>open <script>x <!-- y"), (3, None, None)], "id int, header string, message string")
+    p = {r.id: r for r in warc.parse(given).collect()}
+    assert (p[1].record_id, p[1].uri, p[1].date, p[1].source_type, p[1].payload_digest, p[1].payload) == ("<urn:uuid:1>", "http://b.net/", "2020-01-02T03:04:05Z", "text/html", "sha1:ABC", "ab\r\n\r\ncd")
+    rows = {(r.id, r.record_type): r for r in warc.derivatives(warc.parse(given)).collect()}
+    assert "Server: x\r\n" in rows[1, "metadata"].block and rows[1, "conversion"].refers_to == "<urn:uuid:1>" and rows[1, "conversion"].source_digest == "sha1:ABC"
+    assert rows[2, "conversion"].block == "open" and rows[3, "conversion"].block == ""
 
 
 def test_chat_snapshots(spark):
@@ -323,3 +348,39 @@ def test_suffix_dedup_leaves_rows_without_an_id_alone(docs):
     t = "abcdefghij" * 30
     d = docs([t, t, t]).withColumn("doc_id", F.when(F.col("doc_id") == 1, None).otherwise(F.col("doc_id")).cast("long"))
     assert sorted((r.id is None, r.id, r.n_removed) for r in suffixes.dedup(d).where("id is null").collect()) == [(True, None, 0)]
+
+
+def test_near_groups_where_an_id_has_several_texts(docs):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    d = docs([a, b, a + " x", b + " x"]).withColumn("doc_id", F.when(F.col("doc_id") < 2, 0).otherwise(F.col("doc_id")).cast("long"))
+    got = sorted((r.id, r.component_id) for r in jaccard.near_groups(d).collect())
+    assert got == [(0, 0), (0, 0), (2, 0), (3, 0)]
+
+
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op2_warc_derivatives", "op3_exact_dedup", "op4_url_filter", "op8_chat_snapshots"])
+def test_query_matches_its_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from veilspan.llm import queries
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for f in os.listdir(sf):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS FROM '{sf}/{f}'")
+    df, rel = queries.QUERIES[name](spark, sf), con.sql(queries.ORACLES[name])
+    cols = sorted(df.columns)
+    assert cols == sorted(rel.columns)
+    plain = lambda v: tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
+    assert sorted(repr(tuple(plain(r[c]) for c in cols)) for r in df.collect()) == sorted(repr(tuple(plain(v) for v in r)) for r in rel.select(", ".join(f'"{c}"' for c in cols)).fetchall())
+
+
+def test_empty_tables(spark, docs):
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert warc.derivatives(warc.parse(warc.responses(pages))).count() == 0 and urlblock.judge(pages, [("block", "a", "/")]).count() == 0
+    assert chat.maximal(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"))[0].count() == 0
+    import public_tokenizers
+
+    none = docs(["x"]).where("false")
+    assert tokenfile.read_tokens(tokenfile.write_tokens(none, public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
+    assert mixing.pareto_mix(none).count() == 0 and langid.fit(none)["langs"] == []

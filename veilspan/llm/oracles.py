@@ -36,7 +36,9 @@ b AS (
   FROM r
   UNION ALL SELECT page_id, payload, uri, rid, 'conversion', 'text/plain', {_TEXT} FROM r)
 SELECT page_id, t AS record_type, {_urn("concat_ws('|', t, rid)")} AS record_id, rid AS refers_to, uri AS target_uri, c AS content_type, CAST(strlen(body) AS BIGINT) AS content_length,
-  'sha256:' || sha256(body) AS block_digest, 'sha256:' || sha256(payload) AS source_digest, body AS block
+  'sha256:' || sha256(body) AS block_digest, 'sha256:' || sha256(payload) AS source_digest, body AS block, '1970-01-01T00:00:00Z' AS date, 'text/html; charset=utf-8' AS source_type,
+  strlen(body) + 4 + 24 + strlen('WARC-Type: WARC-Record-ID: WARC-Refers-To: WARC-Refers-To-Target-URI: WARC-Refers-To-Date: WARC-Target-URI: WARC-Date: WARC-Source-Content-Type: WARC-Source-Payload-Digest: WARC-Block-Digest: Content-Type: Content-Length: ')
+  + 12 + strlen(t) + 2 * 47 + 2 * strlen(uri) + 2 * 20 + 24 + 2 * 71 + strlen(c) + strlen(CAST(strlen(body) AS VARCHAR)) AS record_length
 FROM b
 """
 

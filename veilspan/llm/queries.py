@@ -22,7 +22,8 @@ def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_warc_derivatives(spark: SparkSession, sf: str) -> DataFrame:
-    return warc.derivatives(warc.responses(_t(spark, sf, "pages"))).withColumnRenamed("id", "page_id")
+    d = warc.derivatives(warc.parse(warc.responses(_t(spark, sf, "pages"))))
+    return d.withColumn("record_length", F.octet_length(warc.head()) + F.col("content_length") + 4).withColumnRenamed("id", "page_id")
 
 
 def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
