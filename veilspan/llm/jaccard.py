@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, components, discard, materialize, mix, run_hashes, runs, sized, word_runs
 
 SKETCH, SLICES, MOST = 1 << 18, 16, 8
-LIGHT, TILE_ROWS, BITMAP, CLOSEST = 32, 1024, 2048, 2
+LIGHT, TILE_ROWS, BITMAP, CLOSEST = 32, 1 << 15, 2048, 2  # a tile's bitmaps take 8 MB
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 
@@ -56,8 +56,13 @@ def shingle_sets(arr: pa.Array, k: int):
                 yield x[:0]
 
 
-def class_of(s: np.ndarray, seed: int) -> tuple[int, int]:
-    return tuple(int(v.view(np.int64)) for v in (mix(s + U64(seed)).sum(dtype=U64), mix(s ^ U64(0xD6E8FEB86659FD93 + seed)).sum(dtype=U64)))
+def class_of(s: np.ndarray, seed: int) -> int:
+    return int(mix(s + U64(seed)).sum(dtype=U64).view(np.int64))
+
+
+def check_of(s: np.ndarray, seed: int) -> int:
+    """A second hash of a set, independent of its class."""
+    return int(mix(s ^ U64(0xD6E8FEB86659FD93 + seed)).sum(dtype=U64).view(np.int64))
 
 
 def described(rows: DataFrame, k: int, seed: int) -> DataFrame:
@@ -70,9 +75,8 @@ def described(rows: DataFrame, k: int, seed: int) -> DataFrame:
             n, a, b, seen = [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 n.append(len(s))
-                c = class_of(s, seed) if len(s) else (0, 0)
-                a.append(c[0])
-                b.append(c[1])
+                a.append(class_of(s, seed) if len(s) else 0)
+                b.append(check_of(s, seed) if len(s) else 0)
                 seen.append(s)
             if seen:
                 sketch += np.bincount((np.concatenate(seen) >> U64(64 - 18)).astype(np.int64), minlength=SKETCH)
@@ -122,7 +126,7 @@ def prefixes(rows: DataFrame, sketch: np.ndarray, k: int, num: int, den: int, se
         for batch in batches:
             out: list[tuple] = []
             for s in shingle_sets(batch.column("text"), k):
-                if not len(s) or (c := class_of(s, seed)[0]) in seen:
+                if not len(s) or (c := class_of(s, seed)) in seen:
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(c)
@@ -143,28 +147,17 @@ def prefixes(rows: DataFrame, sketch: np.ndarray, k: int, num: int, den: int, se
     return rows.select("text").mapInArrow(work, "token bigint, cls bigint, n int, ell int, pos int")
 
 
-def sets_for(need: DataFrame, rows: DataFrame, k: int, keep: list[str]) -> DataFrame:
-    """The columns `keep` of need (with rep, an id) and `tokens`: the whole shingle set of that id's text."""
-
-    def work(batches):
-        for batch in batches:
-            sets = pa.array([s.view(np.int64) for s in shingle_sets(batch.column("text"), k)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), sets], [*keep, "tokens"])
-
-    texts = rows.join(sized(need.select("rep", *keep)), F.col("id") == F.col("rep")).select(*keep, "text")
-    return texts.mapInArrow(work, ", ".join(f"{c} bigint" for c in [*keep]) + ", tokens array<bigint>")
-
-
-def bitmaps(need: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def bitmaps(need: DataFrame, rows: DataFrame, k: int, seed: int) -> DataFrame:
     """(cls, bits): for the classes in need (cls, rep), which of BITMAP slots hold an odd number of their shingles."""
 
     def work(batches):
         for batch in batches:
-            out = []
-            for s in shingle_sets(batch.column("text"), k):
+            out, own = [], []
+            for c, s in zip(batch.column("cls").to_pylist(), shingle_sets(batch.column("text"), k)):
+                own.append(class_of(s, seed) == c)
                 odd = np.bincount((s & U64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
                 out.append(np.packbits(odd.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(out, pa.binary())], ["cls", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(out, pa.binary())], ["cls", "bits"]).filter(pa.array(own, pa.bool_()))
 
     texts = rows.join(sized(need.select("rep", "cls")), F.col("id") == F.col("rep")).select("cls", "text")
     return materialize(texts.mapInArrow(work, "cls bigint, bits binary").dropDuplicates(["cls"]), "ngram-bits")
@@ -217,7 +210,7 @@ def tile(num: int, den: int, most: int):
     return pairs
 
 
-def heavy_links(heavy: DataFrame, links: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def heavy_links(heavy: DataFrame, links: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
     """Links (a, b) among the classes of heavy shingles (token, cls, n, pos, comp), beyond those given."""
     x = heavy.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * num / den))
     x = x.select("token", "cls", "n", "comp", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num * 1.0001))).cast("int").alias("band"))
@@ -226,7 +219,7 @@ def heavy_links(heavy: DataFrame, links: DataFrame, rows: DataFrame, reps: DataF
     x = materialize(x, "ngram-heavy")
     size = x.groupBy("token", "band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"), F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 <> c1").drop("c0", "c1")
     x = materialize(x.join(size, ["token", "band"]).withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "ngram-members")
-    bits = bitmaps(x.select("cls").distinct().join(reps.select("cls", "rep"), "cls"), rows, k)
+    bits = bitmaps(x.select("cls").distinct().join(reps.select("cls", "rep"), "cls"), rows, k, seed)
     tiles = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "band", "cls", "n", "blk", "own", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
     found, tried, most = links.limit(0), links.limit(0), CLOSEST
     while True:
@@ -234,7 +227,7 @@ def heavy_links(heavy: DataFrame, links: DataFrame, rows: DataFrame, reps: DataF
         held = tiles.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).join(bits, "cls")
         got = materialize(held.groupBy(*TILE).applyInArrow(tile(num, den, most), "token bigint, band int, i int, j int, a bigint, b bigint"), "ngram-tiles")
         fresh = materialize(got.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
-        found = materialize(found.unionAll(verified(fresh, rows, reps, k, num, den)), "ngram-found")
+        found = materialize(found.unionAll(verified(fresh, rows, reps, k, num, den, seed)), "ngram-found")
         tried, most = materialize(tried.unionAll(fresh), "ngram-tried"), most * 8
         more = materialize(got.where("a is null").select(*TILE), "ngram-open")
         discard(got, fresh)
@@ -244,16 +237,24 @@ def heavy_links(heavy: DataFrame, links: DataFrame, rows: DataFrame, reps: DataF
         tiles = tiles.join(more, TILE, "left_semi")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
     """The pairs (a, b) of classes whose Jaccard similarity is at least num / den, by whole sets."""
-    # Both sides' sets are made where their texts are read and meet in one shuffle, by a: no table of sets is written.
+
+    def judge(batches):
+        for batch in batches:
+            near = []
+            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), shingle_sets(batch.column("ta"), k), shingle_sets(batch.column("tb"), k)):
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                # An id may have several texts: only those of the two classes count.
+                near.append(den * n >= num * (len(x) + len(y) - n) and class_of(x, seed) == a and class_of(y, seed) == b)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    # Texts, which shuffle in less room than their sets, meet in one shuffle, by a.
     left = materialize(pairs.select("a").distinct().join(reps.select(F.col("cls").alias("a"), "rep"), "a"), "ngram-left")
     right = materialize(pairs.join(reps.select(F.col("cls").alias("b"), "rep"), "b").select("a", "b", "rep"), "ngram-right")
-    one = sets_for(left, rows, k, ["a"]).withColumnRenamed("tokens", "ta").dropDuplicates(["a"])
-    x = sets_for(right, rows, k, ["a", "b"]).withColumnRenamed("tokens", "tb").join(one, "a")
-    both = F.size(F.array_intersect("ta", "tb"))
-    near = x.where(den * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")
-    out = materialize(materialize(near, "ngram-near").distinct(), "ngram-links")
+    one = rows.join(sized(left), F.col("id") == F.col("rep")).select("a", F.col("text").alias("ta"))
+    two = rows.join(sized(right), F.col("id") == F.col("rep")).select("a", "b", F.col("text").alias("tb"))
+    out = materialize(two.join(one, "a").select("a", "b", "ta", "tb").mapInArrow(judge, "a bigint, b bigint").distinct(), "ngram-links")
     discard(left, right)
     return out
 
@@ -283,13 +284,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
             break
     post = prefixes(rows, sketch_of(desc), k, num, den, seed)
     # Most prefix shingles are of one class alone and end here.
-    hubs = post.groupBy("token").agg(F.min(F.struct("cls", "n", "ell", "pos")).alias("h"), F.max("cls").alias("other")).where("h.cls <> other")
-    hubs = materialize(hubs.select("token", F.col("h.cls").alias("hub"), F.col("h.n").alias("n2"), F.col("h.ell").alias("ell2"), F.col("h.pos").alias("pos2")), "ngram-hubs")
+    hubs = post.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("other")).where("hub <> other").select("token", "hub")
+    hubs = materialize(hubs, "ngram-hubs")
     post = materialize(post.join(hubs, "token").distinct(), "ngram-postings")
-    star = candidates(post.where("cls <> hub"), "cls", "hub", num, den, F.lit(0)).groupBy("a").agg(F.max(F.struct("c", "b")).alias("m"))
+    of_hub = post.where("cls = hub").select("token", *[F.col(c).alias(c + "2") for c in ("n", "ell", "pos")])
+    star = candidates(post.where("cls <> hub").join(of_hub, "token"), "cls", "hub", num, den, F.lit(0)).groupBy("a").agg(F.max(F.struct("c", "b")).alias("m"))
     star = materialize(star.select(F.col("m.b").alias("a"), F.col("a").alias("b")), "ngram-star")
     discard(hubs)
-    links = verified(star, rows, reps, k, num, den)
+    links = verified(star, rows, reps, k, num, den, seed)
     comp = components(links, "ngram-cc")
     held = post.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", "ell", "pos", F.coalesce("comp", "cls").alias("comp"))
     held = materialize(held, "ngram-held")
@@ -306,9 +308,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     pairs = candidates(cross.join(other, "token").where("comp < comp2"), "cls", "cls2", num, den, F.least("h", "h2"))
     pairs = materialize(pairs.select("a", "b"), "ngram-pairs")
     discard(cross)
-    links = materialize(links.unionAll(verified(pairs, rows, reps, k, num, den)), "ngram-light")
+    links = materialize(links.unionAll(verified(pairs, rows, reps, k, num, den, seed)), "ngram-light")
     if not heavy.isEmpty():
-        links = materialize(links.unionAll(heavy_links(heavy, links, rows, reps, k, num, den)), "ngram-all")
+        links = materialize(links.unionAll(heavy_links(heavy, links, rows, reps, k, num, den, seed)), "ngram-all")
     discard(posted, pairs)
     whole = components(links, "ngram-cc")
     named = reps.join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
