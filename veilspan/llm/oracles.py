@@ -22,7 +22,7 @@ def _urn(name: str) -> str:
     return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
 
-_TEXT = "regexp_replace(regexp_replace(regexp_replace(payload, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|title|head|body|html)\\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+_TEXT = "regexp_replace(regexp_replace(regexp_replace(payload, '(?is)<script\\b[^>]*>.*?(?:</script\\s*>|\\z)|<style\\b[^>]*>.*?(?:</style\\s*>|\\z)|<!--.*?(?:-->|\\z)', ' ', 'g'), '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|title|head|body|html)\\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
 for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
     _TEXT = f"replace({_TEXT}, '{_a}', '{_b}')"
 _TEXT = f"trim(regexp_replace(regexp_replace(regexp_replace({_TEXT}, '[ \\t\\r\\x0B\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^\\n+|\\n+$', '', 'g'), ' ')"
