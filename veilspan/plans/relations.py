@@ -27,9 +27,7 @@ R("f03_kept_model_types", f"SELECT * FROM {PRED} WHERE type IN ('PERSON', 'COMPA
 R("f14_span_validity", f"SELECT doc_id, b, e FROM {SPANS} WHERE 0 <= b AND b < e AND e <= 25")
 
 # Joins
-R("j09_link_aliases", "SELECT a.token, min(b.token) AS canonical FROM (VALUES ('{P_3}', 'ANN')) AS a(token, surface) LEFT JOIN (VALUES ('{P_1}', 'Ann'), ('{P_2}', 'ann')) AS b(token, surface) ON lower(a.surface) = lower(b.surface) GROUP BY a.token")
 R("j10_span_replacement", f"SELECT s.doc_id, s.b, m.token FROM {SPANS} JOIN {MAPPING} ON s.doc_id = m.scope AND s.text = m.value WHERE m.token <> 'X'")
-R("j23_range_line_intersect", f"SELECT s.doc_id, s.b, count(l.n) AS n_lines FROM {SPANS} LEFT JOIN (VALUES (1, 0, 12), (2, 12, 30)) AS l(n, lb, le) ON s.b < l.le AND l.lb < s.e GROUP BY s.doc_id, s.b")
 
 # Aggregates
 CORE_COUNT = f"SELECT doc_id, type, count(*) AS n FROM ({CORE_SQL}) GROUP BY doc_id, type"
@@ -48,7 +46,6 @@ R("w06_nearest_preceding", f"SELECT doc_id, b, max(CASE WHEN type = 'PERSON' THE
 query("o01_document_order", CORE_SQL)(lambda spark, sf: core(spark, sf).orderBy("doc_id", "start", "end"))
 R("o04_receipts_newest_first", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey")
 R("o05_head_lines", "SELECT conv_id, turn, role FROM conversations WHERE turn < 2")
-R("u01_union_sources", f"SELECT doc, value, type FROM {PRED} UNION ALL SELECT doc, value, type FROM {GOLD}")
 R("u03_intersect", f"SELECT doc, lower(value) AS v, type FROM {GOLD} INTERSECT SELECT doc, lower(value), type FROM {PRED}")
 
 # Classification, audit, reports
