@@ -6,7 +6,8 @@ merging their sorted remainders and adding the counts. Only fingerprints counted
 verification, which groups by the text itself.
 
 Edge cases: a null text counts as empty; empty texts are copies of each other; rows repeated with the same id form
-one group whose kept id is that id; an empty table gives an empty result. Other columns are not read.
+one group whose kept id is that id; a row with a null id is a copy like others, kept only where its whole group has
+none; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

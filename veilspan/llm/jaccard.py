@@ -16,8 +16,9 @@ gives the CLOSEST pairs of each component, so no more rows than it has members;
 hold back pairs run again, with more pairs a component each time, until none does: no link is lost, no group is expanded.
 
 Edge cases: null text and text without words have an empty set, linked with nothing (component: own id); fewer words
-than k make one shingle; rows repeated with the same id are copies; an empty table gives an empty result. Only id
-and text are read. Shingles are told apart by 64-bit hashes, classes by two independent ones.
+than k make one shingle; rows repeated with the same id are copies, and an id with several texts joins their components; a
+row with a null id belongs to the rows of equal text, and alone stays alone (component: null); an empty table gives an
+empty result. Only id and text are read. Shingles are told apart by 64-bit hashes, classes by two independent ones.
 """
 
 from __future__ import annotations

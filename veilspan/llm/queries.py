@@ -28,7 +28,7 @@ def op2_warc_derivatives(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     g = exact.exact_groups(_t(spark, sf, "documents"))
-    return g.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return g.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
