@@ -79,10 +79,12 @@ class Model:
         self.t1, self.t2 = np.zeros(lanes << BITS1, np.uint32), np.zeros(lanes << BITS2, np.uint32)
         self.rate1, self.rate2 = np.tile(OPENING, lanes), np.tile(OPENING, lanes)
         self.lane = lane << 3
-        self.bounds = np.tile((i * (top // CLASSES)).astype(np.int16), (lanes, 1))
+        # Lower bounds of the classes, a row a block; the first is always 0, so what follows a row's last is 0 too.
+        self.flat = np.append(np.tile((i * (top // CLASSES)).astype(np.int16), lanes), np.int16(0))
+        self.bounds = self.flat[:-1].reshape(lanes, CLASSES)
         # Where class bounds move when a class is seen: those above it up, the others down, no class below one part.
         self.towards = np.where(i[None, :] <= i[:, None], i, top - CLASSES + i).astype(np.int16)
-        self.top = np.int16(top)
+        self.mask = np.int16(top - 1)
         self.row = lane * CLASSES
         self.prev1, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
@@ -121,9 +123,9 @@ class Model:
 
     def class_at(self, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower bound and width of a class in each block."""
-        at, flat = self.row[: len(cls)] + cls, self.bounds.reshape(-1)
-        lo = flat.take(at)
-        return lo.astype(np.uint64), (np.where(cls == CLASSES - 1, self.top, flat.take(at + 1, mode="clip")) - lo).astype(np.uint64)
+        at = self.row[: len(cls)] + cls
+        lo = self.flat.take(at)
+        return lo.astype(np.uint64), ((self.flat.take(at + 1) - lo) & self.mask).astype(np.uint64)
 
 
 def shift(a: np.ndarray, w: np.ndarray) -> np.ndarray:

@@ -34,8 +34,9 @@ from .rangecoder import decode, encode
 SEGMENT = 2_000_000
 CHUNK = 1 << 22  # bytes of text tokenized at a time (or one text)
 SPACES = r"[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-CACHE = 40 << 20  # bytes of a generation of pieces kept by a worker; each counts ENTRY bytes besides its own
-ENTRY = 180
+CACHE = 96 << 20  # bytes of a generation of pieces kept by a worker, counted as ENTRY each: they are words
+ENTRY = 200
+LONG = 64  # longer pieces aren't kept
 BLANK, WORD, SIGN = 1, 2, 3  # kinds of bytes: blanks; ASCII letters and digits; other printing ASCII
 KIND = np.zeros(256, np.uint8)
 KIND[[32, 9, 10, 13]] = BLANK
@@ -66,18 +67,14 @@ class Encoder:
         for name, i in names.items():  # a byte-level token has a character for each byte
             self.bytes_of[i] = len(name)
 
-    def keep(self, names: list[bytes], ids: list[bytes]) -> None:
-        self.cache.update(zip(names, ids))
-        self.held += sum(map(len, names)) + sum(map(len, ids)) + ENTRY * len(names)
-
-    def learn(self, new: list[bytes], odd: set[bytes]) -> dict[bytes, bytes]:
+    def learn(self, new: list[bytes], odd: set[bytes]) -> list[bytes]:
         """The ids of new pieces. Those of a blank and a word are joined, encoded together and told apart by the tokens'
         lengths; the others are encoded one by one."""
-        plain, alone, got = [], [], {}
-        for p in new:
-            (plain if self.by_pieces and p[0] in BLANKS and p[-1] not in BLANKS and p not in odd else alone).append(p)
-        for i in range(0, len(plain), 20_000):
-            groups = [plain[k : k + 500] for k in range(i, min(i + 20_000, len(plain)), 500)]
+        by = self.by_pieces
+        plain = [by and p[0] in BLANKS and p[-1] not in BLANKS and p not in odd for p in new]
+        joint, alone, got = [p for p, x in zip(new, plain) if x], [k for k, x in enumerate(plain) if not x], []
+        for i in range(0, len(joint), 20_000):
+            groups = [joint[k : k + 500] for k in range(i, min(i + 20_000, len(joint)), 500)]
             texts = [b"".join(g).decode() for g in groups]
             for g, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, "<u4")
@@ -86,28 +83,33 @@ class Encoder:
                 cut = np.searchsorted(at, ends)
                 if len(at) and cut[-1] == len(at) - 1 and (at[cut] == ends).all():
                     raw, cut = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
-                    got.update(zip(g, (raw[x:y] for x, y in zip(cut, cut[1:]))))
+                    got += [raw[x:y] for x, y in zip(cut, cut[1:])]
                 else:  # a tokenizer whose tokens don't spell the bytes
-                    alone += g
-        for i in range(0, len(alone), 10_000):
-            part = alone[i : i + 10_000]
-            got.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([p.decode() for p in part], add_special_tokens=False))))
-        return got
+                    got += self.one_by_one(g)
+        if not alone:
+            return got
+        out, rest = iter(got), iter(self.one_by_one([new[k] for k in alone]))
+        return [next(out) if x else next(rest) for x in plain]
+
+    def one_by_one(self, pieces: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(pieces), 10_000) for e in self.tok.encode_batch_fast([p.decode() for p in pieces[i : i + 10_000]], add_special_tokens=False)]
 
     def ids_of(self, names: list[bytes], odd: set[bytes]) -> list[bytes]:
         """Ids of different pieces, from the two generations of the cache or made now."""
-        if self.held > CACHE:
+        if self.held > CACHE:  # odd texts are pieces too, but never stay
             self.before, self.cache, self.held = self.cache, {}, 0
         own = list(map(self.cache.get, names))
         lack = [k for k, o in enumerate(own) if o is None]
         again = [names[k] for k in lack]
         late = list(map(self.before.get, again))
         new = [p for p, o in zip(again, late) if o is None]
-        got = self.learn(new, odd) if new else {}
-        late = [o if o is not None else got[p] for p, o in zip(again, late)]
+        if new:
+            made = iter(self.learn(new, odd))
+            late = [next(made) if o is None else o for o in late]
         for k, o in zip(lack, late):
             own[k] = o
-        self.keep(again, late)
+        self.cache.update((p, o) for p, o in zip(again, late) if len(p) <= LONG)
+        self.held += ENTRY * len(again)
         return own
 
     def pieces_of(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, set[bytes]]:
