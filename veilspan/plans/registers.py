@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, segments
+from ..operators import audit, locate, segments
 from .registry import query, table
 
 SECRET = b"a key of the session"
@@ -290,6 +290,16 @@ def pack_segments(spark, sf):
     return x.select("doc_id", F.forall(gaps, lambda g: g == "").alias("covered"), "sliced")
 
 
+@query("m10_chunk_cover", "SELECT doc_id, true AS covered, true AS sliced FROM documents WHERE length(text) > 0")
+def chunk_cover(spark, sf):
+    """Chunks leave no gap, reach the end, and are slices of the text."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("whole"))
+    c = locate.chunks(table(spark, sf, "documents")).withColumn("end", F.col("start") + F.length("text")).join(d, "doc_id")
+    x = c.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "start", "end"))).alias("w"), F.first("whole").alias("whole"), F.bool_and(F.col("text") == F.substring(F.col("whole"), F.col("start") + 1, F.length("text"))).alias("sliced"))
+    reach = F.aggregate("w", F.lit(0), lambda a, v: F.when(v["start"] <= a, F.greatest(a, v["end"])).otherwise(F.lit(-1)))
+    return x.select("doc_id", (reach == F.length("whole")).alias("covered"), "sliced")
+
+
 @query("m13_token_windows", "SELECT doc_id, CAST(w AS INTEGER) AS window, CAST(w * 4 AS INTEGER) AS first FROM (SELECT doc_id, unnest(range(0, CASE WHEN n <= 8 THEN 1 ELSE CAST(ceil((n - 8) / 4.0) AS INTEGER) + 1 END)) AS w FROM (SELECT doc_id, least(30, length(text)) AS n FROM documents WHERE length(text) > 0))")
 def token_windows(spark, sf):
     t = table(spark, sf, "documents").where(F.length("text") > 0).select("doc_id", F.sequence(F.lit(1), F.least(F.lit(30), F.length("text"))).alias("ids"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ def relational(name: str, sql: str, spark_sql: str | None = None) -> None:
     text = spark_sql or sql
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        used = {t: table(spark, sf, t) for t in TABLES if t in text}
+        used = {t: table(spark, sf, t) for t in TABLES if re.search(rf"\b{t}\b", text)}
         for t, df in used.items():
             df.createOrReplaceTempView(t)
         return spark.sql(text)
