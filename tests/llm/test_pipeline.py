@@ -54,3 +54,71 @@ def test_mix_deals_copies_to_rows(docs, spark, tmp_path):
     got = Counter(r.row for r in cp.source_mix(spark, d, str(tmp_path)).select(cp.row_hash(d).alias("row")).collect())
     assert got == Counter({k: n for k, n in want.items() if n}) and sum(got.values()) > 0
     assert cp.source_mix(spark, d, str(tmp_path)).where("doc_id is null").count() > 0
+
+
+def test_stages_take_empty_tables_nulls_repeats_and_clashing_names(docs, spark, tmp_path):
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for texts in ([], ["a few words here", "a few words here", None, "", "x"]):
+        d = docs(texts or ["x"]).drop("extra").where("true" if texts else "false")
+        for name in ("__hits", "__lang", "__row", "__id", "__copies", "__n", "__r", "__copy"):
+            d = d.withColumn(name, F.lit(7))
+        d = d.unionByName(d.where("doc_id = 0"))
+        n = d.count()
+        for stage, step in cp.STAGES[:-1]:
+            out = step(spark, d, str(tmp_path))
+            assert out.columns == d.columns and out.count() <= 3 * n, stage
+        assert cp.token_file(spark, d, str(tmp_path)).count() == n
+    lang = cp.language_id(spark, d, str(tmp_path))
+    assert sorted(r.doc_id for r in lang.collect()) == [0, 0, 1, 4]
+    assert sorted(r.doc_id for r in cp.near_duplicates(spark, lang, str(tmp_path)).collect()) == [0, 4]
+
+
+def test_whole_pipeline_against_plain_steps(docs, spark, tmp_path):
+    import random
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    bench = [" ".join(word() for _ in range(12)) for _ in range(3)]
+    texts = []
+    for k in range(40):
+        w = [word() for _ in range(rng.randint(30, 90))]
+        if k % 5 == 0:
+            w[10:10] = bench[k % 3].split()
+        texts += [" ".join(w), " ".join([*w[:-1], "zz"])] if k % 4 == 0 else [" ".join(w)]
+    texts += [texts[3], None, "", "12 34", bench[0], "short text"]
+    d = docs(texts, sources=["ab"[k % 2] for k in range(len(texts))]).drop("extra")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(bench)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    kept = {k: t for k, t in enumerate(texts) if t and any(ch.isalpha() for ch in t)}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} or {tuple(t.split())} for k, t in kept.items()}
+    comp = {k: k for k in kept}
+    for _ in range(3):
+        for a in sets:
+            for b in sets:
+                if comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    kept = {k: t for k, t in kept.items() if comp[k] == k}
+    windows = {tuple(b.split()[i : i + 10]) for b in bench for i in range(3)}
+    clean = {}
+    for k, t in kept.items():
+        w = t.split()
+        hit = {j for i in range(len(w) - 9) if tuple(w[i : i + 10]) in windows for j in range(i, i + 10)}
+        if len(hit) < len(w):
+            # Spans are cut from the first hit word to the last; the blanks around them stay.
+            clean[k] = "".join(x for i, v in enumerate(w) for x in ((" " if i and not (i in hit and i - 1 in hit) else ""), "" if i in hit else v))
+    rows = [(k, t, "en", "ab"[k % 2], len(t)) for k, t in sorted(clean.items())]
+    mixed = cp.source_mix(spark, spark.createDataFrame(rows, d.schema), str(tmp_path)).collect()
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted((r.doc_id, len(ids := [*tok.encode(r.text, add_special_tokens=False).ids, 2]), zlib.crc32(np.array(ids, "<u4").tobytes())) for r in mixed)
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want and len(want) > 20
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
