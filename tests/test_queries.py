@@ -9,7 +9,7 @@ import pytest
 
 from veilspan.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("QUERIES_SF_DIR", "/root/testdata/sf0.001")
 
 
 def norm(v):
