@@ -34,7 +34,7 @@ from .rangecoder import decode, encode
 SEGMENT = 2_000_000
 CHUNK = 1 << 22  # bytes of text tokenized at a time (or one text)
 SPACES = r"[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-CACHE = 96 << 20  # bytes of a generation of pieces kept by a worker, counted as ENTRY each: they are words
+CACHE = 40 << 20  # bytes of a generation of pieces kept by a worker, counted as ENTRY each: they are words
 ENTRY = 200
 LONG = 64  # longer pieces aren't kept
 BLANK, WORD, SIGN = 1, 2, 3  # kinds of bytes: blanks; ASCII letters and digits; other printing ASCII
