@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.sql import register
+from ..operators import anonymize as whole
 from ..operators import mint, prototype
+from ..operators.regexspans import sql_spans
 from ..sources import files
 from .registry import query, table
 from .sessions import session
@@ -188,3 +191,40 @@ def learned_patterns(spark, sf):
     from .registers import decisions
 
     return prototype.learned_patterns(decisions(spark, sf))
+
+
+# --- whole documents, hooks -----------------------------------------------------------------------------------------
+
+
+@query("d20_custom_vocabulary", f"SELECT doc_id, start, \"end\", 'TERM' AS type, text FROM ({sql_spans('documents', '(?i)data')}) UNION ALL SELECT doc_id, start, \"end\", 'CODE', text FROM ({sql_spans('documents', '[A-Z]{2,}[0-9]+')})")
+def custom_vocabulary(spark, sf):
+    """A term, an expression, and three that are ignored: empty, broken, able to match nothing."""
+    p = [whole.Pattern("DATA", "TERM"), whole.Pattern("[A-Z]{2,}[0-9]+", "CODE", True, True), whole.Pattern(" ", "X"), whole.Pattern("(", "X", False, True), whole.Pattern("a*", "X", False, True)]
+    return whole.custom_spans(table(spark, sf, "documents"), p).select("doc_id", "start", "end", "type", "text")
+
+
+def customers(spark, sf):
+    """Letters to customers, a session for each nation; the extractor reports the names."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_nationkey").alias("nation"), F.concat(F.lit("Dear "), "c_name", F.lit(", write to x"), F.col("c_custkey").cast("string"), F.lit("@b.example; "), "c_name", F.lit(" owes EUR 5.")).alias("text"))
+    return c, lambda d: d.select("doc_id", F.regexp_extract("text", "^Dear ([^,]+),", 1).alias("value"), F.lit("PERSON").alias("type"))
+
+
+@query("t00_anonymize_sessions", "SELECT c_custkey AS doc_id, 'Dear {PERSON_' || n || '}, write to {EMAIL_' || n || '}; {PERSON_' || n || '} owes {AMOUNT_1}.' AS tokenized FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer)")
+def anonymize_sessions(spark, sf):
+    c, names = customers(spark, sf)
+    return whole.anonymize(c, "nation", extractor=names)[0].select("doc_id", "tokenized")
+
+
+@query("r00_restore_sessions", "SELECT c_custkey AS doc_id, 'Dear ' || c_name || ', write to x' || c_custkey || '@b.example; ' || c_name || ' owes EUR 5.' AS restored FROM customer")
+def restore_sessions(spark, sf):
+    """The same under pseudonyms, kept amounts, and back."""
+    c, names = customers(spark, sf)
+    out, mapping = whole.anonymize(c, "nation", style="pseudonym", extractor=names, span_filter=lambda s: s.where("type <> 'AMOUNT'"))
+    return whole.restore(out, mapping, "nation", "pseudonym").select("doc_id", "restored")
+
+
+@query("p00_sql_functions", "SELECT doc_id, regexp_replace(upper(coalesce(source, '')), '[^A-Z0-9]', '', 'g') AS stype, sha256(text) AS digest, lang || '|' || lower(trim(source)) AS key FROM documents WHERE regexp_matches(upper(coalesce(source, '')), '^[^A-Z0-9]*[A-Z]')")
+def sql_functions(spark, sf):
+    register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("vs_documents")
+    return spark.sql("SELECT doc_id, vs_sanitize_type(coalesce(source, '')) AS stype, vs_text_digest(text) AS digest, vs_learning_key(lang, source) AS key FROM vs_documents WHERE regexp_like(upper(coalesce(source, '')), '^[^A-Z0-9]*[A-Z]')")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import locate
 from ..operators import spanalgebra as sa
-from ..operators.regexspans import matches
 from .registry import query, relational, table, values
 from .spans import CORE_SQL, MERGED_SQL, core, merged
 
@@ -100,12 +99,6 @@ def chunked(spark, sf):
     return locate.chunks(table(spark, sf, "documents"))
 
 
-@query("d20_custom_vocabulary", "SELECT o_orderkey AS doc_id, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_orderkey")
-def custom(spark, sf):
-    docs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("x "), "o_orderpriority").alias("text"))
-    return docs.select("doc_id", F.inline(matches(F.col("text"), r"(?i)\Q1-urgent\E"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
 @query("j05_overlap_anti", f'SELECT * FROM (SELECT doc_id, start, "end", type FROM ({CORE_SQL})) WHERE type <> \'EMAIL\'')
 def anti(spark, sf):
     c = core(spark, sf)
