@@ -221,7 +221,9 @@ def heavy_links(heavy: DataFrame, links: DataFrame, rows: DataFrame, reps: DataF
     size = x.groupBy("token", "band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"), F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 <> c1").drop("c0", "c1")
     x = materialize(x.join(size, ["token", "band"]).withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "ngram-members")
     bits = bitmaps(x.select("cls").distinct().join(reps.select("cls", "rep"), "cls"), rows, k, seed)
-    tiles = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "band", "cls", "n", "blk", "own", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
+    # Only what is too large for one tile is cut into blocks, each member then standing in a tile for each block.
+    whole, cut = x.where("blocks = 1").withColumn("o", F.lit(0)), x.where("blocks > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = whole.unionByName(cut).select("token", "band", "cls", "n", "blk", "own", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
     found, tried, most = links.limit(0), links.limit(0), CLOSEST
     while True:
         comp = components(links.unionAll(found), "ngram-cc").withColumnRenamed("node", "cls")
@@ -318,4 +320,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     least_id = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(least_id, "comp").select("cls", "component_id"), "ngram-named")
     out = desc.where("slice is null").join(named, (F.col("n") > 0) & (desc["cls"] == named["cls"]), "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    discard(reps, links, whole)
+    out._inputs = [desc, named]  # scratch tables that the result reads: for a caller who writes it
+    return out
