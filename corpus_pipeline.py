@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import decontaminate, jaccard, langid, mixing, tokenfile
-from veilspan.llm.common import fresh, materialize, sized
+from veilspan.llm.common import discard, fresh, materialize, sized
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by all columns: those of one id, or of a null id, stay if their components differ."""
     ids = docs.select("doc_id")
     if ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty():
-        groups = materialize(jaccard.near_groups(docs, k=5, num=80, den=100), "near")
-        gone = materialize(groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "near-gone")
+        found = jaccard.near_groups(docs, k=5, num=80, den=100)
+        gone = materialize(found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "near-gone")
+        discard(*found._inputs)
         return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
     row = fresh(docs, "row")
     x = docs.withColumn(row, row_hash(docs))
