@@ -162,6 +162,15 @@ def test_streams_give_what_the_batch_gives(spark):
     assert same("x01_stream_spans", "m01_local_spans")
 
 
+@pytest.mark.parametrize("name", ["x01_stream_detect"])
+def test_streams_read_tables_of_many_files(spark, tmp_path, name):
+    sf = "/root/testdata/sf0.001"
+    for t in ("documents", "conversations"):
+        spark.read.parquet(f"{sf}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    got, want = (sorted(map(repr, catalog.QUERIES[name](spark, at).collect())) for at in (str(tmp_path), sf))
+    assert got == want and got
+
+
 def test_a_resumed_batch_takes_new_files_only(spark, tmp_path):
     from veilspan.streaming import detect as sd
 
