@@ -107,6 +107,17 @@ def test_rescan_finds_a_value_however_spaced_and_composed(spark):
     assert sorted((r.start, r.end) for r in locate.occurrences(v, d).collect()) == [(0, 11), (16, 25), (30, 39)]
 
 
+def test_values_meet_texts_by_their_rarest_unit(spark):
+    assert locate.units_of("Customer#000000001") == ["customer", "000000001"] and locate.units_of("北港 Lund") == ["北", "港", "lund"]
+    assert locate.units_of("R\u00e9my") == locate.units_of("Re\u0301my") == []
+    d = spark.createDataFrame([(k, 1, f"Dear Customer#{k:05d}, \u0130ngrid \u041e\u043b\u044f") for k in range(3000)], "doc_id int, scope int, text string")
+    v = d.selectExpr("scope", "substr(text, 6, 14) AS value", "'PERSON' AS type").unionByName(spark.createDataFrame([(1, "ingrid", "PERSON"), (1, "\u043e\u043b\u044f", "PERSON")], "scope int, value string, type string"))
+    began = time.time()
+    got = locate.occurrences(v, d, "scope").collect()
+    assert time.time() - began < 30
+    assert sorted((r.doc_id, r.start, r.end) for r in got) == sorted((k, a, b) for k in range(3000) for a, b in ((5, 19), (21, 27), (28, 31)))
+
+
 def test_variant_patterns_allow_gaps_between_scripts_only():
     assert [mv.places(t, "北港ABC公司")[0] for t in ("北港ABC公司", "北港 ABC 公 司", "北 港ABC公司", "北港A BC公司")] == [[(0, 7)], [(0, 10)], [(0, 8)], []]
 

@@ -4,65 +4,122 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
-import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import contains_cjk
 from . import modelvalues as mv
 
-NEEDLES = 4096  # values of a scope that a task searches for at a time
+NEEDLES = 4096  # values without a unit of a scope that a task searches for at a time
 
 
-def head_of(value: str) -> str:
-    """What a text in lower case must hold if the value, however spaced or composed, occurs in it; '' if that is nothing."""
-    first = value.split()[0] if value.split() else ""
-    run = re.match(r"[0-9a-z]+", first.lower())
-    return run.group() if run else first[:1] if first and mv.CJK.match(first) else ""
+def units_of(value: str) -> list[str]:
+    """What a text must hold as tokens (tokens_of) wherever the value stands in it on its own, however spaced or composed:
+    its Latin runs of ASCII alone and its ideographs."""
+    out, run, clean = [], "", True
+    for c in [*mv.clusters(value), " "]:
+        forms = (c,) if c.isascii() else (c, c.lower(), c.upper(), unicodedata.normalize("NFC", c), unicodedata.normalize("NFD", c))
+        if any(map(mv.LATIN.match, forms)):
+            run, clean = run + c, clean and c.isascii()
+            continue
+        if run and clean:
+            out.append(run.lower())
+        run, clean = "", True
+        if len(c) == 1 and mv.CJK.match(c) and unicodedata.normalize("NFC", c) == unicodedata.normalize("NFD", c) == c:
+            out.append(c)
+    return list(dict.fromkeys(out))
+
+
+TOKENS = re.compile(f"{mv.LATIN.pattern}+|{mv.CJK.pattern}")
+KELVIN = "\u212a"  # the one sign that isn't a Latin letter here but is the other case of one
+
+
+def tokens_at(text: str) -> dict[str, list[tuple[int, int]]]:
+    """The Latin runs and ideographs of a text, case aside, and where they stand."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for t in (text, text.replace(KELVIN, "k")) if KELVIN in text else (text,):
+        for m in TOKENS.finditer(t):
+            run = m.group()
+            low = run.lower() if run.isascii() else run.lower().upper().lower().replace("i\u0307", "i")
+            out.setdefault(low, []).append(m.span())
+    return out
+
+
+def near(text: str, value: str, at: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Where a value stands in a text, given where one of its units does: only what a hit with that unit can reach is searched."""
+    reach, out, a, b = 4 * len(value) + 24 * sum(not mv.LATIN.match(c) for c in value), [], None, 0
+    for x, y in [*sorted(at), (None, None)]:
+        if a is not None and x is not None and x - reach <= b:
+            b = max(b, y + reach)
+            continue
+        if a is not None:
+            out += mv.places(text, value, a, min(len(text), b))[0]
+        if x is not None:
+            a, b = max(0, x - reach), y + reach
+    return out
 
 
 def occurrences(values: DataFrame, docs: DataFrame, scope: str = "doc_id", key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, end, type, text, value) of each value (scope, value, type) in its scope's documents: case aside,
     white space runs loose, composed and decomposed alike, not inside a longer Latin word (F09).
 
-    The values of a scope go in blocks of NEEDLES; a task makes one automaton of a block's heads, which says in one pass
-    which values a text can hold, and searches for those alone. Null values and texts match nothing; repeated values count
-    once; only the named columns are read."""
-    v = values.select(F.col(scope).alias("__scope"), "value", "type").where(F.trim("value") != "").distinct()
-    sizes = v.groupBy("__scope").agg(F.ceil(F.count("*") / NEEDLES).alias("__n"))
-    blocks = v.join(sizes, "__scope").groupBy("__scope", F.pmod(F.xxhash64("value"), "__n").alias("__block")).agg(F.sort_array(F.collect_list(F.struct("value", "type"))).alias("__rows"))
-    x = docs.select(F.col(scope).alias("__scope"), F.col(key).alias("__key"), F.col(text).alias("__text")).join(blocks, "__scope").select("__key", "__text", "__rows")
+    Values meet texts by tokens: a value goes by that of its units which the fewest values of its scope have, to the documents
+    that hold it, and is searched for around it alone. Values without a unit (other scripts) go in blocks of NEEDLES; a task
+    looks for each in each text of the scope. Null values and texts match nothing; repeated values count once; only the named
+    columns are read."""
+    shape = f"{key} {docs.schema[key].dataType.simpleString()}, start int, end int, type string, text string, value string"
+    v = values.select(F.col(scope).alias("__scope"), "value", "type").where(F.trim("value") != "").distinct().withColumn("__units", units(F.col("value")))
+    d = docs.select(F.col(scope).alias("__scope"), F.col(key).alias("__key"), F.col(text).alias("__text"))
+    by = v.select("__scope", "value", "type", F.explode("__units").alias("__unit"))
+    many = by.groupBy("__scope", "__unit").agg(F.count("*").alias("__n"))
+    best = by.join(many, ["__scope", "__unit"]).groupBy("__scope", "value", "type").agg(F.min_by("__unit", F.struct("__n", -F.length("__unit"), "__unit")).alias("__unit"))
+    held = d.where("__text is not null").select("__scope", "__key", F.explode(tokens(F.col("__text"))).alias("__unit"))
+    met = held.join(best, ["__scope", "__unit"]).groupBy("__scope", F.col("__key").alias("__k")).agg(F.sort_array(F.collect_set(F.struct("value", "type", F.col("__unit").alias("unit")))).alias("__rows"))
+    x = d.join(met.withColumnRenamed("__scope", "__s"), (F.col("__scope") == F.col("__s")) & F.col("__key").eqNullSafe(F.col("__k"))).select("__key", "__text", "__rows")
+    rest = v.where(F.size("__units") == 0)
+    sizes = rest.groupBy("__scope").agg(F.ceil(F.count("*") / NEEDLES).alias("__n"))
+    blocks = rest.join(sizes, "__scope").groupBy("__scope", F.pmod(F.xxhash64("value"), "__n").alias("__block")).agg(F.sort_array(F.collect_list(F.struct("value", "type", F.lit(None).cast("string").alias("unit")))).alias("__rows"))
+    y = d.join(blocks, "__scope").select("__key", "__text", "__rows")
 
     def run(batches):
-        held, words, always, by = None, None, [], {}
         for batch in batches:
             ids, out = [], []
-            for i, (t, rows) in enumerate(zip(batch.column("__text").to_pylist(), batch.column("__rows"))):
+            for i, (t, rows) in enumerate(zip(batch.column("__text").to_pylist(), batch.column("__rows").to_pylist())):
                 if t is None:
                     continue
-                if held is None or rows != held:
-                    held, by = rows, {}
-                    for r in rows.as_py():
-                        by.setdefault(head_of(r["value"]), []).append((r["value"], r["type"]))
-                    always = by.pop("", [])
-                    words = ahocorasick.Automaton()
-                    for h in by:
-                        words.add_word(h, h)
-                    if by:
-                        words.make_automaton()
-                seen = {h for _, h in words.iter(t.lower())} if by else ()
-                for value, kind in [*always, *(r for h in sorted(seen) for r in by[h])]:
-                    found = mv.places(t, value.strip())[0]
-                    out += [(a, b, kind, t[a:b], value) for a, b in found]
+                at = tokens_at(t) if rows[0]["unit"] is not None else {}
+                for r in rows:
+                    value, unit = r["value"].strip(), r["unit"]
+                    if unit is None:
+                        found = mv.places(t, value)[0]
+                    elif all(u in at for u in units_of(value)):
+                        found = near(t, value, at[unit])
+                    else:
+                        continue
+                    out += [(a, b, r["type"], t[a:b], r["value"]) for a, b in found]
                     ids += [i] * len(found)
             cols = [pa.array([r[k] for r in out], pa.int32() if k < 2 else pa.string()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([batch.column("__key").take(pa.array(ids, pa.int64())), *cols], [key, "start", "end", "type", "text", "value"])
 
-    return x.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, start int, end int, type string, text string, value string")
+    return x.mapInArrow(run, shape).unionByName(y.mapInArrow(run, shape))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def units(values: pa.Array) -> pa.Array:
+    """units_of as a column."""
+    return pa.array([units_of((v or "").strip()) for v in values.to_pylist()], pa.list_(pa.string()))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def tokens(texts: pa.Array) -> pa.Array:
+    """The different tokens of each text."""
+    return pa.array([list(tokens_at(t or "")) for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
 def needles(spans: DataFrame, scope: str, key: str = "doc_id") -> DataFrame:
