@@ -118,6 +118,16 @@ def test_values_meet_texts_by_their_rarest_unit(spark):
     assert sorted((r.doc_id, r.start, r.end) for r in got) == sorted((k, a, b) for k in range(3000) for a, b in ((5, 19), (21, 27), (28, 31)))
 
 
+def test_restoring_a_large_scope_reads_its_entries_once(spark, monkeypatch):
+    monkeypatch.setattr(restoring, "GROUP", 700)
+    m = spark.range(3000).selectExpr("1 AS scope", "concat('Person ', id) AS token", "concat('value', id) AS surface")
+    d = spark.range(3000).selectExpr("id AS doc_id", "1 AS scope", "concat('Person ', id, '; Person ', id) AS text").unionByName(spark.createDataFrame([(3000, None, "Person 1"), (3001, 1, None)], "doc_id bigint, scope int, text string"))
+    began = time.time()
+    got = {r.doc_id: r.restored for r in restoring.restore(d, m, "scope", "pseudonym", orphans=False).collect()}
+    assert time.time() - began < 20
+    assert got == {**{k: f"value{k}; value{k}" for k in range(3000)}, 3000: "Person 1", 3001: None}
+
+
 def test_variant_patterns_allow_gaps_between_scripts_only():
     assert [mv.places(t, "北港ABC公司")[0] for t in ("北港ABC公司", "北港 ABC 公 司", "北 港ABC公司", "北港A BC公司")] == [[(0, 7)], [(0, 10)], [(0, 8)], []]
 

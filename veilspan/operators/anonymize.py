@@ -92,6 +92,6 @@ def anonymize(docs: DataFrame, scope: str = "doc_id", order: str | None = None,
     return splice(docs, sites, key, text), mapping.withColumnRenamed("scope", scope)
 
 
-def restore(edited: DataFrame, mapping: DataFrame, scope: str = "doc_id", style: str = "token", key: str = "doc_id", text: str = "tokenized") -> DataFrame:
+def restore(edited: DataFrame, mapping: DataFrame, scope: str = "doc_id", style: str = "token", key: str = "doc_id", text: str = "tokenized", orphans: bool = True) -> DataFrame:
     """(key, restored, restored_count, orphans, suspects, ambiguous) of edited texts."""
-    return restoring.restore(edited, mapping, scope, style, key, text)
+    return restoring.restore(edited, mapping, scope, style, key, text, orphans)

@@ -1,7 +1,7 @@
 """Restoring edited texts: literal replacements, carried literals beside tokens, refusals, and near-miss placeholders.
 
-The work on one text is plain Python with an automaton of its scope's replacements, run over Arrow batches; a mapping goes
-to its scope's texts as one array, bounded by the entries of a scope.
+The work on one text is plain Python with an automaton of its scope's replacements, run over Arrow batches; the entries of a
+scope stream in before its texts, once for each GROUP of them, and bound what a task holds.
 
 Edge cases: a null text gives a null result; a scope without a mapping restores nothing; entries without a token are
 dropped; repeated entries count once; replacements shared by two values are refused and reported; other columns are not
@@ -11,6 +11,7 @@ read. Offsets are code points.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 import ahocorasick
 import pyarrow as pa
@@ -120,51 +121,69 @@ def emit(text: str, sites: list[tuple[int, int, str]], value: dict[str, str]) ->
     return "".join([*out, text[at:]]), n
 
 
+class Mapping:
+    """The entries of a scope, made ready once for all its texts."""
+
+    def __init__(self, entries: list[dict]):
+        self.entries, self.value, self.glued = entries, values_of(entries), {}
+        for e in entries:
+            if e.get("glued") is not None and e["token"]:
+                self.glued.setdefault(e["token"], set()).update(e["glued"])
+        self.shared = {r for r, v in self.value.items() if len(v) > 1}
+        self.first = {r: v[0] for r, v in self.value.items()}
+        self.counted = [e for e in entries if e.get("emitted") is not None]
+        self.carried = {r for r in self.value if not TOKEN.fullmatch(r)}
+        self.types = types_of(entries)
+
+    @cached_property
+    def words(self) -> ahocorasick.Automaton | None:
+        return automaton(self.value)
+
+    @cached_property
+    def carried_words(self) -> ahocorasick.Automaton | None:
+        return automaton(self.carried)
+
+    def literals(self, text: str, asterisk: bool = False, orphans: bool = True) -> dict:
+        """restore_literals for one text; orphans are left out on demand: a text lacks nearly all of a large scope's."""
+        sites, doubts = literal_sites(text, self.words, self.glued)
+        refused = self.shared | over_returned([s[2] for s in sites], self.counted)
+        no = [s[2] in refused or (asterisk and s[3]) for s in sites]
+        out, n = emit(text, [s[:3] for s, x in zip(sites, no) if not x], self.first)
+        reported = list(dict.fromkeys(s[2] for s, x in zip(sites, no) if x))
+        back = {s[2] for s, x in zip(sites, no) if not x}
+        return {"restored": out, "restored_count": n, "orphans": sorted(set(self.value) - back - set(reported)) if orphans else None, "suspects": doubts, "ambiguous": reported}
+
+    def tokens_and_literals(self, text: str) -> dict:
+        """restore_tokens_and_literals for one text."""
+        text = ESCAPED.sub(r"{\1_\2}", text)
+        exact = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
+        glued = {r: v for r, v in self.glued.items() if r in self.carried}
+
+        def decided(words) -> list:
+            return [s for s in literal_sites(text, words, glued)[0] if not any(a < s[1] and s[0] < b for a, b, _ in exact)]
+
+        sites = decided(self.carried_words)
+        over = over_returned([s[2] for s in sites], [e for e in self.counted if e["token"] in self.carried])
+        if over:
+            sites = decided(automaton(self.carried - over))
+        take = [s[:3] for s in sites if s[2] not in self.shared]
+        mapped = lambda t: t in self.first and t not in self.carried
+        out, n = emit(text, sorted([t for t in exact if mapped(t[2])] + take), self.first)
+        orphans = list(dict.fromkeys(t for _, _, t in exact if not mapped(t)))
+        reported = list(dict.fromkeys([*sorted(over), *(s[2] for s in sites if s[2] in self.shared)]))
+        return {"restored": out, "restored_count": n, "orphans": orphans, "suspects": suspects(text, self.types), "ambiguous": reported}
+
+
 def restore_literals(text: str, entries: list[dict], asterisk: bool = False) -> dict:
     """Replacements back to values in one pass. Shared and over-returned ones are refused, under the asterisk style
     also a longer mask that shadows a shorter one; what never came back is an orphan."""
-    value = values_of(entries)
-    glued: dict[str, set[str]] | None = {}
-    for e in entries:
-        if e.get("glued") is not None and e["token"]:
-            glued.setdefault(e["token"], set()).update(e["glued"])
-    sites, doubts = literal_sites(text, automaton(value), glued)
-    refused = {r for r, v in value.items() if len(v) > 1} | over_returned([s[2] for s in sites], entries)
-    no = [s[2] in refused or (asterisk and s[3]) for s in sites]
-    out, n = emit(text, [s[:3] for s, x in zip(sites, no) if not x], {r: v[0] for r, v in value.items()})
-    reported = list(dict.fromkeys(s[2] for s, x in zip(sites, no) if x))
-    back = {s[2] for s, x in zip(sites, no) if not x}
-    return {"restored": out, "restored_count": n, "orphans": sorted(set(value) - back - set(reported)), "suspects": doubts, "ambiguous": reported}
+    return Mapping(entries).literals(text, asterisk)
 
 
 def restore_tokens_and_literals(text: str, entries: list[dict]) -> dict:
     """Tokens and the literals carried beside them are decided in one pass over the decoded text; tokens win
     overlaps; unmapped tokens are orphans."""
-    text = ESCAPED.sub(r"{\1_\2}", text)
-    value = values_of(entries)
-    carried = {r: v for r, v in value.items() if not TOKEN.fullmatch(r)}
-    mapped = {r: v[0] for r, v in value.items() if TOKEN.fullmatch(r)}
-    exact = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
-    glued: dict[str, set[str]] = {}
-    for e in entries:
-        if e.get("glued") is not None and e["token"] in carried:
-            glued.setdefault(e["token"], set()).update(e["glued"])
-    refused = {r for r, v in carried.items() if len(v) > 1}
-
-    def decided(words) -> list:
-        inside = [s for s in literal_sites(text, words, glued)[0] if not any(a < s[1] and s[0] < b for a, b, _ in exact)]
-        return inside
-
-    sites = decided(automaton(carried))
-    over = over_returned([s[2] for s in sites], [e for e in entries if e["token"] in carried])
-    if over:
-        sites = decided(automaton(set(carried) - over))
-    take = [s[:3] for s in sites if s[2] not in refused]
-    all_sites = sorted([t for t in exact if t[2] in mapped] + take)
-    out, n = emit(text, all_sites, {**mapped, **{r: v[0] for r, v in carried.items()}})
-    orphans = list(dict.fromkeys(t for _, _, t in exact if t not in mapped))
-    reported = list(dict.fromkeys([*sorted(over), *(s[2] for s in sites if s[2] in refused)]))
-    return {"restored": out, "restored_count": n, "orphans": orphans, "suspects": suspects(text, types_of(entries)), "ambiguous": reported}
+    return Mapping(entries).tokens_and_literals(text)
 
 
 def types_of(entries: list[dict]) -> list[str]:
@@ -198,43 +217,72 @@ def suspects(text: str, types: list[str]) -> list[str]:
 # --- frames -------------------------------------------------------------------------------------------------------
 
 
-def _entries(mapping: DataFrame, scope: str) -> DataFrame:
-    """One array of entries for each scope; `emitted` and `glued` where the mapping has them."""
-    emitted = F.col("emitted").cast("int") if "emitted" in mapping.columns else F.lit(None).cast("int")
-    glued = F.col("glued") if "glued" in mapping.columns else F.lit(None).cast("array<string>")
-    return mapping.where("token <> ''").groupBy(F.col(scope).alias("__scope")).agg(F.collect_set(F.struct("token", "surface", emitted.alias("emitted"), glued.alias("glued"))).alias("__entries"))
+RESULT = {"restored": pa.string(), "restored_count": pa.int32(), "orphans": pa.list_(pa.string()), "suspects": pa.list_(pa.string()), "ambiguous": pa.list_(pa.string())}
 
 
-RESULT = {"restored": pa.string(), "restored_count": pa.int32(), "orphans": pa.list_(pa.string()), "suspects": pa.list_(pa.string()), "ambiguous": pa.list_(pa.string())}
+GROUP = 10_000  # texts of a scope that one run over its entries serves
 
 
-def restore(edited: DataFrame, mapping: DataFrame, scope: str, style: str = "token", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """R03 (token style) or R04 (pseudonym, asterisk): (key, restored, restored_count, orphans, suspects, ambiguous)."""
-    x = edited.select(F.col(key).alias("__key"), F.col(scope).alias("__scope"), F.col(text).alias("__text")).join(_entries(mapping, scope), "__scope", "left").drop("__scope")
-    work = restore_tokens_and_literals if style == "token" else lambda t, e: restore_literals(t, e, style == "asterisk")
+def beside(texts: DataFrame, mapping: DataFrame, scope: str, key: str, text: str) -> DataFrame:
+    """(__scope, __part, __text, __key, __entry): the texts of a scope in parts of about GROUP, each behind the scope's entries,
+    in one sort; an entry goes to each part once, not to each text."""
+    emitted = F.col("emitted").cast("int") if "emitted" in mapping.columns else F.lit(None).cast("int")
+    glued = F.col("glued") if "glued" in mapping.columns else F.lit(None).cast("array<string>")
+    entry = mapping.where("token <> ''").select(F.col(scope).alias("__scope"), F.struct("token", "surface", emitted.alias("emitted"), glued.alias("glued")).alias("__entry")).distinct()
+    x = texts.select(F.col(scope).alias("__scope"), F.col(key).alias("__key"), F.col(text).alias("__text"))
+    # Few scopes are large: as many rows as all texts over GROUP at most.
+    parts = texts.groupBy(F.col(scope).alias("__scope")).agg(F.ceil(F.countDistinct(F.col(key)) / GROUP).cast("int").alias("__parts")).where("__parts > 1")
+    x = x.join(F.broadcast(parts), "__scope", "left").withColumn("__part", F.pmod(F.xxhash64("__key"), F.coalesce("__parts", F.lit(1))).cast("int"))
+    y = entry.join(F.broadcast(parts), "__scope", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+    kind = texts.schema[key].dataType.simpleString()
+    z = y.select("__scope", "__part", F.lit(False).alias("__late"), F.lit(None).cast(kind).alias("__key"), F.lit(None).cast("string").alias("__text"), "__entry")
+    z = z.unionByName(x.select("__scope", "__part", F.lit(True).alias("__late"), "__key", "__text"), allowMissingColumns=True)
+    return z.repartition("__scope", "__part").sortWithinPartitions("__scope", "__part", "__late")
+
+
+def with_mapping(batches):
+    """(batch, [(row, text, Mapping of its scope)]) of what beside() gives, text by text."""
+    at, entries, ready = None, [], None
+    for batch in batches:
+        rows = []
+        for i, (s, part, late, t, e) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__scope", "__part", "__late", "__text", "__entry")))):
+            if at != (s, part):
+                at, entries, ready = (s, part), [], None
+            if not late:
+                entries.append(e)
+            else:
+                if ready is None:
+                    ready = Mapping([] if s is None else entries)
+                rows.append((i, t, ready))
+        yield batch, rows
+
+
+def restore(edited: DataFrame, mapping: DataFrame, scope: str, style: str = "token", key: str = "doc_id", text: str = "text", orphans: bool = True) -> DataFrame:
+    """R03 (token style) or R04 (pseudonym, asterisk): (key, restored, restored_count, orphans, suspects, ambiguous). Without
+    `orphans` those of literal styles are null: of a scope with many texts each text lacks nearly all replacements."""
+    work = (lambda t, m: m.tokens_and_literals(t)) if style == "token" else lambda t, m: m.literals(t, style == "asterisk", orphans)
 
     def run(batches):
-        for batch in batches:
-            rows = [None if t is None else work(t, e or []) for t, e in zip(batch.column("__text").to_pylist(), batch.column("__entries").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), *(pa.array([r and r[c] for r in rows], kind) for c, kind in RESULT.items())], [key, *RESULT])
+        for batch, texts in with_mapping(batches):
+            rows = [None if t is None else work(t, m) for _, t, m in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("__key").take(pa.array([i for i, _, _ in texts], pa.int64())), *(pa.array([r and r[c] for r in rows], kind) for c, kind in RESULT.items())], [key, *RESULT])
 
-    return x.mapInArrow(run, f"{key} {edited.schema[key].dataType.simpleString()}, restored string, restored_count int, orphans array<string>, suspects array<string>, ambiguous array<string>")
+    return beside(edited, mapping, scope, key, text).mapInArrow(run, f"{key} {edited.schema[key].dataType.simpleString()}, restored string, restored_count int, orphans array<string>, suspects array<string>, ambiguous array<string>")
 
 
 def literal_site_rows(texts: DataFrame, mapping: DataFrame, scope: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, end, replacement): where a reading of the text finds the mapping's replacements."""
-    x = texts.select(F.col(key).alias("__key"), F.col(scope).alias("__scope"), F.col(text).alias("__text")).join(_entries(mapping, scope), "__scope").drop("__scope")
 
     def run(batches):
-        for batch in batches:
+        for batch, rows in with_mapping(batches):
             ids, out = [], []
-            for i, (t, e) in enumerate(zip(batch.column("__text").to_pylist(), batch.column("__entries").to_pylist())):
-                got = literal_sites(t or "", automaton(values_of(e)), None)[0]
+            for i, t, m in rows:
+                got = literal_sites(t or "", m.words, None)[0]
                 out += got
                 ids += [i] * len(got)
             yield pa.RecordBatch.from_arrays([batch.column("__key").take(pa.array(ids, pa.int64())), *(pa.array([r[k] for r in out], pa.int32() if k < 2 else pa.string()) for k in range(3))], [key, "start", "end", "replacement"])
 
-    return x.mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, start int, end int, replacement string")
+    return beside(texts, mapping, scope, key, text).mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, start int, end int, replacement string")
 
 
 def glued_rows(texts: DataFrame, sites: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

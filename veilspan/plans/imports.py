@@ -220,7 +220,7 @@ def restore_sessions(spark, sf):
     """The same under pseudonyms, kept amounts, and back."""
     c, names = customers(spark, sf)
     out, mapping = whole.anonymize(c, "nation", style="pseudonym", extractor=names, span_filter=lambda s: s.where("type <> 'AMOUNT'"))
-    return whole.restore(out, mapping, "nation", "pseudonym").select("doc_id", "restored")
+    return whole.restore(out, mapping, "nation", "pseudonym", orphans=False).select("doc_id", "restored")
 
 
 @query("p00_sql_functions", "SELECT doc_id, regexp_replace(upper(coalesce(source, '')), '[^A-Z0-9]', '', 'g') AS stype, sha256(text) AS digest, lang || '|' || lower(trim(source)) AS key FROM documents WHERE regexp_matches(upper(coalesce(source, '')), '^[^A-Z0-9]*[A-Z]')")
