@@ -183,7 +183,7 @@ def test_streams_give_what_the_batch_gives(spark):
     assert same("x01_stream_spans", "m01_local_spans")
 
 
-@pytest.mark.parametrize("name", ["x01_stream_detect", "x02_session_mapping", "x03_resumable_batch"])
+@pytest.mark.parametrize("name", ["x01_stream_detect", "x01_stream_spans", "x02_session_mapping", "x03_resumable_batch"])
 def test_streams_read_tables_of_many_files(spark, tmp_path, name):
     sf = "/root/testdata/sf0.001"
     for t in ("documents", "conversations"):
