@@ -12,6 +12,7 @@ from veilspan.operators import modelvalues as mv
 from veilspan.operators import spanalgebra as sa
 from veilspan.operators.detectors import RULES, detect
 from veilspan.operators.locate import chunk, parse_entities
+from veilspan.operators.regexspans import matches
 from veilspan.plans import catalog
 from veilspan.sources import files
 
@@ -277,3 +278,17 @@ def test_halves_keep_characters_whole():
 def test_snapping_leaves_a_value_that_stands_alone_elsewhere():
     assert segments.snapped("mad Annabel", 4, 8) == (4, 11) and segments.snapped("mad Annabel, Anna", 4, 8) == (4, 8)
     assert segments.snapped("x" * 200, 60, 70) == (60, 70) and segments.snapped("a   b", 1, 3) is None
+
+
+def test_a_rule_finds_its_matches_once(spark):
+    d = spark.createDataFrame([(1, "a1b22"), (2, "none"), (3, ""), (4, None)], "doc_id int, text string").select("doc_id", matches(F.col("text"), "[0-9]+").alias("m"))
+    assert [r.m if r.m is None else [tuple(x) for x in r.m] for r in d.orderBy("doc_id").collect()] == [[(1, 2, "1"), (3, 5, "22")], [], [], None]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_needs_hold_in_every_text_with_a_match(spark):
+    texts = ["沪A12345", "粤B·12345学", "usd 5", "CLP$9", "5 eur", "￥3", "$ 4", "3万", "一百元", "US$7", "5 mn yen", "人民币 8", "2 U.S. dollars", "7億"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in RULES:
+        if r.need:
+            assert d.where(F.size(matches(F.col("t"), r.pattern)) > 0).where(~F.col("t").rlike(r.need)).isEmpty(), r.id
