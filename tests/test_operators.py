@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspan.functions import text as tx
-from veilspan.operators import local, locate, mint, restoring, scoring, segments
+from veilspan.operators import anonymize, local, locate, mint, restoring, scoring, scratch, segments
 from veilspan.operators import modelvalues as mv
 from veilspan.operators import spanalgebra as sa
 from veilspan.operators.detectors import RULES, detect
@@ -129,6 +129,41 @@ def test_restoring_a_large_scope_reads_its_entries_once(spark, monkeypatch):
     assert got == {**{k: f"value{k}; value{k}" for k in range(3000)}, 3000: "Person 1", 3001: None}
 
 
+def test_a_session_is_anonymized_in_steps_that_run_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def name(text):
+        ran.add(1)
+        return text.split(",")[0]
+
+    call = F.udf(name).asNondeterministic()
+    d = spark.createDataFrame([(k, k % 2, f"Berg{k} Lund, a{k}@b.example met Berg{k} Lund, EUR 5.") for k in range(40)], "doc_id int, scope int, text string").repartition(4)
+    before = spark.conf.get(scratch.THRESHOLD)
+    out, mapping = anonymize.anonymize(d, "scope", extractor=lambda x: x.select("doc_id", call("text").alias("value"), F.lit("PERSON").alias("type")))
+    assert ran.value == 40 and spark.conf.get(scratch.THRESHOLD) == before
+    plan = out._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and "BroadcastHashJoin" not in plan
+    assert {r.doc_id: r.tokenized for r in out.collect()} == {k: f"{{PERSON_{k // 2 + 1}}}, {{EMAIL_{k // 2 + 1}}} met {{PERSON_{k // 2 + 1}}}, {{AMOUNT_1}}." for k in range(40)}
+    assert mapping.count() == 82
+
+
+def test_a_scratch_table_is_written_under_a_lower_threshold_and_the_session_keeps_its_own(spark):
+    seen, df = [], spark.range(3)
+
+    class Watched:
+        sparkSession, schema = spark, df.schema
+        write = property(lambda self: self)
+
+        def parquet(self, path):
+            seen.append(int(spark.conf.get(scratch.THRESHOLD).removesuffix("b")))
+            df.write.parquet(path)
+
+    before = spark.conf.get(scratch.THRESHOLD)
+    for most in (None, 1 << 20, 1 << 40):
+        assert scratch.materialize(Watched(), "t", most).count() == 3 and spark.conf.get(scratch.THRESHOLD) == before
+    assert seen == [10 << 20, 1 << 20, 10 << 20]
+
+
 def test_variant_patterns_allow_gaps_between_scripts_only():
     assert [mv.places(t, "北港ABC公司")[0] for t in ("北港ABC公司", "北港 ABC 公 司", "北 港ABC公司", "北港A BC公司")] == [[(0, 7)], [(0, 10)], [(0, 8)], []]
 

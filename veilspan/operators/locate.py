@@ -132,13 +132,15 @@ def needles(spans: DataFrame, scope: str, key: str = "doc_id") -> DataFrame:
     return n.where(F.col("type").isin("PERSON", "COMPANY")).where(mv.needle_safe("value")).join(heads, [scope, "low"], "left_anti")
 
 
-def rescan(spans: DataFrame, docs: DataFrame, scope: str = "doc_id", key: str = "doc_id", extra: DataFrame | None = None) -> DataFrame:
+def rescan(spans: DataFrame, docs: DataFrame, scope: str = "doc_id", key: str = "doc_id", extra: DataFrame | None = None, save=None) -> DataFrame:
     """The needles of a scope (and extra ones: scope, value, type, such as bound aliases) found again; hits that
-    overlap a confirmed span are dropped, overlaps that are left go longest first."""
+    overlap a confirmed span are dropped, overlaps that are left go longest first. save: writes a frame and reads it back, to
+    cut lineage between needles, hits and what is left of them."""
     from .spanalgebra import greedy, overlap_anti
 
+    save = save or (lambda df: df)
     n = needles(spans, scope, key).select(scope, "value", "type")
-    found = occurrences(n if extra is None else n.unionByName(extra.select(scope, "value", "type")), docs, scope, key)
+    found = save(occurrences(save(n if extra is None else n.unionByName(extra.select(scope, "value", "type"))), docs, scope, key))
     return greedy(overlap_anti(found.select(key, "start", "end", "type", "text").dropDuplicates([key, "start", "end"]), spans, key), key)
 
 

@@ -34,7 +34,7 @@ def splice(docs: DataFrame, sites: DataFrame, key: str = "doc_id", text: str = "
     """Documents with disjoint sites (key, start, end, replacement) put in, left to right: gaps and replacements are
     joined once. Documents without sites, null texts among them, come back as they are; `tokenized` is added."""
     s = sites.groupBy(F.col(key).alias("__key")).agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col(replacement).alias("r")))).alias("__sites"))
-    x = docs.join(s, F.col(key) == F.col("__key"), "left")
+    x = docs.join(s.hint("merge"), F.col(key) == F.col("__key"), "left")  # as many rows as documents: not for the driver to broadcast
     t, spans = F.col(text), F.col("__sites")
     upto = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
     parts = F.transform(spans, lambda p, i: F.concat(F.substring(t, upto(i) + 1, p["start"] - upto(i)), p["r"]))
