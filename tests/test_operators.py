@@ -147,6 +147,11 @@ def test_a_session_is_anonymized_in_steps_that_run_once(spark):
     assert mapping.count() == 82
 
 
+def test_restoring_plans_nothing_of_the_anonymizing_before_it(spark):
+    plan = catalog.QUERIES["r00_restore_sessions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "regexp_extract_all" not in plan and "__sites" not in plan
+
+
 def test_a_scratch_table_is_written_under_a_lower_threshold_and_the_session_keeps_its_own(spark):
     seen, df = [], spark.range(3)
 

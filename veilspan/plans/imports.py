@@ -9,6 +9,7 @@ from ..functions.sql import register
 from ..operators import anonymize as whole
 from ..operators import mint, prototype
 from ..operators.regexspans import sql_spans
+from ..operators.scratch import materialize
 from ..sources import files
 from .registry import query, table
 from .sessions import session
@@ -220,6 +221,7 @@ def restore_sessions(spark, sf):
     """The same under pseudonyms, kept amounts, and back."""
     c, names = customers(spark, sf)
     out, mapping = whole.anonymize(c, "nation", style="pseudonym", extractor=names, span_filter=lambda s: s.where("type <> 'AMOUNT'"))
+    out = materialize(out.select("doc_id", "nation", "tokenized"), "letters")
     return whole.restore(out, mapping, "nation", "pseudonym", orphans=False).select("doc_id", "restored")
 
 
